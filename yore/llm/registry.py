@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from yore.llm import decontaminate, packing, quality, simhash
+from yore.llm import decontaminate, licenses, packing, quality, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op6_licenses": licenses.op6_licenses,
     "op8_quality": quality.op8_quality,
     "op10_pack": packing.op10_pack,
 }
