@@ -1,5 +1,169 @@
-"""PII (in preparation)."""
+"""Personal data: base patterns, and identifiers found by the contexts that known ones stand in.
 
+Base matches are exact. Bootstrapping starts from them and from long hexadecimal strings (kind secret) as seeds. Tokens
+that look like identifiers are candidates; the one, two and three lexical units before a candidate (a run of letters or
+one mark each) are its patterns. Over the graph of patterns and instances (the candidates' strings), with the number of
+times they meet, a pattern's score for a kind is the share of its meetings with instances of that kind, an instance's
+score that of its best supported pattern; seeds keep theirs. After ROUNDS rounds, patterns with at least SUPPORT
+distinct instances and CONFIDENCE are trusted, and candidates in their context which are no base match are new spans.
 
-def redact(docs):
-    raise NotImplementedError
+One pass over the texts reduces each to its base spans and candidates; only these move. Counts are aggregated before
+each shuffle, and the joins are plain equi-joins that adaptive execution can split. Null texts are empty, rows that
+repeat get the same spans, ties go to the kind first in KINDS, an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from yore.llm.common import cut, let, row_key, table
+
+KINDS = ("email", "ip", "card", "phone", "secret")
+ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.7
+
+#: Base patterns. Possessive forms and look-behinds of what the plain forms match: a run is scanned from its start once.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){12,}+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: Candidates: six or more letters, digits and joining marks with a digit among them.
+CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9+/_.@-]{4,}+(?<![./@-])"
+SECRET = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$"
+SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string>>"
+
+
+def matches(text: Column, pattern: str, context: int = 0) -> Column:
+    """array<struct<start, end, value, left>> of the pattern's matches: code points, end exclusive, and up to `context` characters before."""
+    regex = F.lit(pattern)
+
+    def walk(found: Column) -> Column:
+        def step(pieces: Column):
+            def add(a: Column, x: Column) -> Column:
+                piece = F.get(pieces, a["i"])
+                begin = a["at"] + F.length(piece)
+                left = F.substring(F.concat(a["last"], piece), -context, context) if context else F.lit("")
+                return let(
+                    F.struct(begin.alias("start"), (begin + F.length(x)).alias("end"), x.alias("value"), left.alias("left")),
+                    lambda s: F.struct(s["end"].alias("at"), (a["i"] + 1).alias("i"), x.alias("last"), F.concat(a["out"], F.array(s)).alias("out")),
+                )
+
+            return add
+
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("i"), F.lit("").alias("last"), F.array().cast(SPAN).alias("out"))
+        return let(F.split(text, pattern), lambda pieces: F.aggregate(found, start, step(pieces), lambda a: a["out"]))
+
+    return let(F.regexp_extract_all(text, regex, F.lit(0)), lambda found: F.when(F.size(found) > 0, walk(found)).otherwise(F.array().cast(SPAN)))
+
+
+def _digits(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
+
+
+def _luhn(digits: Column) -> Column:
+    value = lambda d, i: let(d.cast("int") * F.when(i % 2 == 1, 2).otherwise(1), lambda v: F.when(v > 9, v - 9).otherwise(v))
+    return F.aggregate(F.transform(F.split(F.reverse(digits), "(?!^)(?!$)"), value), F.lit(0), lambda a, x: a + x) % 10 == 0
+
+
+def base_spans(text: Column) -> dict[str, Column]:
+    """Kind -> spans that pass the kind's check."""
+    none = F.array().cast(SPAN)
+    length = lambda x: F.length(_digits(x))
+    with_digit = text.rlike("[0-9]")
+    return {
+        "email": F.when(F.contains(text, F.lit("@")), matches(text, EMAIL)).otherwise(none),
+        "ip": F.when(with_digit, F.filter(matches(text, IP), lambda s: s["value"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"))).otherwise(none),
+        "card": F.when(with_digit, F.filter(matches(text, CARD), lambda s: F.when(length(s["value"]).between(13, 19), _luhn(_digits(s["value"]))).otherwise(False))).otherwise(none),
+        "phone": F.when(F.contains(text, F.lit("+")), F.filter(matches(text, PHONE), lambda s: length(s["value"]).between(9, 15))).otherwise(none),
+    }
+
+
+def _patterns(left: Column) -> Column:
+    """The last one, two and three units, joined by spaces."""
+    units = F.regexp_extract_all(F.lower(left), F.lit(r"\p{L}+|[^\p{L}\s]"), F.lit(0))
+    return let(units, lambda u: F.transform(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: n <= F.size(u)), lambda n: F.array_join(F.slice(u, F.size(u) - n + 1, n), " ")))
+
+
+def reduced(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """row_key() columns, base (array of kind, start, end in the order of KINDS and start) and candidates (start, end, value, kind of seed or null, patterns) of every row."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(*row_key(key, text), t.alias("t__"))
+    spans = [F.transform(s, _named(i)) for i, s in enumerate(base_spans(F.col("t__")).values())]
+    tokens = F.when(F.col("t__").rlike("[0-9]"), matches(F.col("t__"), CANDIDATE, 40)).otherwise(F.array().cast(SPAN))
+    found = found.withColumn("base", F.concat(*spans)).withColumn("tokens", tokens).drop("t__")
+
+    def candidate(c: Column) -> Column:
+        over = F.filter("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+        kind = F.coalesce(F.get(over, F.lit(0))["kind"], F.when(c["value"].rlike(SECRET), len(KINDS) - 1))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), kind.alias("kind"), (F.size(over) > 0).alias("known"), _patterns(c["left"]).alias("patterns"))
+
+    return found.withColumn("candidates", F.transform("tokens", candidate)).drop("tokens")
+
+
+def _named(i: int):
+    return lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+
+
+def learn(small: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(pattern, kind) that are trusted, from reduced() rows."""
+    each = small.select(F.explode("candidates").alias("c")).select("c.value", "c.kind", F.explode("c.patterns").alias("pattern"))
+    edges = cut(each.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.min("kind").alias("kind")))
+    seeds = edges.groupBy("value").agg(F.min("kind").alias("seed"))
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("met")).filter(F.col("instances") >= support)
+    graph = cut(edges.drop("kind").join(enough, "pattern").join(seeds, "value"))
+    scores = graph.filter("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    for i in range(rounds):
+        met = graph.join(scores, "value").groupBy("pattern", "kind", "met").agg(F.sum(F.col("n") * F.col("score")).alias("sum"))
+        patterns = met.select("pattern", "kind", (F.col("sum") / (F.col("met") + 1)).alias("score"))
+        if i < rounds - 1:
+            spread = graph.filter("seed is null").join(patterns, "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
+            scores = cut(graph.filter("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct().union(spread))
+    best = patterns.filter(F.col("score") >= confidence).groupBy("pattern").agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"))
+    return best
+
+
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """row_key() columns, base and found (both arrays of kind, start, end) of every row of docs; repeated rows are repeated."""
+    small = cut(reduced(docs, key, text))
+    trusted = learn(small, **how)
+    fresh = small.select("k_id", "k_a", "k_b", F.explode("candidates").alias("c")).filter("not c.known").select("k_id", "k_a", "k_b", "c.start", "c.end", F.explode("c.patterns").alias("pattern"))
+    met = fresh.join(trusted, "pattern").groupBy("k_id", "k_a", "k_b", "start", "end").agg(F.min("kind").alias("kind"))
+    by_row = met.groupBy("k_id", "k_a", "k_b").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("found"))
+    left = small.select("k_id", "k_a", "k_b", "base")
+    joined = left.join(by_row, left.k_id.eqNullSafe(by_row.k_id) & (left.k_a == by_row.k_a) & (left.k_b == by_row.k_b), "left")
+    return joined.select(left.k_id, left.k_a, left.k_b, "base", F.coalesce("found", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")).alias("found"))
+
+
+def _said(spans: Column, names: tuple[str, ...]) -> Column:
+    kinds = F.array(*map(F.lit, names))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with every span in the text replaced by its kind in capitals and angle brackets; overlapping spans become one, of the first's kind. Null texts stay null."""
+    by_row = spans(docs, key, text, **how).withColumn("spans", F.array_union("base", "found")).filter(F.size("spans") > 0).select("k_id", "k_a", "k_b", "spans").distinct()
+    left = docs.select(F.struct(*docs.columns).alias("row"), *row_key(key, text))
+    joined = left.join(by_row, left.k_id.eqNullSafe(by_row.k_id) & (left.k_a == by_row.k_a) & (left.k_b == by_row.k_b), "left")
+    kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    told = F.col("row")[text]
+
+    def step(a: Column, s: Column) -> Column:
+        between = F.substring(told, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+        new = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(between, F.get(kinds, s["kind"]))).alias("out"))
+        return F.when(s["start"] >= a["at"], new).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    new = F.aggregate(ordered, start, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(told, (a["at"] + 1).cast("int"), F.length(told)))), ""))
+    return joined.select(*[F.when(F.col("spans").isNull(), told).otherwise(new).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def op7_pii(spark, sf_dir: str) -> DataFrame:
+    found = spans(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    everything = F.array_sort(F.array_union("base", "found"))
+    return found.select(
+        F.col("k_id").alias("doc_id"), *[count(k) for k in KINDS[:4]], F.sha2(_said(F.col("base"), KINDS), 256).alias("base_sha256"), _said(everything, KINDS).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
+    )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from yore.llm import decontaminate, licenses, packing, quality, simhash
+from yore.llm import decontaminate, licenses, packing, pii, quality, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op6_licenses": licenses.op6_licenses,
+    "op7_pii": pii.op7_pii,
     "op8_quality": quality.op8_quality,
     "op10_pack": packing.op10_pack,
 }
