@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from yore.llm import decontaminate, licenses, packing, pii, quality, simhash
+from yore.llm import decontaminate, licenses, packing, pii, quality, simhash, urls
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_urls": urls.op3_urls,
     "op4_simhash": simhash.op4_simhash,
     "op6_licenses": licenses.op6_licenses,
     "op7_pii": pii.op7_pii,
