@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yore.llm import decontaminate, licenses, packing, pii, quality, simhash, urls
+from yore.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, urls
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_licenses": licenses.op6_licenses,
     "op7_pii": pii.op7_pii,
     "op8_quality": quality.op8_quality,
+    "op9_language": langid.op9_language,
     "op10_pack": packing.op10_pack,
 }
 
