@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from yore.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, urls
+from yore.llm import brown, decontaminate, langid, licenses, packing, pii, quality, simhash, urls
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_urls": urls.op3_urls,
     "op4_simhash": simhash.op4_simhash,
+    "op5_brown": brown.op5_brown,
     "op6_licenses": licenses.op6_licenses,
     "op7_pii": pii.op7_pii,
     "op8_quality": quality.op8_quality,
