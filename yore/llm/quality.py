@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yore.llm.common import SPACED, let, table
+from yore.llm.common import SPACED, cut, let, table
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
@@ -132,11 +132,16 @@ def log_odds(share: float, right: list[tuple[float, float]], vote: tuple[int, ..
     return math.log(share / (1 - share)) + sum(math.log(g / (1 - b)) if v > 0 else math.log((1 - g) / b) if v < 0 else 0.0 for v, (g, b) in zip(vote, right, strict=True))
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measures, the votes' posterior as `quality` (0 to 1), base_failed and kept."""
-    measured = measures(docs, text)
+def judge(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep` of docs with the measures, the votes' posterior as `quality` (0 to 1), base_failed and kept.
+
+    The measures are computed once and checkpointed with `keep`, which the votes are then counted and judged from; keep
+    the text only if it is wanted in the result.
+    """
+    names = {f.name for f in measures(docs.limit(0), text).schema} - set(docs.columns)
+    measured = cut(measures(docs, text).select(*keep, *sorted(names)))
     voted = votes()
-    counted = measures(docs.select(text), text).select(*[v.alias(k) for k, v in voted.items()]).groupBy(*voted).count()
+    counted = measured.select(*[v.alias(k) for k, v in voted.items()]).groupBy(*voted).count()
     patterns = [(tuple(r[:-1]), r[-1]) for r in counted.collect()]  # at most 3 ** len(voted) rows
     share, right = estimate(sorted(patterns))
     logit = F.lit(math.log(share / (1 - share)))
@@ -147,5 +152,5 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
