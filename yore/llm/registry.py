@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from yore.llm import brown, decontaminate, langid, licenses, packing, pii, quality, simhash, urls
+from yore.llm import brown, decontaminate, langid, licenses, packing, pii, quality, simhash, suffix, urls
 
 QUERIES = {
+    "op1_repeats": suffix.op1_repeats,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_urls": urls.op3_urls,
     "op4_simhash": simhash.op4_simhash,
