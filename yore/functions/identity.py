@@ -46,4 +46,7 @@ def path(column, *steps):
     """The value at a path of names in a JSON text; the name * takes all elements of an array, joined by commas."""
     where = "$" + "".join("[*]" if s == "*" else f".{s}" for s in steps)
     found = F.get_json_object(column, where)
-    return F.array_join(F.from_json(found, "array<string>"), ",") if "*" in steps else found
+    if "*" not in steps:
+        return found
+    many = F.when(found.startswith("["), found).otherwise(F.concat(F.lit("["), found, F.lit("]")))  # one element comes bare
+    return F.array_join(F.from_json(many, "array<string>"), ",")

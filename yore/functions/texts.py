@@ -16,10 +16,11 @@ def visible(text: Column) -> Column:
 
 
 def untracked(url: Column) -> Column:
-    """A url or text without tracking parameters; a ? or & that is left over goes too."""
-    url = F.regexp_replace(url, rf"([?&]){TRACKING}=[^&#\s]*", "$1")
-    url = F.regexp_replace(url, r"([?&])&+", "$1")
-    return F.regexp_replace(url, r"[?&]+(?=#|\s|$)", "")
+    """A url, or the urls of a text, without tracking parameters; a question mark goes with the last of them."""
+    value = r"=[^&#\s]*"
+    url = F.regexp_replace(url, f"&{TRACKING}{value}", "")
+    url = F.regexp_replace(url, rf"\?{TRACKING}{value}&", "?")
+    return F.regexp_replace(url, rf"\?{TRACKING}{value}", "")
 
 
 def tidy(text: Column, longest_url: int = 200) -> Column:

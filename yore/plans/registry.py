@@ -2,41 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from yore.plans import aggregation, fold, leaves, relations, scalars, times
+from yore.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register the decorated function under a name, with its oracle."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "page_actions_newest",
-    "SELECT event_id AS id, event_type AS type, epoch_ms(ts) AS occurred_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
-)
-def page_actions_newest(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return (
-        events.select(
-            F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.unix_millis(F.col("ts").cast("timestamp")).alias("occurred_at")
-        )
-        .orderBy(F.desc("occurred_at"), F.desc("id"))
-        .limit(100)
-    )
+__all__ = ["ORACLES", "QUERIES", "aggregation", "fold", "leaves", "relations", "scalars", "times"]
