@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yore.sources.shared import cut, release, written
+
+__all__ = ["cut", "release", "written"]
+
 #: Words as runs of anything but ASCII white space.
 SPACED = r"[^\x20\x09-\x0D]+"
 #: Words as runs of digits, lower-case ASCII letters and anything beyond ASCII.
@@ -30,32 +30,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to the checkpoint folder that the cluster shares; lineage ends there.
-
-    The folder is spark.checkpoint.dir. Only a session without one (tests, a laptop) gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="yore-checkpoints-"))
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the checkpoint folder: like cut(), but columnar and compressed, for what is large."""
-    session = df.sparkSession
-    folder = session.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{folder}/yore-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return session.read.parquet(path)
-
-
-def release(session: SparkSession) -> None:
-    """Have the shuffle files of finished steps removed now: Spark's cleaner drops them once the driver's garbage is collected, which a small driver may not do for long."""
-    gc.collect()
-    session.sparkContext._jvm.System.gc()
-
-
 def row_key(key: str = "doc_id", text: str = "text") -> list[Column]:
     """Columns that tell rows apart which may share an id: the id and two hashes of the text.
 

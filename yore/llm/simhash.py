@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from yore.llm.common import cut, table
-from yore.llm.graph import connected_components
+from yore.operators.components import connected_components
 
 TAU, RING, BLOCK, SHINGLE = 2, 9, 512, 3
 
