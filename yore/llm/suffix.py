@@ -150,7 +150,9 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 def repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """The rows of anchors() whose k-gram occurs again, with `mixed`: whether its contexts differ."""
-    again = anchors(texts, length, gram).groupBy("h").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
+    counts = anchors(texts, length, gram).groupBy("h").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # a table of its own: joined straight to the aggregate, a k-gram with a large share of all rows could not be split
+    again = written(counts.filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
     return written(anchors(texts, length, gram).join(again, "h"))
 
 
