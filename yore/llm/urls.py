@@ -90,7 +90,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     rows = pages.drop("host", "path", "rule", "verdict", "trust", "distrust").withColumns({"host": host, "path": path})
     hosts = cut(rows.groupBy("host").agg(F.count("*").alias("pages")))
     fitting = cut(rules_of_hosts(hosts, rules))
-    judged = rows.select("host", "path").join(fitting, "host").withColumn("v", winning(F.col("rules"), F.col("path"))["verdict"])
+    # a step of its own, so that the join can split a host with very many pages
+    judged = cut(rows.select("host", "path").join(fitting, "host").select("host", winning(F.col("rules"), F.col("path"))["verdict"].alias("v")))
     said = judged.groupBy("host").agg(F.count(F.when(F.col("v") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("v") == "block", 1)).alias("blocked"))
     seeds = cut(
         said.join(hosts, "host").filter("2 * allowed > pages or 2 * blocked > pages").select("host", F.when(2 * F.col("allowed") > F.col("pages"), "trust").otherwise("distrust").alias("kind"), "pages")
