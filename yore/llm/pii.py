@@ -109,8 +109,9 @@ def learn(small: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confid
     """(pattern, kind) that are trusted, from reduced() rows."""
     each = small.select(F.explode("candidates").alias("c")).select("c.value", "c.kind", F.explode("c.patterns").alias("pattern"))
     edges = cut(each.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.min("kind").alias("kind")))
-    seeds = edges.groupBy("value").agg(F.min("kind").alias("seed"))
-    enough = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("met")).filter(F.col("instances") >= support)
+    # steps of their own, so that the joins can split a pattern or an instance that meets very many
+    seeds = cut(edges.groupBy("value").agg(F.min("kind").alias("seed")))
+    enough = cut(edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("met")).filter(F.col("instances") >= support))
     graph = cut(edges.drop("kind").join(enough, "pattern").join(seeds, "value"))
     scores = graph.filter("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     for i in range(rounds):
