@@ -84,13 +84,13 @@ def runs(marked: np.ndarray) -> list[dict]:
     return [{"start": a, "end": b} for a, b in step.reshape(-1, 2).tolist()]
 
 
-def flag(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def flag(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with ADDED columns, which replace columns of these names."""
     docs = docs.select(*[c for c in docs.columns if c.lower() not in {f.name for f in ADDED}])
     bench = bench.select(F.col(item).alias("item"), F.col(item_text).alias("words")).filter("words is not null")
     size = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     if size > broadcast_bytes:
-        return _by_join(docs, bench, text, window)
+        return _by_join(docs, bench, text, key, window)
     model = docs.sparkSession.sparkContext.broadcast(windows_of([tuple(r) for r in bench.collect()], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +121,13 @@ def _windows(df: DataFrame, text: str, lengths) -> DataFrame:
     )
 
 
-def _by_join(docs: DataFrame, bench: DataFrame, text: str, window: int) -> DataFrame:
+def _by_join(docs: DataFrame, bench: DataFrame, text: str, key: str, window: int) -> DataFrame:
     """The same columns for benchmarks of any size: documents' windows meet the benchmark's by hash and then by their words."""
     n_words = F.size(F.coalesce(_plain_words("words"), F.array().cast("array<string>")))
     sized = bench.withColumn("len__", F.least(n_words, F.lit(window))).filter("len__ > 0")
     lengths = sorted(r[0] for r in sized.select("len__").distinct().collect())  # at most `window` numbers
     test = _windows(sized, "words", F.array("len__")).groupBy("n", "window").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("ids"))
-    keys = docs.select(*row_key(docs.columns[0] if "doc_id" not in docs.columns else "doc_id", text), F.col(text).alias("t__")).distinct()
+    keys = docs.select(*row_key(key, text), F.col(text).alias("t__")).distinct()
     places = _windows(keys, "t__", F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"))
     met = places.join(test, ["n", "window"]).select("k_id", "k_a", "k_b", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("r"), "ids")
     by_row = met.groupBy("k_id", "k_a", "k_b").agg(F.array_sort(F.collect_set("r")).alias("rs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items__"))
@@ -139,7 +139,7 @@ def _by_join(docs: DataFrame, bench: DataFrame, text: str, window: int) -> DataF
         ).otherwise(F.concat(out, F.array(F.struct(r["at"].alias("start"), r["end"].alias("end"))))),
     )
     by_row = by_row.select("k_id", "k_a", "k_b", "items__", grown.alias("spans__"))
-    left = docs.select("*", *row_key(docs.columns[0] if "doc_id" not in docs.columns else "doc_id", text))
+    left = docs.select("*", *row_key(key, text))
     joined = left.join(by_row, same_key(left, by_row), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return joined.select(
@@ -152,15 +152,23 @@ def _by_join(docs: DataFrame, bench: DataFrame, text: str, window: int) -> DataF
 
 
 def clean(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a window of the benchmark."""
-    return flag(docs, bench, **how).filter("n_hit = 0").select(*docs.columns)
+    """docs without those that hold a window of the benchmark; columns that have the names of added ones stay as they are."""
+    there, back = _aside(docs)
+    return back(flag(there, bench, **how).filter("n_hit = 0").select(*there.columns))
+
+
+def _aside(docs: DataFrame):
+    """(docs with columns that clash with added ones renamed, a function that renames them back)."""
+    clash = {c: f"{c}__in" for c in docs.columns if c.lower() in {f.name for f in ADDED}}
+    return docs.withColumnsRenamed(clash), lambda df: df.withColumnsRenamed({b: a for a, b in clash.items()})
 
 
 def without_spans(docs: DataFrame, bench: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs whose hit words are cut out of the text: of each run, from its first word's first letter to its last word's last; all other characters stay."""
     import re
 
-    found = flag(docs, bench, text, **how)
+    docs, back = _aside(docs)
+    found, names = flag(docs, bench, text, **how), docs.columns
     word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
     def cut_out(value, spans):
@@ -175,9 +183,9 @@ def without_spans(docs: DataFrame, bench: DataFrame, text: str = "text", **how)
         for batch in batches:
             i, j = batch.schema.get_field_index(text), batch.schema.get_field_index("spans")
             new = [cut_out(t, s) if s else t for t, s in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True)]
-            yield batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type)).select(docs.columns)
+            yield batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type)).select(names)
 
-    return found.mapInArrow(run, docs.schema)
+    return back(found.mapInArrow(run, docs.schema))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from yore.llm.common import SPACED, cut, let, table
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_common", "n_upper", "n_stops")
 #: Common words of the languages at hand (English, French, German, Spanish), lower case.
 COMMON = (
     "the of and to in a is that it for was with as be on are this by at from "
@@ -138,8 +139,7 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     The measures are computed once and checkpointed with `keep`, which the votes are then counted and judged from; keep
     the text only if it is wanted in the result.
     """
-    names = {f.name for f in measures(docs.limit(0), text).schema} - set(docs.columns)
-    measured = cut(measures(docs, text).select(*keep, *sorted(names)))
+    measured = cut(measures(docs, text).select(*[c for c in keep if c not in MEASURES], *MEASURES))
     voted = votes()
     counted = measured.select(*[v.alias(k) for k, v in voted.items()]).groupBy(*voted).count()
     patterns = [(tuple(r[:-1]), r[-1]) for r in counted.collect()]  # at most 3 ** len(voted) rows

@@ -284,11 +284,11 @@ def merged(spans: list[tuple[int, int]] | None, size: int) -> list[tuple[int, in
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, **how) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, spans (byte ranges removed) and kept (the bytes left), or with digest only key, the counts and kept_sha256."""
+    """docs with n_bytes, n_removed, n_spans, spans (byte ranges removed) and kept (the bytes left), which replace columns of these names; or with digest only key, the counts and kept_sha256."""
     spans = covered(docs, key, text, **how)
     spans = written(spans)
     release(docs.sparkSession)
-    left = docs.select(key, text) if digest else docs
+    left = docs.select(key, text) if digest else docs.drop("n_bytes", "n_removed", "n_spans", "spans", "kept")
     left = left.withColumns({"k_a__": F.xxhash64(text), "k_b__": F.xxhash64(F.col(text), F.lit(1))})
     rows = left.join(spans.select(F.col("k_a").alias("k_a__"), F.col("k_b").alias("k_b__"), F.col("spans").alias("spans__")), ["k_a__", "k_b__"], "left").drop("k_a__", "k_b__")
     names = [c for c in left.columns if c not in ("k_a__", "k_b__")]
