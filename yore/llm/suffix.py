@@ -3,14 +3,16 @@
 A string of LENGTH bytes that occurs twice has the same minimiser in both places: the k-gram of GRAM bytes in it whose
 hash is least. So only minimisers (about one byte in eighty) are suffixes to compare, and only those whose k-gram is
 not unique. A suffix's context is what any window of LENGTH bytes around it can hold: LENGTH - GRAM bytes before and
-after the k-gram. Contexts that are equal as a whole are counted by their hash and need no bytes. The bytes of the
-others, one of each distinct context, come together by k-gram: they are sorted by what follows, a stack scan over the
-longest common prefixes of neighbours gives the interval tree, and in each interval the same scan over what comes before
-gives the groups that agree to the left; groups whose members differ in the next byte on both sides are the maximal
-repeats, with all their occurrences. What lies in a repeat of LENGTH bytes or more is covered.
-
-K-grams with more than MOST distinct contexts do not come together: their windows are counted one by one, which is
-linear in the number of contexts and splits over any number of tasks. Texts are identified by 128 bits of hash, so copies are
+after the k-gram. Contexts that are equal as a whole are counted by their hash and need no bytes. Any other repeat holds
+at least half of those bytes on one side, so contexts meet by k-gram and the hash of the half before or after it, and
+those that meet none are done. The bytes of the others, one of each distinct context, come together: they are sorted by
+what follows, a stack scan over the longest common prefixes of neighbours gives the interval tree, and in each interval
+the same scan over what comes before gives the groups that agree to the left; groups whose members differ in the next
+byte on both sides are the maximal repeats, with all their occurrences. What lies in a repeat of LENGTH bytes or more is
+covered.
+
+Groups of more than MOST distinct contexts do not come together: their windows are counted one by one, which is linear
+in the number of contexts and splits over any number of tasks. Texts are identified by 128 bits of hash, so copies are
 compared once and share their result. Null texts are empty, and texts of fewer than LENGTH bytes keep all; repeated
 rows cover each other like any copies; ties do not matter; an empty table gives an empty table.
 """
@@ -52,20 +54,20 @@ class Anchors:
         h ^= h >> np.uint64(29)
         return h
 
-    def find(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions, hashes of k-grams, hashes of contexts) of a text's bytes."""
+    def find(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(positions, hashes of k-grams, of contexts, of the half before and of the half after, zero where the text is too short) of a text's bytes."""
         found = [self._piece(data, at) for at in range(0, max(1, len(data) - self.length + 1), CHUNK)]
         pos = np.concatenate([x[0] for x in found])
         keep = np.diff(pos, prepend=-1) > 0  # pieces overlap
-        return tuple(np.concatenate([x[i] for x in found])[keep] for i in range(3))
+        return tuple(np.concatenate([x[i] for x in found])[keep] for i in range(5))
 
-    def _piece(self, data: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _piece(self, data: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
         """Minimisers of the windows that start in [at, at + CHUNK)."""
         first = max(0, at - self.length)  # contexts reach before and after the piece
         end = min(len(data), at + CHUNK + self.length - 1)
         last = min(len(data), end + self.length)
         if end - at < self.length:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 4
         part = data[first:last]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(self.value[part] * self.up[: len(part)], out=sums[1:])
@@ -83,7 +85,15 @@ class Anchors:
         left, right = np.maximum(pos + a - self.side, 0), np.minimum(pos + a + self.length, len(part))
         context = (sums[right] - sums[left]) * self.down[left]
         sizes = ((pos + a - left) * 1000 + (right - pos - a)).astype(np.uint64)
-        return pos + at, h[pos], self._mix(context ^ self._mix(sizes * np.uint64(_STEP)))
+        half = self.side // 2
+        here, past = pos + a, pos + a + self.gram
+
+        def of(start: np.ndarray, end: np.ndarray, fits: np.ndarray) -> np.ndarray:
+            start, end = np.where(fits, start, 0), np.where(fits, end, 0)
+            return np.where(fits, self._mix((sums[end] - sums[start]) * self.down[start]), np.uint64(0))
+
+        before, after = of(here - half, here, here >= half), of(past, past + half, past + half <= len(part))
+        return pos + at, h[pos], self._mix(context ^ self._mix(sizes * np.uint64(_STEP))), before, after
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -123,29 +133,30 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes]], need: int) -> Iterator[
                 yield members, left, right
 
 
-def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, x, k_a, k_b, pos): k-gram, context, text and place of every minimiser."""
+def anchors(texts: DataFrame, length: int, gram: int, halves: bool = False) -> DataFrame:
+    """(h, x, k_a, k_b, pos): k-gram, context, text and place of every minimiser; with halves also the hashes of half the bytes before and after it."""
+    names = ["h", "x", "k_a", "k_b", "pos", *(["half_before", "half_after"] if halves else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(length, gram).find
         for batch in batches:
             a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in names]
             size = 0
             for i, value in enumerate(batch.column(2)):
                 data = np.frombuffer(value.as_buffer() or b"", np.uint8)
                 if len(data) >= length:
-                    pos, h, x = find(data)
-                    for to, got in zip(rows, (h.view(np.int64), x.view(np.int64), np.full(len(pos), a[i]), np.full(len(pos), b[i]), pos), strict=True):
+                    pos, h, x, before, after = (y.view(np.int64) for y in find(data))
+                    for to, got in zip(rows, (h, x, np.full(len(pos), a[i]), np.full(len(pos), b[i]), pos, before, after), strict=False):
                         to.append(got)
                     size += len(pos)
                 if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["h", "x", "k_a", "k_b", "pos"])
-                    rows, size = [[], [], [], [], []], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=names)
+                    rows, size = [[] for _ in names], 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["h", "x", "k_a", "k_b", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=names)
 
-    return texts.filter(F.octet_length("text") >= length).mapInArrow(run, "h long, x long, k_a long, k_b long, pos long")
+    return texts.filter(F.octet_length("text") >= length).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -153,15 +164,30 @@ def repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     counts = anchors(texts, length, gram).groupBy("h").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     # a table of its own: joined straight to the aggregate, a k-gram with a large share of all rows could not be split
     again = written(counts.filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
-    return written(anchors(texts, length, gram).join(again, "h"))
+    return written(anchors(texts, length, gram, halves=True).join(again, "h"))
+
+
+GROUP = ["h", "side", "half"]
+
+
+def meeting(distinct: DataFrame) -> DataFrame:
+    """Rows of distinct contexts in groups (h, side, half, size) of two or more of which at least one is alone. A context can be in a group for each side."""
+    each = distinct.select(
+        "h", "x", "c", "k_a", "k_b", "pos",
+        F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("half_before").alias("half")), F.struct(F.lit(1).alias("side"), F.col("half_after").alias("half")))).alias("g"),
+    ).select("h", "g.side", "g.half", "x", "c", "k_a", "k_b", "pos").filter("half <> 0")
+    sizes = each.groupBy(*GROUP).agg(F.count("*").alias("size"), F.min("c").alias("c")).filter("size > 1 and c = 1").drop("c")
+    return each.join(written(sizes), GROUP)
 
 
 def contexts_of(texts: DataFrame, docs_key: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, x, c, before, after) of the wanted contexts (h, x, c and where one is: k_a, k_b, pos). docs_key: one row of each text, with a row id."""
+    """(h, side, half, x, c, size, before, after) of the wanted contexts, whose k_a, k_b and pos say where one is. docs_key: one row of each text, with a row id."""
     side = length - gram
-    lists = wanted.groupBy("k_a", "k_b").agg(F.collect_list(F.struct("h", "x", "c", "pos")).alias("places"))
+    lists = wanted.groupBy("k_a", "k_b").agg(F.collect_list(F.struct("pos", "h", "side", "half", "x", "c", "size")).alias("places"))
     lists = lists.join(docs_key, ["k_a", "k_b"])
     rows = texts.join(lists, (texts.k_a == lists.k_a) & (texts.k_b == lists.k_b) & texts.id.eqNullSafe(lists.least)).select("text", "places")
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
+    names = [*GROUP, "x", "c", "size", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +196,7 @@ def contexts_of(texts: DataFrame, docs_key: DataFrame, wanted: DataFrame, length
                 data = value.as_buffer().to_pybytes()
                 for p in places.as_py():
                     at = p["pos"]
-                    out.append((p["h"], p["x"], p["c"], data[max(0, at - side) : at][::-1], data[at + gram : at + length]))
+                    out.append((p["h"], p["side"], p["half"], p["x"], p["c"], p["size"], data[max(0, at - side) : at][::-1], data[at + gram : at + length]))
                 if len(out) > 20_000:
                     yield told(out)
                     out = []
@@ -178,97 +204,108 @@ def contexts_of(texts: DataFrame, docs_key: DataFrame, wanted: DataFrame, length
                 yield told(out)
 
     def told(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["h", "x", "c", "before", "after"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "h long, x long, c long, before binary, after binary")
+    return rows.mapInArrow(run, "h long, side int, half long, x long, c long, size long, before binary, after binary")
 
 
-def _groups_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(h, rows) of rows that come sorted by h; a group has at most MOST distinct contexts."""
-    h, rows = None, {}
+def _groups_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(group, (x, c, before, after) of its contexts) of rows that come sorted by group; a group has at most MOST distinct contexts."""
+    group, rows = None, {}
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if row[0] != h:
+        for h, side, half, x, c, _, before, after in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (h, side, half) != group:
                 if rows:
-                    yield h, list(rows.values())
-                h, rows = row[0], {}
-            rows[row[1]] = row
+                    yield group, list(rows.values())
+                group, rows = (h, side, half), {}
+            rows[x] = (x, c, before, after)
     if rows:
-        yield h, list(rows.values())
+        yield group, list(rows.values())
 
 
-def groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, x, repeat, left, right) of the maximal repeats through each k-gram; `repeat` numbers those of one k-gram."""
+def _by_group(contexts: DataFrame, rows_of, names: list[str]) -> DataFrame:
+    """rows_of(group, contexts) of each group, one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        names = ["h", "x", "repeat", "left", "right"]
-        for h, rows in _groups_in(batches):
-            for n, (members, left, right) in enumerate(maximal_repeats([(r[3], r[4]) for r in rows], length - gram)):
-                out += [(h, rows[i][1], n, left, right) for i in members]
+        for group, rows in _groups_in(batches):
+            for row in rows_of(group, rows):
+                out.append(row)
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
                     out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, x long, repeat long, left long, right long")
+    return contexts.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, side, half, repeat, x, left, right): the members of the maximal repeats of each group; `repeat` numbers them in it."""
+
+    def rows_of(group, rows):
+        for n, (members, left, right) in enumerate(maximal_repeats([row[2:] for row in rows], length - gram)):
+            yield from ((*group, n, rows[i][0], left, gram + right) for i in members)
+
+    return _by_group(contexts, rows_of, [*GROUP, "repeat", "x", "left", "right"])
 
 
 def reaches(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, x, left, right): how far repeats cover before and after each k-gram; a context that occurs twice is covered whole."""
+    """(h, x, left, right): how far repeats cover before and after a k-gram, of contexts that occur once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        names = ["h", "x", "left", "right"]
-        for h, rows in _groups_in(batches):
-            left, right = [-1] * len(rows), [-1] * len(rows)
-            for members, l, r in maximal_repeats([(row[3], row[4]) for row in rows], length - gram):
-                for i in members:
-                    left[i], right[i] = max(left[i], l), max(right[i], r)
-            out += [(h, row[1], l, gram + r) for row, l, r in zip(rows, left, right, strict=True) if l >= 0 and row[2] == 1]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+    def rows_of(group, rows):
+        left, right = [-1] * len(rows), [-1] * len(rows)
+        for members, l, r in maximal_repeats([row[2:] for row in rows], length - gram):
+            for i in members:
+                left[i], right[i] = max(left[i], l), max(right[i], r)
+        yield from ((group[0], row[0], l, gram + r) for row, l, r in zip(rows, left, right, strict=True) if l >= 0 and row[1] == 1)
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, x long, left long, right long")
+    return _by_group(contexts, rows_of, ["h", "x", "left", "right"])
 
 
 def reaches_by_window(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same by counting every window of every context; for k-grams with too many contexts to come together."""
+    """The same by counting every window of every context, by 128 bits of hash; for groups of too many contexts to come together."""
     side = length - gram
-    at = contexts.select("h", "x", "c", "before", "after", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("l"))
+    at = contexts.select(*GROUP, "x", "c", "before", "after", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("l"))
     fits = (F.octet_length("before") >= F.col("l")) & (F.octet_length("after") >= side - F.col("l"))
-    cut = F.concat(F.substring("before", F.lit(1), F.col("l")), F.substring("after", F.lit(1), side - F.col("l")))
-    windows = at.filter(fits).select("h", "x", "c", "l", cut.alias("w"))
-    often = windows.groupBy("h", "l", "w").agg(F.sum("c").alias("n")).filter("n > 1")
-    met = windows.filter("c = 1").join(often, ["h", "l", "w"])
+    piece = F.concat(F.substring("before", F.lit(1), F.col("l")), F.substring("after", F.lit(1), side - F.col("l")))
+    windows = at.filter(fits).select(*GROUP, "x", "c", "l", F.xxhash64(piece).alias("w"), F.xxhash64(piece, F.lit(1)).alias("v"))
+    often = windows.groupBy(*GROUP, "l", "w", "v").agg(F.sum("c").alias("n")).filter("n > 1").drop("n")
+    met = windows.filter("c = 1").join(written(often), [*GROUP, "l", "w", "v"])
     return met.groupBy("h", "x").agg(F.max("l").cast("long").alias("left"), F.max(F.lit(length) - F.col("l")).cast("long").alias("right"))
 
 
-def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """(k_a, k_b, spans): of each text with repeats, the byte ranges (start, end) that they cover; ranges may overlap and reach beyond the text."""
-    side = length - gram
+def prepared(docs: DataFrame, key: str, text: str, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(repeated_anchors(), distinct contexts of k-grams with more than one, with their count c, contexts_of() those that may repeat in part)."""
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("k_a"), F.xxhash64(F.col(text), F.lit(1)).alias("k_b"), F.col(text).alias("text"))
     found = repeated_anchors(texts.select("k_a", "k_b", "text"), length, gram)
     release(docs.sparkSession)
-    mixed = found.filter("mixed")
-    distinct = written(mixed.groupBy("h", "x").agg(F.count("*").alias("c"), F.min(F.struct("k_a", "k_b", "pos")).alias("at")).select("h", "x", "c", "at.*"))
-    sizes = distinct.groupBy("h").agg(F.count("*").alias("size"))
+    first = F.min(F.struct("k_a", "k_b", "pos", "half_before", "half_after"))
+    distinct = written(found.filter("mixed").groupBy("h", "x").agg(F.count("*").alias("c"), first.alias("at")).select("h", "x", "c", "at.*"))
     one = texts.groupBy("k_a", "k_b").agg(F.min("id").alias("least"))
-    bytes_of = written(contexts_of(texts, one, distinct, length, gram).join(sizes, "h"))
+    contexts = written(contexts_of(texts, one, meeting(distinct), length, gram))
     release(docs.sparkSession)
-    reach = reaches(bytes_of.filter(F.col("size") <= most).drop("size"), length, gram)
-    if bytes_of.filter(F.col("size") > most).limit(1).count():
-        reach = reach.union(reaches_by_window(bytes_of.filter(F.col("size") > most), length, gram))
+    return found, distinct, contexts
+
+
+def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """(k_a, k_b, spans): of each text with repeats, the byte ranges (start, end) that they cover; ranges may overlap and reach beyond the text."""
+    side = length - gram
+    found, distinct, contexts = prepared(docs, key, text, length, gram)
+    reach = reaches(contexts.filter(F.col("size") <= most), length, gram)
+    if contexts.filter(F.col("size") > most).limit(1).count():
+        reach = reach.union(reaches_by_window(contexts.filter(F.col("size") > most), length, gram))
     twice = distinct.filter("c > 1").select("h", "x", F.lit(side).cast("long").alias("left"), F.lit(length).cast("long").alias("right"))
-    partly = mixed.join(reach.union(twice), ["h", "x"]).select("k_a", "k_b", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
+    partly = found.filter("mixed").join(reach.union(twice), ["h", "x"]).select("k_a", "k_b", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
     wholly = found.filter("not mixed").select("k_a", "k_b", (F.col("pos") - side).alias("start"), (F.col("pos") + length).alias("end"))
-    ranges = wholly.union(partly).groupBy("k_a", "k_b").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return ranges
+    return wholly.union(partly).groupBy("k_a", "k_b").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """(h, side, half, repeat, k_a, k_b, start, end): every occurrence of every maximal repeat that ends within a context's reach, by group of at most `most` contexts. One long repeat appears once for each k-gram in it."""
+    found, _, contexts = prepared(docs, key, text, length, gram)
+    members = repeats(contexts.filter(F.col("size") <= most), length, gram)
+    return found.join(members, ["h", "x"]).select("h", "side", "half", "repeat", "k_a", "k_b", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
 
 
 def merged(spans: list[tuple[int, int]] | None, size: int) -> list[tuple[int, int]]:
