@@ -13,6 +13,7 @@ from email import message_from_bytes, policy
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def within(df: DataFrame, column: str, since=None, until=None) -> DataFrame:
@@ -85,7 +86,7 @@ def mbox(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_replace(F.regexp_replace("value", r"\A(?:From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1").alias("message"))
 
 
-@F.pandas_udf("message_id string, date string, sender string, recipients string, subject string, body string")
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("message_id", "date", "sender", "recipients", "subject", "body")]))
 def parsed_mail(messages: pd.Series) -> pd.DataFrame:
     """Headers and plain body of raw messages."""
 
