@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from yore.llm.common import table
 
-BUCKETS, SAMPLE, HALF, STEPS, CACHE = 1 << 17, 150, 16, 40, 300_000
+BUCKETS, SAMPLE, HALF, STEPS, CACHE = 1 << 17, 150, 16, 40, 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -208,7 +208,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 RUNS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
 
-def identify(docs: DataFrame, field: Field, text: str = "text", runs: bool = False, block: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, field: Field, text: str = "text", runs: bool = False, block: int = 1000) -> DataFrame:
     """docs with lang_pred and score and, with runs, the runs of words of one language (columns of these names are replaced)."""
     docs = docs.drop("lang_pred", "score", *["runs"] * runs)
     model = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS x languages numbers
