@@ -63,3 +63,38 @@ def test_sessions(spark):
     df = spark.createDataFrame([("u", 0), ("u", 600), ("u", 6000), ("v", 0)], "k string, s int").withColumn("at", F.timestamp_seconds("s"))
     assert sorted((r.k, r["count"]) for r in fold.sessions(df, "at", "k").collect()) == [("u", 1), ("u", 2), ("v", 1)]
     assert sum(r["count"] for r in fold.tumbling(df, "at", "1 hour").collect()) == 4
+
+
+def pages_of(at, size):
+    return [(i, f"row {i}") for i in range(at, min(at + size, 25))]
+
+
+def shard_pages(shard, cursor, size):
+    at = int(cursor or 0)
+    return [f"{shard}{i}" for i in range(at, min(at + size, 7))], at + size if at + size < 7 else None
+
+
+def test_paged_sources(spark):
+    from yore.sources.paged import paged
+
+    found = paged(spark, "tests.test_sources:pages_of", "n int, body string", size=10).collect()
+    assert sorted(tuple(r) for r in found) == [(i, f"row {i}") for i in range(25)]
+    shards = paged(spark, "tests.test_sources:shard_pages", style="cursor", size=3, shards="a,b")
+    assert shards.rdd.getNumPartitions() == 2 and sorted(r.body for r in shards.collect()) == [f"{s}{i}" for s in "ab" for i in range(7)]
+
+
+def test_sql_functions(spark):
+    from yore.functions.sql import register
+
+    register(spark)
+    assert spark.sql("SELECT html_to_text('<p>a</p>') AS t").first().t == "a"
+    got = spark.sql("SELECT fingerprint(x) AS f FROM VALUES (1, 'b'), (1, 'a'), (2, 'a'), (2, 'b'), (3, 'c') AS v(k, x) GROUP BY k").collect()
+    assert len({r.f for r in got}) == 2
+    assert sorted(tuple(r) for r in spark.sql("""SELECT * FROM json_fields('{"a": {"b": [1, null]}}')""").collect()) == [("a.b[0]", "1"), ("a.b[1]", None)]
+
+
+def test_mail_bodies(spark):
+    from yore.functions.texts import email_body
+
+    raw = "Hello\r\n\r\nYes.\n> quoted\n\nTo unsubscribe click here\nOn Mon, 1 Jan 2024, Ann <a@b.c> wrote:\n> old\n-- \nme"
+    assert spark.createDataFrame([(raw,)], "x string").select(email_body(F.col("x"))).first()[0] == "Hello\n\nYes."

@@ -83,3 +83,17 @@ def test_any_order_gives_the_same_tables(spark, made):
         for t in ("entities", "properties", "edges", "metrics", "words", "actions"):
             rows = lambda s: sorted(str({k: v for k, v in r.asDict().items() if k not in ("sightings", "n")}) for r in getattr(s, t).collect())
             assert rows(made) == rows(again), t
+
+
+def test_projections(made):
+    from yore.operators import project
+
+    jane = made.entities.filter("name = 'Jane'").first().entity
+    assert [r for r in project.current(made.properties).filter(F.col("entity") == jane).collect()][0]["values"]["mood"] == '"curious"'
+    book = made.entities.filter("name = 'New Title'")
+    assert {r.predicate for r in project.history(made.properties).join(book, "entity").first().runs} == {"name", "author", "genre"}
+    near = {r.distance for r in project.neighbourhood(made.properties, book, 2).collect()}
+    assert near == {0, 1}
+    assert project.hydrated(book.unionByName(made.entities.filter("name = 'Ann'")), made.properties, ["author", "author.memberOf"]).filter("name = 'New Title'").first()["author"] == ["Ann"]
+    assert len(project.sources(made.sourced).filter(F.col("entity") == jane).first().records) == 2
+    assert project.backlinks(made.properties, made.entities.filter("name = 'Ann'").first().entity).count() == 1

@@ -107,3 +107,13 @@ def metric(value: Column, unit: Column) -> Column:
     return (
         F.when(unit.isin("°F", "degF"), (value - 32) * 5 / 9).when(unit == "kJ", value / 4.184).when(unit == "lb", value * 0.45359237).when(unit == "st", value * 6.35029318).otherwise(value)
     )
+
+
+def email_body(text: Column) -> Column:
+    """What someone wrote in a mail: without quoted lines, what follows a reply header, a signature and a bulk footer."""
+    text = F.regexp_replace(text, r"\r\n?", "\n")
+    text = F.regexp_replace(text, r"(?ms)^(?:On [^\n]{5,200}\n?[^\n]{0,100}wrote:|-{2,}\s?Original Message\s?-{2,}|_{10,}|Le [^\n]{5,200} a écrit\s?:|Am [^\n]{5,200} schrieb[^\n]{0,80}:).*\z", "")
+    text = F.regexp_replace(text, r"(?m)^>.*\n?", "")
+    text = F.regexp_replace(text, r"(?ms)^-- ?\n.*\z", "")
+    text = F.regexp_replace(text, r"(?im)^.*(?:unsubscribe|view (?:this email )?in (?:your )?browser).*\n?", "")
+    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))

@@ -116,3 +116,20 @@ def best_url(spark, d):
 def tokens_index(spark, d):
     each = table(spark, d, "documents").select(F.explode(F.array_distinct(texts.tokens(F.col("text")))).alias("word"))
     return each.groupBy("word").agg(F.count("*").alias("docs")).filter("docs >= 100")
+
+
+def payloads(spark, d):
+    """Events as JSON payloads: an action of the event's type by a user, whose last value is a metric."""
+    user = F.struct(F.lit("Person").alias("@type"), F.array(F.lit("source"), F.lit("sourceId")).alias("@key"), F.lit("events").alias("source"), F.col("agent").cast("string").alias("sourceId"), F.concat(F.lit("User "), F.col("agent")).alias("name"), F.col("value").alias("weight"))
+    body = F.struct(F.concat(F.initcap("type"), F.lit("Action")).alias("@type"), F.array(F.lit("source"), F.lit("sourceId")).alias("@key"), F.lit("events").alias("source"), F.col("id").cast("string").alias("sourceId"), F.date_format(F.timestamp_millis("t"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), user.alias("agent"))
+    return actions(spark, d).select(F.to_json(body).alias("body"), F.lit(1_800_000_000_000).alias("asserted_at"))
+
+
+@query("fold_payloads", f"WITH {ACTIONS_SQL} SELECT 'User ' || agent AS name, count(*) AS acts, min(t) AS first, arg_max(value, (t, value)) AS latest FROM actions GROUP BY 1")
+def fold_payloads(spark, d):
+    from yore.plans.store import fold
+
+    s = fold(payloads(spark, d))
+    acts = s.edges.filter("role = 'agent'").join(s.actions, "action").groupBy("entity").agg(F.count("*").alias("acts"), F.min("occurred_at").alias("first"))
+    last = s.metrics.groupBy("entity").agg(F.max_by("number", F.struct("valid_at", "number")).alias("latest"))
+    return s.entities.join(acts, "entity").join(last, "entity").select("name", "acts", "first", "latest")
