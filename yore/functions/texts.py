@@ -116,4 +116,4 @@ def email_body(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?m)^>.*\n?", "")
     text = F.regexp_replace(text, r"(?ms)^-- ?\n.*\z", "")
     text = F.regexp_replace(text, r"(?im)^.*(?:unsubscribe|view (?:this email )?in (?:your )?browser).*\n?", "")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
