@@ -54,20 +54,20 @@ class Anchors:
         h ^= h >> np.uint64(29)
         return h
 
-    def find(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(positions, hashes of k-grams, of contexts, of the half before and of the half after, zero where the text is too short) of a text's bytes."""
-        found = [self._piece(data, at) for at in range(0, max(1, len(data) - self.length + 1), CHUNK)]
+    def find(self, data: np.ndarray, halves: bool = False) -> tuple[np.ndarray, ...]:
+        """(positions, hashes of k-grams, of contexts) of a text's bytes and, with halves, of the half before and the half after, zero where the text is too short."""
+        found = [self._piece(data, at, halves) for at in range(0, max(1, len(data) - self.length + 1), CHUNK)]
         pos = np.concatenate([x[0] for x in found])
         keep = np.diff(pos, prepend=-1) > 0  # pieces overlap
-        return tuple(np.concatenate([x[i] for x in found])[keep] for i in range(5))
+        return tuple(np.concatenate([x[i] for x in found])[keep] for i in range(3 + 2 * halves))
 
-    def _piece(self, data: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
+    def _piece(self, data: np.ndarray, at: int, halves: bool) -> tuple[np.ndarray, ...]:
         """Minimisers of the windows that start in [at, at + CHUNK)."""
         first = max(0, at - self.length)  # contexts reach before and after the piece
         end = min(len(data), at + CHUNK + self.length - 1)
         last = min(len(data), end + self.length)
         if end - at < self.length:
-            return np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 4
+            return np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * (2 + 2 * halves)
         part = data[first:last]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(self.value[part] * self.up[: len(part)], out=sums[1:])
@@ -85,6 +85,8 @@ class Anchors:
         left, right = np.maximum(pos + a - self.side, 0), np.minimum(pos + a + self.length, len(part))
         context = (sums[right] - sums[left]) * self.down[left]
         sizes = ((pos + a - left) * 1000 + (right - pos - a)).astype(np.uint64)
+        if not halves:
+            return pos + at, h[pos], self._mix(context ^ self._mix(sizes * np.uint64(_STEP)))
         half = self.side // 2
         here, past = pos + a, pos + a + self.gram
 
@@ -146,8 +148,8 @@ def anchors(texts: DataFrame, length: int, gram: int, halves: bool = False) -> D
             for i, value in enumerate(batch.column(2)):
                 data = np.frombuffer(value.as_buffer() or b"", np.uint8)
                 if len(data) >= length:
-                    pos, h, x, before, after = (y.view(np.int64) for y in find(data))
-                    for to, got in zip(rows, (h, x, np.full(len(pos), a[i]), np.full(len(pos), b[i]), pos, before, after), strict=False):
+                    pos, h, x, *both = (y.view(np.int64) for y in find(data, halves))
+                    for to, got in zip(rows, (h, x, np.full(len(pos), a[i]), np.full(len(pos), b[i]), pos, *both), strict=True):
                         to.append(got)
                     size += len(pos)
                 if size > 100_000:
