@@ -33,7 +33,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    """Runs of letters; a run of nothing but figures such as ½ is none."""
+    return [w for w in LETTERS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def features(word: str) -> list[int]:
