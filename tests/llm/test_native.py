@@ -88,6 +88,24 @@ def test_personal_data(spark):
     assert pii.redact(docs).count() == len(rows) and pii.spans(docs.limit(0)).count() == 0
 
 
+def test_identifiers_before_marks(spark):
+    marks = [". Next", ".", "- and", "/", "@ home", "...", ".)", ", so", "", "_ x", "-./@"]
+    texts = [f"account is AB{i:02d}345{m}" for i, m in enumerate(marks)] + ["key 0123456789abcdef0123.", "see a-1/b-2@c.d3.", "a1b2.", "a1b2c.", "12.5-", "a" * 50000 + "1" + "." * 50000, "a1." * 30000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    found = {r.i: [(x.start, x.end, x.value) for x in r.m] for r in df.select("i", pii.matches(df.t, pii.CANDIDATE, 40).alias("m")).collect()}
+    run = re.compile(r"(?<![A-Za-z0-9+/_.@-])[A-Za-z0-9+][A-Za-z0-9+/_.@-]*")
+    for i, t in enumerate(texts):
+        kept = [(m.start(), m[0].rstrip("./@-")) for m in run.finditer(t)]
+        assert found[i] == [(a, a + len(x), x) for a, x in kept if len(x) >= 5 and any(c.isdigit() for c in x)]
+    assert found[0] == [(11, 18, "AB00345")] and [x[2] for x in found[len(marks)]] == ["0123456789abcdef0123"]
+
+
+def test_secrets_at_the_end_of_sentences(spark):
+    docs = spark.createDataFrame([(i, f"w{i} the secret code: {i:02d}ab12cd34ef56ab7890. Next", "en", 0) for i in range(20)] + [(50, "my secret code: ZZ98765. Bye", "en", 0)], SCHEMA)
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[50] == "my secret code: <SECRET>. Bye" and clean[3] == "w3 the secret code: <SECRET>. Next"
+
+
 def test_url_rules_and_ranks(spark):
     pages = [(1, "http://a.example.com/en/x?q#f", '<a href="https://bad.net/x">x</a>', 7), (2, "HTTP://WWW.Example.COM/en/", None, 7), (3, None, None, 7), (4, "no scheme", "", 7), (5, "x://h.net/es/1", "//", 7), (6, "x://h.net/es", "", 7), (7, "x://n.net/es/2", "<a href='//h.net/'>", 7), (8, "x://n.net/de/", "", 7), (8, "x://n.net/de/", "", 7), (9, "x://com", "", 7), (10, "x://org/../", '<A HREF = "http://h.net">', 7), (11, "x://h.net/fr/9", "", 7), (12, "x://shop.org/", "", 7)]
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")

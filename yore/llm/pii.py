@@ -28,8 +28,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Candidates: six or more letters, digits and joining marks with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9+/_.@-]{4,}+(?<![./@-])"
+#: Candidates: five or more letters, digits and joining marks with a digit among them. Marks that end a run are no part of it, as in "is AB12345."; the last look-behind tests the length.
+CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9+_]*+(?:[/.@-]++[A-Za-z0-9+_]++)*+(?<=[A-Za-z0-9+/_.@-]{5})"
 SECRET = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$"
 SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string>>"
 
