@@ -62,3 +62,11 @@ def test_one_of_each_and_empty(spark):
     all_ids = {r[2] for r in S.near_duplicates(docs).collect()}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, all_ids))
     assert S.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_one_row_of_each_component_without_ids(spark):
+    rng = random.Random(7)
+    a, b, c, d = ([rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(60)] for _ in range(4))
+    rows = [(None, " ".join(a)), (None, " ".join(a)), (None, " ".join(b)), (7, " ".join(c)), (7, " ".join(d)), (7, " ".join(d)), (None, " ".join(d)), (8, " ".join(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, S.one_of_each(docs).collect())) == sorted(map(str, docs.distinct().filter("doc_id = 7 or (doc_id is null and text in ('%s', '%s'))" % (" ".join(a), " ".join(b))).collect()))

@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yore.llm.common import cut, table
+from yore.llm.common import cut, row_key, table
 from yore.operators.components import connected_components
 
 TAU, RING, BLOCK, SHINGLE = 2, 9, 512, 3
@@ -153,12 +153,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return prints.join(components(prints, key, **how), "fp").select(key, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, **how) -> DataFrame:
-    """The row of each component whose key is the component's id, with the columns of docs; of rows that share a key, one stays."""
-    marked = with_fingerprints(docs, text, "fp__", size)
-    found = components(cut(marked.select(key, F.col("fp__").alias("fp"))), key, **how).select(F.col("fp").alias("fp__"), F.col("component_id").alias("component__"))
-    kept = marked.join(found, "fp__").filter(F.col(key).eqNullSafe(F.col("component__")))
-    return kept.dropDuplicates([key]).select(*docs.columns)
+def _only_rows(docs: DataFrame, elected: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs that elected (_election() structs, column e) names, one of each, with the columns of docs."""
+    named = elected.select(F.col("e.k_id").alias("e_id"), F.xxhash64("e.k_id").alias("e_c"), F.col("e.k_a").alias("e_a"), F.col("e.k_b").alias("e_b"))
+    left = docs.select(F.struct(*docs.columns).alias("row__"), *row_key(key, text)).withColumn("k_c", F.xxhash64("k_id"))
+    kept = left.join(named, (left.k_c == named.e_c) & (left.k_a == named.e_a) & (left.k_b == named.e_b) & left.k_id.eqNullSafe(named.e_id))
+    return kept.dropDuplicates(["k_c", "k_a", "k_b"]).select(*[F.col("row__")[c].alias(c) for c in docs.columns])
+
+
+def _election() -> Column:
+    """What the least of a component is chosen by: the id, nulls last, then the text's hashes."""
+    return F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_a", "k_b"))
+
+
+def _elected(least: DataFrame, links: DataFrame) -> DataFrame:
+    """The least e of each component of node, from (node, e)."""
+    parts = connected_components(links)
+    named = least.join(parts.withColumnRenamed("node", "n__"), F.col("node") == F.col("n__"), "left").select(F.coalesce("component", "node").alias("component"), "e")
+    return named.groupBy("component").agg(F.min("e").alias("e"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, tau: int = TAU, ring: int = RING, block: int = BLOCK) -> DataFrame:
+    """One row of each component, with the columns of docs: that with the least key, nulls last, then with the least hash of the text."""
+    marked = with_fingerprints(docs.select(*row_key(key, text), F.col(text).alias("text__")), "text__", "fp", size).drop("text__")
+    least = cut(marked.groupBy(F.col("fp").alias("node")).agg(_election().alias("e")))
+    return _only_rows(docs, cut(_elected(least, fingerprint_links(least.select(F.col("node").alias("fp")), tau, ring, block))), key, text)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
