@@ -9,22 +9,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to the checkpoint folder that the cluster shares; lineage ends there.
+def folder(session: SparkSession) -> str:
+    """The folder for checkpoints and tables that the cluster shares: spark.checkpoint.dir, or what the session was told by setCheckpointDir.
 
-    The folder is spark.checkpoint.dir. Only a session without one (tests, a laptop) gets a temporary folder.
+    Only a local master (tests, a laptop) may go without one and gets a temporary folder; no executor could read that of
+    a cluster's driver.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+    context = session.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    told = context._jsc.sc().getCheckpointDir()
+    if told.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="yore-checkpoints-"))
+        told = context._jsc.sc().getCheckpointDir()
+    return told.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and written to folder(); lineage ends there."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the checkpoint folder: like cut(), but columnar and compressed, for what is large."""
+    """df as a Parquet table in folder(): like cut(), but columnar and compressed, for what is large."""
     session = df.sparkSession
-    folder = session.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{folder}/yore-tables/{uuid.uuid4().hex}"
+    path = f"{folder(session)}/yore-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return session.read.parquet(path)
 
