@@ -25,6 +25,30 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, op, none) -> Column:
+    """For each element, op over all before it (none for the first), and op over all at the end: one element more than values.
+
+    In steps of 256 and of 256 steps, so that an array of n elements is grown by copies of at most n / 256 and of 256 elements.
+    """
+    grown = lambda xs: F.aggregate(
+        xs, F.array(none), lambda out, x: F.concat(out, F.array(op(F.element_at(out, -1), x)))
+    )
+
+    def of(xs: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / 256).cast("int")), lambda i: F.slice(xs, i * 256 + 1, 256))
+        return let(steps, joined)
+
+    def joined(steps: Column) -> Column:
+        return let(grown(F.transform(steps, lambda s: F.aggregate(s, none, lambda a, x: op(a, x)))), lambda before: inner(steps, before))
+
+    def inner(steps: Column, before: Column) -> Column:
+        # every step's own running values, its last one left out, after what came before the step
+        each = F.transform(steps, lambda s, i: let(F.get(before, i), lambda b: F.transform(F.slice(grown(s), 1, F.size(s)), lambda x: op(b, x))))
+        return F.concat(F.flatten(each), F.slice(before, -1, 1))
+
+    return let(values, of)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, UPPER, LOWER)

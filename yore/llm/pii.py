@@ -9,7 +9,9 @@ distinct instances and CONFIDENCE are trusted, and candidates in their context w
 
 One pass over the texts reduces each to its base spans and candidates; only these move. Counts are aggregated before
 each shuffle, and the joins are plain equi-joins that adaptive execution can split. Null texts are empty, rows that
-repeat get the same spans, ties go to the kind first in KINDS, an empty table gives an empty table.
+repeat get the same spans, ties go to the kind first in KINDS, an empty table gives an empty table. Very long texts and
+texts of very many matches are read whole, in a time that grows little faster than their length. Columns of any other
+name are kept by redact() and not read by spans().
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yore.llm.common import cut, let, row_key, table
+from yore.llm.common import cut, let, row_key, running, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.7
+#: Characters of the pieces that a text is cut into before spans are taken out of it.
+CHUNK = 1024
 
 #: Base patterns. Possessive forms and look-behinds of what the plain forms match: a run is scanned from its start once.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -32,29 +36,35 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9+_]*+(?:[/.@-]++[A-Za-z0-9+_]++)*+(?<=[A-Za-z0-9+/_.@-]{5})"
 SECRET = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$"
 SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string>>"
+#: The first three units (and white space) of a text that is read backwards.
+UNITS = r"^\s*+(?:(?:\p{L}++|[^\p{L}\s])\s*+){0,3}"
 
 
-def matches(text: Column, pattern: str, context: int = 0) -> Column:
-    """array<struct<start, end, value, left>> of the pattern's matches: code points, end exclusive, and up to `context` characters before."""
-    regex = F.lit(pattern)
+def matches(text: Column, pattern: str, context: bool = False) -> Column:
+    """array<struct<start, end, value, left>> of the pattern's matches: code points, end exclusive, and with context the three units before.
+
+    A match of a candidate holds two units at least, so the two matches before with what is between hold three, however
+    far back they reach. Positions are running sums of lengths, so that texts with very many matches take little longer.
+    """
 
     def walk(found: Column) -> Column:
-        def step(pieces: Column):
-            def add(a: Column, x: Column) -> Column:
-                piece = F.get(pieces, a["i"])
-                begin = a["at"] + F.length(piece)
-                left = F.substring(F.concat(a["last"], piece), -context, context) if context else F.lit("")
-                return let(
-                    F.struct(begin.alias("start"), (begin + F.length(x)).alias("end"), x.alias("value"), left.alias("left")),
-                    lambda s: F.struct(s["end"].alias("at"), (a["i"] + 1).alias("i"), x.alias("last"), F.concat(a["out"], F.array(s)).alias("out")),
-                )
+        def told(pieces: Column, before: Column) -> Column:
+            def span(x: Column, i: Column) -> Column:
+                at = lambda xs, j: F.coalesce(F.get(xs, j), F.lit(""))
+                back = F.reverse(F.concat(at(found, i - 2), at(pieces, i - 1), at(found, i - 1), at(pieces, i)))
+                left = F.reverse(F.regexp_extract(back, UNITS, 0)) if context else F.lit("")
+                begin = F.get(before, i) + F.length(at(pieces, i))
+                return F.struct(begin.alias("start"), (begin + F.length(x)).alias("end"), x.alias("value"), left.alias("left"))
+
+            return F.transform(found, span)
 
-            return add
+        def steps(pieces: Column) -> Column:
+            sizes = F.transform(found, lambda x, i: (F.length(F.get(pieces, i)) + F.length(x)).cast("long"))
+            return let(running(sizes, lambda a, b: a + b, F.lit(0).cast("long")), lambda before: told(pieces, before))
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("i"), F.lit("").alias("last"), F.array().cast(SPAN).alias("out"))
-        return let(F.split(text, pattern), lambda pieces: F.aggregate(found, start, step(pieces), lambda a: a["out"]))
+        return let(F.split(text, pattern), steps)
 
-    return let(F.regexp_extract_all(text, regex, F.lit(0)), lambda found: F.when(F.size(found) > 0, walk(found)).otherwise(F.array().cast(SPAN)))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, walk(found)).otherwise(F.array().cast(SPAN)))
 
 
 def _digits(x: Column) -> Column:
@@ -90,15 +100,42 @@ def reduced(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     t = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(*row_key(key, text), t.alias("t__"))
     spans = [F.transform(s, _named(i)) for i, s in enumerate(base_spans(F.col("t__")).values())]
-    tokens = F.when(F.col("t__").rlike("[0-9]"), matches(F.col("t__"), CANDIDATE, 40)).otherwise(F.array().cast(SPAN))
-    found = found.withColumn("base", F.concat(*spans)).withColumn("tokens", tokens).drop("t__")
+    tokens = F.when(F.col("t__").rlike("[0-9]"), matches(F.col("t__"), CANDIDATE, True)).otherwise(F.array().cast(SPAN))
+    found = found.withColumn("by_kind", F.array(*spans)).withColumn("base", F.flatten("by_kind")).withColumn("tokens", tokens).drop("t__")
+
+    def candidate(c: Column, over: Column) -> Column:
+        kind = F.coalesce(over, F.when(c["value"].rlike(SECRET), len(KINDS) - 1))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), kind.alias("kind"), over.isNotNull().alias("known"), _patterns(c["left"]).alias("patterns"))
+
+    def with_base(over: Column) -> Column:
+        return F.transform("tokens", lambda c, i: candidate(c, F.get(over, i)))
+
+    alone = F.transform("tokens", lambda c: candidate(c, F.lit(None).cast("int")))
+    both = (F.size("base") > 0) & (F.size("tokens") > 0)
+    return found.withColumn("candidates", F.when(both, let(_met(F.col("tokens"), F.col("by_kind")), with_base)).otherwise(alone)).drop("tokens", "by_kind")
 
-    def candidate(c: Column) -> Column:
-        over = F.filter("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-        kind = F.coalesce(F.get(over, F.lit(0))["kind"], F.when(c["value"].rlike(SECRET), len(KINDS) - 1))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), kind.alias("kind"), (F.size(over) > 0).alias("known"), _patterns(c["left"]).alias("patterns"))
 
-    return found.withColumn("candidates", F.transform("tokens", candidate)).drop("tokens")
+def _met(tokens: Column, by_kind: Column) -> Column:
+    """For each token the first kind of which a span overlaps it, or null. Spans of one kind are apart and in order, so only the last one that starts by the token's start and the next one can.
+
+    How many spans of each kind start by then is a running count over all starts in order.
+    """
+    kinds = range(len(KINDS) - 1)
+    starts = [F.transform(F.get(by_kind, F.lit(k)), lambda s: F.struct(s["start"].alias("at"), s["kind"].alias("kind"))) for k in kinds]
+    events = F.array_sort(F.concat(*starts, F.transform(tokens, lambda s: F.struct(s["start"].alias("at"), F.lit(len(KINDS)).alias("kind")))))
+    add = lambda a, x: F.struct(*[(a[f"n{k}"] + x[f"n{k}"]).alias(f"n{k}") for k in kinds])
+    none = F.struct(*[F.lit(0).alias(f"n{k}") for k in kinds])
+
+    def counted(es: Column) -> Column:
+        ones = F.transform(es, lambda e: F.struct(*[(e["kind"] == k).cast("int").alias(f"n{k}") for k in kinds]))
+        by_event = lambda before: F.transform(es, lambda e, i: F.struct(e["kind"].alias("kind"), F.get(before, i).alias("n")))
+        return F.transform(F.filter(let(running(ones, add, none), by_event), lambda e: e["kind"] == len(KINDS)), lambda e: e["n"])
+
+    def kind_of(c: Column, n: Column) -> Column:
+        over = lambda k: (F.get(F.get(by_kind, F.lit(k)), n[f"n{k}"] - 1)["end"] > c["start"]) | (F.get(F.get(by_kind, F.lit(k)), n[f"n{k}"])["start"] < c["end"])
+        return F.coalesce(*[F.when(over(k), F.lit(k)) for k in kinds])
+
+    return let(let(events, counted), lambda ns: F.transform(tokens, lambda c, i: kind_of(c, F.get(ns, i))))
 
 
 def _named(i: int):
@@ -143,27 +180,35 @@ def _said(spans: Column, names: tuple[str, ...]) -> Column:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with every span in the text replaced by its kind in capitals and angle brackets; overlapping spans become one, of the first's kind. Null texts stay null."""
-    by_row = spans(docs, key, text, **how).withColumn("spans", F.array_union("base", "found")).filter(F.size("spans") > 0).select("k_id", "k_a", "k_b", "spans").distinct()
+    by_row = spans(docs, key, text, **how).withColumn("spans", F.concat("base", "found")).filter(F.size("spans") > 0).select("k_id", "k_a", "k_b", "spans").distinct()
     left = docs.select(F.struct(*docs.columns).alias("row"), *row_key(key, text))
     joined = left.join(by_row, left.k_id.eqNullSafe(by_row.k_id) & (left.k_a == by_row.k_a) & (left.k_b == by_row.k_b), "left")
     kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     told = F.col("row")[text]
 
-    def step(a: Column, s: Column) -> Column:
-        between = F.substring(told, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        new = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(between, F.get(kinds, s["kind"]))).alias("out"))
-        return F.when(s["start"] >= a["at"], new).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate(ordered, start, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(told, (a["at"] + 1).cast("int"), F.length(told)))), ""))
+    def cut_out(chunks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b of the text, from the chunks of CHUNK that hold them; a substring of the whole text would read it from its start for each span."""
+        first = F.floor(a / CHUNK).cast("int")
+        held = F.array_join(F.slice(chunks, first + 1, F.floor((b - 1) / CHUNK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(held, (a - first * CHUNK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    def rebuilt(chunks: Column, all_spans: Column, before: Column) -> Column:
+        # before: the furthest end of the spans before each
+        told_one = lambda s, i: F.when(s["start"] >= F.get(before, i), F.concat(cut_out(chunks, F.get(before, i), s["start"]), F.get(kinds, s["kind"]))).otherwise("")
+        tail = cut_out(chunks, F.element_at(before, -1), F.length(told).cast("long"))
+        return F.concat(F.array_join(F.transform(all_spans, told_one), ""), tail)
+
+    chunks = F.regexp_extract_all(told, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    ends = lambda xs: running(F.transform(xs, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0).cast("long"))
+    new = let(chunks, lambda c: let(ordered, lambda xs: let(ends(xs), lambda before: rebuilt(c, xs, before))))
     return joined.select(*[F.when(F.col("spans").isNull(), told).otherwise(new).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    everything = F.array_sort(F.array_union("base", "found"))
+    everything = F.array_sort(F.concat("base", "found"))
     return found.select(
         F.col("k_id").alias("doc_id"), *[count(k) for k in KINDS[:4]], F.sha2(_said(F.col("base"), KINDS), 256).alias("base_sha256"), _said(everything, KINDS).alias("spans"),
         F.size("found").cast("long").alias("n_found"),
