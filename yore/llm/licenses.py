@@ -1,14 +1,15 @@
 """License detection by ordered signature rules.
 
 A text is normalised to its words (lower-cased ASCII letters, digits, anything beyond ASCII) with one space around
-each. A rule is a regular expression over that form with the words that must be present for it to be tried, a
-priority and a label. The keyword prefilter is one intersection of the text's words with all keywords; only rules whose
-keywords are all there run. Detections are word ranges; one that lies within another's range is suppressed unless its
+each. A rule is a regular expression over that form with the words that must be present for it to be tried (all of some,
+and one of others), a priority and a label. The keyword prefilter is one intersection of the text's words with all
+keywords; only rules whose keywords are there run. Detections are word ranges; one that lies within another's range is suppressed unless its
 priority is higher (a smaller number), and at equal priority the longer and then the earlier rule wins. Base phrases
 are reported besides and never suppressed.
 
 All is computed within the row by SQL functions, so no text moves. Null and empty texts have no words, no detections
-and score 0; repeated rows and ties get the same result each; an empty table gives an empty table.
+and score 0; repeated rows and ties get the same result each; an empty table gives an empty table. Very long texts are
+read whole; positions are running sums, so that very many places in one text take little longer than their number.
 """
 
 from __future__ import annotations
@@ -16,34 +17,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yore.llm.common import ascii_lower, let, table
+from yore.llm.common import ascii_lower, let, running, table
 
 #: Phrase -> label: the base, fixed values.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 EXACT, NAMED, FAMILY, HINT = 1, 2, 3, 4
 
-#: Licenses by identifier: (label, words of its name as a regular expression, a keyword that the name always has).
+#: Licenses by identifier: (label, its name as alternatives of words, keywords of which every alternative has one).
 NAMES = [
     ("mit", "mit", "mit"), ("mit-0", "mit 0|mit no attribution", "mit"), ("x11", "x11", "x11"), ("isc", "isc", "isc"),
-    ("apache-1.0", "apache (?:software )?license (?:version |v)?1 0|apache 1 0", "apache"), ("apache-1.1", "apache (?:software )?license (?:version |v)?1 1|apache 1 1", "apache"),
-    ("apache-2.0", "apache (?:software )?license (?:version |v)?2(?: 0)?|apache (?:version |v)?2(?: 0)?|al2 0", "apache"),
-    ("bsd-0-clause", "0 ?bsd|bsd zero clause|bsd 0 clause", "bsd"), ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "bsd"),
-    ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", "bsd"), ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd"),
-    ("gpl-1.0", "(?:gnu )?(?:gpl|general public license) (?:version |v)?1(?: 0)?|gplv1", "gpl"), ("gpl-2.0", "(?:gnu )?gpl (?:version |v)?2(?: 0)?|gplv2", "gpl"), ("gpl-3.0", "(?:gnu )?gpl (?:version |v)?3(?: 0)?|gplv3", "gpl"),
-    ("lgpl-2.0", "(?:gnu )?lgpl (?:version |v)?2(?: 0)?|lgplv2", "lgpl"), ("lgpl-2.1", "(?:gnu )?lgpl (?:version |v)?2 1|lgplv2 1", "lgpl"), ("lgpl-3.0", "(?:gnu )?lgpl (?:version |v)?3(?: 0)?|lgplv3", "lgpl"),
-    ("agpl-3.0", "(?:gnu )?agpl (?:version |v)?3(?: 0)?|agplv3", "agpl"), ("gfdl", "gnu free documentation license|gfdl", "gfdl"),
-    ("mpl-1.0", "(?:mozilla public license|mpl) (?:version |v)?1 0", "mpl"), ("mpl-1.1", "(?:mozilla public license|mpl) (?:version |v)?1 1", "mpl"), ("mpl-2.0", "(?:mozilla public license|mpl) (?:version |v)?2(?: 0)?", "mpl"),
-    ("epl-1.0", "(?:eclipse public license|epl) (?:version |v)?1(?: 0)?", "epl"), ("epl-2.0", "(?:eclipse public license|epl) (?:version |v)?2(?: 0)?", "epl"),
-    ("cddl-1.0", "cddl (?:version |v)?1(?: 0)?", "cddl"), ("cddl-1.1", "cddl (?:version |v)?1 1", "cddl"), ("cpl-1.0", "common public license|cpl 1 0", "cpl"),
-    ("eupl-1.1", "eupl (?:version |v)?1 1", "eupl"), ("eupl-1.2", "eupl (?:version |v)?1 2", "eupl"), ("artistic-1.0", "artistic license (?:version |v)?1(?: 0)?", "artistic"), ("artistic-2.0", "artistic license (?:version |v)?2(?: 0)?", "artistic"),
-    ("bsl-1.0", "boost software license(?: version)?(?: 1 0)?", "boost"), ("busl-1.1", "business source license(?: 1 1)?|busl 1 1", "busl"), ("sspl-1.0", "server side public license|sspl", "sspl"),
-    ("unlicense", "the unlicense|unlicense", "unlicense"), ("wtfpl", "wtfpl|do what the fuck you want to public license", "wtfpl"), ("zlib", "zlib(?: libpng)? license|zlib", "zlib"), ("libpng", "libpng license", "libpng"),
-    ("openssl", "openssl license", "openssl"), ("ofl-1.1", "sil open font license(?: version)?(?: 1 1)?|ofl 1 1", "ofl"), ("odbl-1.0", "open database license|odbl(?: 1 0)?", "odbl"), ("odc-by-1.0", "odc by|open data commons attribution", "odc"), ("pddl-1.0", "pddl|public domain dedication and license", "pddl"),
-    ("python-2.0", "python software foundation license|psf 2 0|python 2 0", "python"), ("php-3.01", "php license(?: version)? 3 01|php 3 01", "php"), ("ruby", "ruby license", "ruby"), ("postgresql", "postgresql license|postgresql", "postgresql"), ("ncsa", "ncsa open source license|ncsa", "ncsa"),
-    ("ms-pl", "microsoft public license|ms pl", "ms"), ("ms-rl", "microsoft reciprocal license|ms rl", "ms"), ("vim", "vim license", "vim"), ("tcl", "tcl tk license|tcl", "tcl"), ("curl", "curl license", "curl"), ("ijg", "independent jpeg group|ijg", "ijg"), ("unicode", "unicode license", "unicode"),
-    ("w3c", "w3c software notice and license|w3c", "w3c"), ("zpl-2.1", "zope public license(?: 2 1)?|zpl 2 1", "zpl"), ("elastic-2.0", "elastic license(?: 2 0)?", "elastic"), ("bsd-protection", "bsd protection license", "bsd"), ("afl-3.0", "academic free license(?: version)?(?: 3 0)?|afl 3 0", "afl"), ("osl-3.0", "open software license(?: 3 0)?|osl 3 0", "osl"),
-    ("cecill-2.1", "cecill(?: 2 1)?", "cecill"), ("mulan-2.0", "mulan psl(?: v2)?", "mulan"), ("rail", "openrail(?: m)?|open rail|responsible ai license", "openrail"), ("cdla-permissive-2.0", "cdla permissive(?: 2 0)?", "cdla"), ("cdla-sharing-1.0", "cdla sharing(?: 1 0)?", "cdla"),
+    ("apache-1.0", "apache (?:software )?license (?:v(?:ersion )?)?1 0|apache 1 0", "apache"), ("apache-1.1", "apache (?:software )?license (?:v(?:ersion )?)?1 1|apache 1 1", "apache"),
+    ("apache-2.0", "apache (?:software )?license (?:v(?:ersion )?)?2(?: 0)?|apache (?:v(?:ersion )?)?2(?: 0)?|al2 0", "apache al2"),
+    ("bsd-0-clause", "0 ?bsd|bsd zero clause|bsd 0 clause", "bsd 0bsd"), ("bsd-2-clause", "bsd 2 clause|2 clause bsd|simplified bsd|freebsd", "bsd freebsd"),
+    ("bsd-3-clause", "bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd", "bsd"), ("bsd-4-clause", "bsd 4 clause|4 clause bsd|original bsd", "bsd"),
+    ("gpl-1.0", "(?:gnu )?gpl (?:v(?:ersion )?)?1(?: 0)?|gnu general public license (?:v(?:ersion )?)?1(?: 0)?|gplv1", "gpl gplv1 general"), ("gpl-2.0", "(?:gnu )?gpl (?:v(?:ersion )?)?2(?: 0)?|gplv2", "gpl gplv2"), ("gpl-3.0", "(?:gnu )?gpl (?:v(?:ersion )?)?3(?: 0)?|gplv3", "gpl gplv3"),
+    ("lgpl-2.0", "(?:gnu )?lgpl (?:v(?:ersion )?)?2(?: 0)?|lgplv2", "lgpl lgplv2"), ("lgpl-2.1", "(?:gnu )?lgpl (?:v(?:ersion )?)?2 1|lgplv2 1", "lgpl lgplv2"), ("lgpl-3.0", "(?:gnu )?lgpl (?:v(?:ersion )?)?3(?: 0)?|lgplv3", "lgpl lgplv3"),
+    ("agpl-3.0", "(?:gnu )?agpl (?:v(?:ersion )?)?3(?: 0)?|agplv3", "agpl agplv3"), ("gfdl", "gnu free documentation license|gfdl", "gfdl documentation"),
+    ("mpl-1.0", "mozilla public license (?:v(?:ersion )?)?1 0|mpl (?:v(?:ersion )?)?1 0", "mpl mozilla"), ("mpl-1.1", "mozilla public license (?:v(?:ersion )?)?1 1|mpl (?:v(?:ersion )?)?1 1", "mpl mozilla"), ("mpl-2.0", "mozilla public license (?:v(?:ersion )?)?2(?: 0)?|mpl (?:v(?:ersion )?)?2(?: 0)?", "mpl mozilla"),
+    ("epl-1.0", "eclipse public license (?:v(?:ersion )?)?1(?: 0)?|epl (?:v(?:ersion )?)?1(?: 0)?", "epl eclipse"), ("epl-2.0", "eclipse public license (?:v(?:ersion )?)?2(?: 0)?|epl (?:v(?:ersion )?)?2(?: 0)?", "epl eclipse"),
+    ("cddl-1.0", "cddl (?:v(?:ersion )?)?1(?: 0)?", "cddl"), ("cddl-1.1", "cddl (?:v(?:ersion )?)?1 1", "cddl"), ("cpl-1.0", "common public license|cpl 1 0", "cpl common"),
+    ("eupl-1.1", "eupl (?:v(?:ersion )?)?1 1", "eupl"), ("eupl-1.2", "eupl (?:v(?:ersion )?)?1 2", "eupl"), ("artistic-1.0", "artistic license (?:v(?:ersion )?)?1(?: 0)?", "artistic"), ("artistic-2.0", "artistic license (?:v(?:ersion )?)?2(?: 0)?", "artistic"),
+    ("bsl-1.0", "boost software license(?: version)?(?: 1 0)?", "boost"), ("busl-1.1", "business source license(?: 1 1)?|busl 1 1", "busl business"), ("sspl-1.0", "server side public license|sspl", "sspl server"),
+    ("unlicense", "the unlicense|unlicense", "unlicense"), ("wtfpl", "wtfpl|do what the fuck you want to public license", "wtfpl fuck"), ("zlib", "zlib(?: libpng)? license|zlib", "zlib"), ("libpng", "libpng license", "libpng"),
+    ("openssl", "openssl license", "openssl"), ("ofl-1.1", "sil open font license(?: version)?(?: 1 1)?|ofl 1 1", "ofl font"), ("odbl-1.0", "open database license|odbl(?: 1 0)?", "odbl database"), ("odc-by-1.0", "odc by|open data commons attribution", "odc commons"), ("pddl-1.0", "pddl|public domain dedication and license", "pddl dedication"),
+    ("python-2.0", "python software foundation license|psf 2 0|python 2 0", "python psf"), ("php-3.01", "php license(?: version)? 3 01|php 3 01", "php"), ("ruby", "ruby license", "ruby"), ("postgresql", "postgresql license|postgresql", "postgresql"), ("ncsa", "ncsa open source license|ncsa", "ncsa"),
+    ("ms-pl", "microsoft public license|ms pl", "ms microsoft"), ("ms-rl", "microsoft reciprocal license|ms rl", "ms microsoft"), ("vim", "vim license", "vim"), ("tcl", "tcl tk license|tcl", "tcl"), ("curl", "curl license", "curl"), ("ijg", "independent jpeg group|ijg", "ijg jpeg"), ("unicode", "unicode license", "unicode"),
+    ("w3c", "w3c software notice and license|w3c", "w3c"), ("zpl-2.1", "zope public license(?: 2 1)?|zpl 2 1", "zpl zope"), ("elastic-2.0", "elastic license(?: 2 0)?", "elastic"), ("bsd-protection", "bsd protection license", "bsd"), ("afl-3.0", "academic free license(?: version)?(?: 3 0)?|afl 3 0", "afl academic"), ("osl-3.0", "open software license(?: 3 0)?|osl 3 0", "osl software"),
+    ("cecill-2.1", "cecill(?: 2 1)?", "cecill"), ("mulan-2.0", "mulan psl(?: v2)?", "mulan"), ("rail", "openrail(?: m)?|open rail|responsible ai license", "openrail rail responsible"), ("cdla-permissive-2.0", "cdla permissive(?: 2 0)?", "cdla"), ("cdla-sharing-1.0", "cdla sharing(?: 1 0)?", "cdla"),
 ]
 
 #: Signatures written out: (label, priority, keywords that must all be present, regular expression).
@@ -78,16 +79,105 @@ WRITTEN = [
     ("wtfpl", EXACT, "you just want", "you just do what the fuck you want to"),
     ("ofl-1.1", EXACT, "font sil open", "this font software is licensed under the sil open font license"),
     ("cc0-1.0", NAMED, "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc0-1.0", EXACT, "creative commons zero", "creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?"),
+    ("cc0-1.0", EXACT, "creative commons", "creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?"),
     ("public-domain", FAMILY, "public domain", "(?:in|into|to) the public domain"),
     ("public-domain", NAMED, "dedicated public domain", "dedicated to the public domain"),
     ("proprietary", NAMED, "proprietary confidential", "proprietary and confidential|confidential and proprietary"),
-    ("proprietary", NAMED, "unauthorized copying prohibited", "unauthorized (?:copying|use|reproduction|distribution) (?:\\S+ ){0,12}is (?:strictly )?prohibited"),
+    ("proprietary", NAMED, "unauthorized prohibited", "unauthorized (?:copying|use|reproduction|distribution) (?:\\S+ ){0,12}is (?:strictly )?prohibited"),
     ("reserved", NAMED, "rights reserved", "(?:all|some|no) rights reserved"),
     ("reserved", NAMED, "droits réservés", "tous droits réservés"),
     ("reserved", NAMED, "rechte vorbehalten", "alle rechte vorbehalten"),
     ("reserved", NAMED, "derechos reservados", "todos los derechos reservados"),
     ("copyright", FAMILY, "copyright", "copyright (?:c |© )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*"),
+    ("mit", NAMED, "substantial portions software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", NAMED, "merchantability noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", NAMED, "authors holders liable", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("isc", NAMED, "author disclaims warranties", "the (?:software is provided as is and the )?author disclaims all warranties with regard to this software"),
+    ("isc", NAMED, "negligence tortious", "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", NAMED, "redistributions source retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", NAMED, "redistributions binary reproduce", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", NAMED, "contributors express warranties", "this software is provided by the (?:\\S+ ){1,8}and contributors as is and any express or implied warranties"),
+    ("bsd", NAMED, "procurement substitute", "procurement of substitute goods or services loss of use data or profits or business interruption"),
+    ("bsd-3-clause", NAMED, "endorse promote derived", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3-clause-clear", EXACT, "express implied patent", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("apache-2.0", NAMED, "unless applicable agreed", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", NAMED, "apache licenses", "(?:https? )?(?:www )?apache org licenses license 2 0"),
+    ("apache-2.0", NAMED, "perpetual worldwide irrevocable", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-1.1", EXACT, "includes developed apache", "this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl", EXACT, "free redistribute modify", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", NAMED, "hope useful warranty", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", NAMED, "received general public", "you should have received a copy of the gnu general public license along with this"),
+    ("gpl-2.0", NAMED, "franklin boston", "51 franklin st(?:reet)? fifth floor boston ma 02110 1301"),
+    ("gpl-2.0", NAMED, "temple place boston", "59 temple place suite 330 boston ma 02111 1307"),
+    ("gpl-3.0", NAMED, "copyleft kinds works", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2.0", NAMED, "guarantee freedom share", "the gnu general public license is intended to guarantee your freedom to share and change free software"),
+    ("lgpl", EXACT, "redistribute lesser", "this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl-2.1+", EXACT, "lesser later", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3.0+", EXACT, "lesser later", "gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.0", EXACT, "library redistribute general", "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license"),
+    ("agpl-3.0+", EXACT, "affero later", "gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3.0", NAMED, "affero network server", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("gfdl", EXACT, "copy distribute document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", NAMED, "mpl obtain", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", EXACT, "contents subject mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.0", EXACT, "contents subject mozilla", "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("epl-2.0", EXACT, "accompanying eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0"),
+    ("epl-1.0", EXACT, "accompanying eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("cpl-1.0", EXACT, "accompanying common", "this program and the accompanying materials are made available under the terms of the common public license v1 0"),
+    ("cddl-1.0", EXACT, "contents common development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl-1.0", NAMED, "common development distribution", "common development and distribution license"),
+    ("eupl-1.1", EXACT, "eupl european", "licensed under the eupl version 1 1 or as soon they will be approved by the european commission"),
+    ("eupl-1.2", EXACT, "eupl licensed", "licensed under the eupl version 1 2"),
+    ("artistic-1.0", NAMED, "intent artistic", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("artistic-2.0", NAMED, "everyone verbatim permitted", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("perl", NAMED, "perl itself", "you (?:can|may) redistribute it and or modify it under the same terms as perl itself"),
+    ("bsl-1.0", EXACT, "boost distributed", "distributed under the boost software license version 1 0"),
+    ("bsl-1.0", NAMED, "machine executable object", "such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("busl-1.1", EXACT, "licensor grants licensed", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl-1.0", EXACT, "functionality third service", "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", EXACT, "hosted managed service", "you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", EXACT, "commons clause", "commons clause license condition"),
+    ("commons-clause", NAMED, "grant sell", "the license does not grant to you the right to sell the software"),
+    ("unlicense", NAMED, "dedication heirs", "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors"),
+    ("wtfpl", NAMED, "everyone permitted verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("zlib", NAMED, "express implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
+    ("zlib", NAMED, "altered plainly marked", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("openssl", EXACT, "openssl toolkit project", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", EXACT, "cryptographic eric young", "this product includes cryptographic software written by eric young"),
+    ("ofl-1.1", NAMED, "font reserved name", "no modified version of the font software may use the reserved font name"),
+    ("odbl-1.0", EXACT, "database made available", "made available under the open database license"),
+    ("cc0-1.0", NAMED, "waived related neighboring", "has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", NAMED, "publicdomain zero", "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", NAMED, "publicdomain mark", "creativecommons org publicdomain mark 1 0"),
+    ("cc", FAMILY, "creative commons", "creative commons (?:public )?licen[sc]e"),
+    ("python-2.0", EXACT, "psf licensee", "this license agreement is between the python software foundation psf and the individual or organization licensee"),
+    ("php-3.01", EXACT, "subject php version", "this source file is subject to version 3 01 of the php license"),
+    ("ruby", EXACT, "redistribute bsdl", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl"),
+    ("postgresql", EXACT, "written fee granted", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", EXACT, "deal with software", "to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("ms-pl", EXACT, "contributor grants worldwide", "each contributor grants you a non exclusive worldwide royalty free copyright license to reproduce its contribution"),
+    ("vim", EXACT, "vim charityware", "vim is charityware"),
+    ("curl", EXACT, "daniel stenberg", "copyright (?:c )?(?:\\S+ ){1,4}daniel stenberg"),
+    ("ijg", EXACT, "independent jpeg", "this software is based in part on the work of the independent jpeg group"),
+    ("unicode", EXACT, "unicode data files", "a copy of the unicode data files and any associated documentation"),
+    ("w3c", EXACT, "royalty granted modification", "permission to copy modify and distribute this (?:work|software) and its documentation with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("x11", EXACT, "consortium advertising", "the name of the x consortium shall not be used in advertising or otherwise to promote the sale"),
+    ("hpnd", EXACT, "advertising publicity pertaining", "(?:not )?be used in advertising or publicity pertaining to distribution of the software without specific written prior permission"),
+    ("beerware", EXACT, "beer return", "you can buy me a beer in return"),
+    ("cecill-2.1", EXACT, "cecill governed", "this software is governed by the cecill license under french law"),
+    ("mulan-2.0", EXACT, "mulan psl", "is licensed under mulan psl v2"),
+    ("llama", NAMED, "llama community license", "llama (?:2|3|3 1|3 2|3 3) community license(?: agreement)?"),
+    ("rail", NAMED, "restrictions paragraph", "use based restrictions as referenced in paragraph 5"),
+    ("json", EXACT, "good evil", "the software shall be used for good not evil"),
+    ("proprietary", EXACT, "property", "this (?:software|document|file) (?:is|contains) (?:the )?(?:proprietary|confidential) (?:\\S+ ){0,8}property of"),
+    ("proprietary", NAMED, "internal use only", "for internal use only"),
+    ("proprietary", NAMED, "part without", "no part of this (?:publication|document|work|book) may be (?:\\S+ ){0,12}without (?:the )?(?:express |prior )?(?:\\S+ ){0,4}(?:permission|consent)"),
+    ("non-commercial", NAMED, "non commercial only", "(?:for )?non commercial (?:use|purposes) only"),
+    ("non-commercial", NAMED, "noncommercial only", "(?:for )?noncommercial (?:use|purposes) only"),
+    ("research-only", NAMED, "research only", "for research (?:use|purposes) only"),
+    ("reserved", NAMED, "diritti riservati", "tutti i diritti riservati"),
+    ("reserved", NAMED, "direitos reservados", "todos os direitos reservados"),
+    ("reserved", NAMED, "rechten voorbehouden", "alle rechten voorbehouden"),
     ("license", HINT, "licensed under", "licensed under (?:the )?(?:terms of )?\\S+"),
     ("license", HINT, "released under", "released under (?:the )?(?:terms of )?\\S+"),
     ("license", HINT, "distributed under", "distributed under (?:the )?(?:terms of )?\\S+"),
@@ -95,28 +185,29 @@ WRITTEN = [
 ]
 
 
-def rules() -> list[tuple[str, int, list[str], str]]:
-    """All rules in order: (label, priority, keywords, regular expression over the words).
+def rules() -> list[tuple[str, int, list[str], list[str], str]]:
+    """All rules in order: (label, priority, keywords that must all be there, keywords of which one must, regular expression over the words).
 
-    Besides the written ones, each named license gives three: its name in a declaration (SPDX, "licensed under"), its
-    name with the word license, and, for the Creative Commons, all elements in all versions.
+    Besides the written ones, each named license gives five: its name in a declaration (SPDX, "licensed under"), its
+    name with the word license where the name has none; and the Creative Commons all elements in all versions.
     """
-    out = [(label, priority, words.split(), pattern) for label, priority, words, pattern in WRITTEN]
-    for label, name, word in NAMES:
-        words = [word] if all(word in x for x in name.split("|")) else []
+    out = [(label, priority, words.split(), [], pattern) for label, priority, words, pattern in WRITTEN]
+    for label, name, words in NAMES:
         for lead in ("spdx license identifier", "licensed under", "released under", "distributed under"):
-            out.append((label, EXACT, [*lead.split(), *words], f"{lead} (?:the )?(?:terms of the )?(?:{name})(?: license)?"))
-        out.append((label, NAMED, ["license", *words], f"(?:the )?(?:{name}) license"))
+            out.append((label, EXACT, lead.split(), words.split(), f"{lead} (?:the )?(?:terms of the )?(?:{name})(?: license)?"))
+        # a name says license, or the word follows it: mit, zlib and their like are plain words too
+        whole = "|".join(x if "license" in x.split() else f"(?:{x}) license" for x in name.split("|"))
+        out.append((label, NAMED, ["license"], words.split(), f"(?:the )?(?:{whole})"))
     for parts in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
         label, name = "cc-" + parts.replace(" ", "-"), {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
         spelled = " ".join(name[x] for x in parts.split())
-        out.append((label, FAMILY, ["cc", *parts.split()], f"cc {parts}"))
-        out.append((label, FAMILY, ["creative", "commons", *spelled.split()], f"creative commons {spelled}"))
+        out.append((label, FAMILY, ["cc", *parts.split()], [], f"cc {parts}"))
+        out.append((label, FAMILY, ["creative", "commons", *spelled.split()], [], f"creative commons {spelled}"))
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
             versioned = f"{label}-{version.replace(' ', '.')}"
-            out.append((versioned, NAMED, ["cc", *parts.split(), version.split()[0]], f"cc {parts} {version}"))
-            out.append((versioned, NAMED, ["creative", "commons", version.split()[0]], f"creative commons {spelled} {version}"))
-            out.append((versioned, NAMED, ["licenses", version.split()[0]], f"creativecommons org licenses {parts} {version}"))
+            out.append((versioned, NAMED, ["cc", *parts.split(), version.split()[0]], [], f"cc {parts} {version}"))
+            out.append((versioned, NAMED, ["creative", "commons", version.split()[0]], [], f"creative commons {spelled} {version}"))
+            out.append((versioned, NAMED, ["licenses", version.split()[0]], [], f"creativecommons org licenses {parts} {version}"))
     return out
 
 
@@ -131,20 +222,14 @@ def places(said: Column, pattern: Column) -> Column:
     n_words = lambda s: (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
 
     def walk(found: Column) -> Column:
-        return let(
-            F.split(said, whole),
-            lambda pieces: F.aggregate(
-                found,
-                F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")),
-                lambda a, x: let(
-                    a["at"] + n_words(F.get(pieces, a["i"])),
-                    lambda p: F.struct(
-                        (p + n_words(x)).alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(F.struct((p - 1).alias("start"), (p + n_words(x)).alias("end")))).alias("out")
-                    ),
-                ),
-                lambda a: a["out"],
-            ),
-        )
+        def told(pieces: Column) -> Column:
+            sizes = F.transform(found, lambda x, i: n_words(F.get(pieces, i)) + n_words(x))
+            place = lambda before: F.transform(
+                found, lambda x, i: F.struct((F.get(before, i) + n_words(F.get(pieces, i)) - 1).alias("start"), F.get(before, i + 1).alias("end"))
+            )
+            return let(running(sizes, lambda a, b: a + b, F.lit(0).cast("long")), place)
+
+        return let(F.split(said, whole), told)
 
     return let(F.regexp_extract_all(said, whole, F.lit(0)), lambda found: F.when(F.size(found) > 0, walk(found)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
@@ -153,31 +238,34 @@ FOUND = "array<struct<start:bigint,end:bigint,priority:int,rule:int,label:string
 
 
 def _suppress(found: Column) -> Column:
-    """What is left when a range within another of no lower priority goes. One pass over the ranges by start and then by length, keeping the furthest end so far of each priority."""
-    ordered = F.array_sort(found, lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).when(a["end"] != b["end"], F.signum(b["end"] - a["end"])).when(a["priority"] != b["priority"], F.signum(a["priority"] - b["priority"])).otherwise(F.signum(a["rule"] - b["rule"])).cast("int"))
+    """What is left when a range within another of no lower priority goes: over the ranges by start and then by length, the furthest end so far of each priority."""
+    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["priority"].alias("priority"), x["rule"].alias("rule"), x["label"].alias("label"))))
+
+    def left(xs: Column, far: list[Column]) -> Column:
+        # the same range with a better priority sorts first, so what covers x and may suppress it is before it
+        over = lambda x, i: F.coalesce(*[F.when((x["priority"] >= p) & (F.get(f, i) >= -x["back"]), True) for p, f in enumerate(far, 1)], F.lit(False))
+        kept = F.filter(xs, lambda x, i: ~over(x, i))
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["priority"].alias("priority"), x["rule"].alias("rule"), x["label"].alias("label")))
+
+    def furthest(xs: Column, p: int) -> Column:
+        return running(F.transform(xs, lambda x: F.when(x["priority"] == p, -x["back"]).otherwise(F.lit(-1).cast("long"))), lambda a, b: F.greatest(a, b), F.lit(-1).cast("long"))
 
-    def step(a: Column, x: Column) -> Column:
-        # the same range with a better priority sorts first, so what covers x and may suppress it has been seen
-        over = F.exists(F.sequence(F.lit(1), x["priority"]), lambda p: F.element_at(a["far"], p) >= x["end"])
-        return F.struct(
-            F.transform(a["far"], lambda e, i: F.when(i + 1 == x["priority"], F.greatest(e, x["end"])).otherwise(e)).alias("far"),
-            F.when(over, a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"),
-        )
+    def with_all(xs: Column, far: tuple[Column, ...]) -> Column:
+        return left(xs, [*far]) if len(far) == HINT else let(furthest(xs, len(far) + 1), lambda f: with_all(xs, (*far, f)))
 
-    start = F.struct(F.array(*[F.lit(-1).cast("long")] * 4).alias("far"), F.array().cast(FOUND).alias("out"))
-    return F.when(F.size(found) > 1, F.aggregate(ordered, start, step, lambda a: a["out"])).otherwise(found)
+    return F.when(F.size(found) > 1, let(ordered, lambda xs: with_all(xs, ()))).otherwise(found)
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, base (array of start, end, label, in the order of the text) and detections (array of start, end, priority, rule, label). Columns of these names are replaced."""
     table_of = rules()
     # the long words say most: a rule's gate is its rarest keywords; all are checked
-    signed = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.array(*map(F.lit, words)).alias("words"), F.lit(pattern).alias("pattern")) for i, (label, p, words, pattern) in enumerate(table_of)])
-    keys = F.array(*[F.lit(w) for w in sorted({w for _, _, words, _ in table_of for w in words})])
+    signed = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.array(*map(F.lit, words)).alias("words"), F.array(*map(F.lit, some)).cast("array<string>").alias("some"), F.lit(pattern).alias("pattern")) for i, (label, p, words, some, pattern) in enumerate(table_of)])
+    keys = F.array(*[F.lit(w) for w in sorted({w for _, _, words, some, _ in table_of for w in words + some})])
 
     def per_rule(said: Column) -> Column:
         def tried(present: Column) -> Column:
-            gate = lambda r: F.size(F.array_except(r["words"], present)) == 0
+            gate = lambda r: (F.size(F.array_except(r["words"], present)) == 0) & ((F.size(r["some"]) == 0) | F.arrays_overlap(r["some"], present))
             hits = lambda r: F.transform(places(said, r["pattern"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
             return F.when(F.size(present) > 0, let(F.flatten(F.transform(F.filter(F.col("rules__"), gate), hits)), _suppress)).otherwise(F.array().cast(FOUND))
 
