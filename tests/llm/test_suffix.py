@@ -27,7 +27,7 @@ def brute(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
+@pytest.mark.parametrize("most", [1000, 1])
 def test_matches_brute_force(spark, most):
     rows = documents()
     found = suffix.remove(spark.createDataFrame(rows, SCHEMA), digest=True, most=most).collect()
@@ -82,4 +82,47 @@ def test_groups_hold_equal_strings(spark):
     strings = {}
     for r in found:
         strings.setdefault((r.h, r.side, r.half, r.repeat), []).append(r.text.encode()[r.start : r.end])
+        strings[r.h, r.side, r.half, r.repeat] += [r.text.encode()[r.last_start : r.last_start + r.end - r.start]] * (r.times > 1)
     assert strings and all(len(set(x)) == 1 and len(x) > 1 and len(x[0]) >= 200 for x in strings.values())
+
+
+@pytest.mark.parametrize("most", [1000, 1])
+def test_groups_miss_no_occurrence(spark, most):
+    """Every string of 20 bytes that occurs twice is in a group with all its places."""
+    from collections import defaultdict
+
+    rng = random.Random(9)
+    piece = ["".join(rng.choices("abc ", k=30)) for _ in range(12)]
+    texts = ["".join(rng.choices("abcd ", k=rng.randint(0, 40))).join(rng.choices(piece, k=rng.randint(1, 5))) for _ in range(40)]
+    texts += [texts[0], texts[1], texts[1] + "x", "-" * 150, "y" + "-" * 90, "=+" * 60, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = {r.text: r.k for r in docs.selectExpr("text", "xxhash64(text) k").collect()}
+    places = defaultdict(set)
+    for t in set(texts) - {None}:
+        for p in range(len(t) - 19):
+            places[t[p : p + 20]].add((hashes[t], p))
+    text_of, said = {k: t for t, k in hashes.items()}, defaultdict(set)
+    for r in suffix.repeat_groups(docs, length=20, gram=6, most=most).collect():
+        step = (r.last_start - r.start) // (r.times - 1) if r.times > 1 else 0
+        for i in range(r.times):
+            for o in range(r.end - r.start - 19):
+                said[r.h, r.side, r.half, r.repeat, o].add((r.k_a, r.start + i * step + o))
+    best = {}
+    for group in said.values():
+        k, p = next(iter(group))
+        w = text_of[k][p : p + 20]
+        best[w] = max(best.get(w, 0), len(group))
+        assert group <= places[w]
+    counts = defaultdict(int)
+    for t in texts:
+        for p in range(len(t or "") - 19):
+            counts[t[p : p + 20]] += 1
+    want = {w: len(x) for w, x in places.items() if counts[w] > 1}
+    assert len(want) > 300 and all(best.get(w) == n for w, n in want.items())
+
+
+def test_low_entropy_has_few_rows(spark):
+    size = 300_000
+    texts = ["-" * size, "=-" * (size // 2), "".join(random.Random(1).choices("abcdefghij", k=size))]
+    counts = [suffix.anchors(spark.createDataFrame([(1, 2, t)], "k_a long, k_b long, text string"), 200, 40).count() for t in texts]
+    assert max(counts[:2]) < counts[2] and suffix.remove(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), digest=True).first().n_removed == size

@@ -12,9 +12,11 @@ byte on both sides are the maximal repeats, with all their occurrences. What lie
 covered.
 
 Groups of more than MOST distinct contexts do not come together: their windows are counted one by one, which is linear
-in the number of contexts and splits over any number of tasks. Texts are identified by 128 bits of hash, so copies are
+in the number of contexts and splits over any number of tasks. Places that follow each other with equal k-grams and
+contexts, as in a ruled line, are one row. Texts are identified by 128 bits of hash, so copies are
 compared once and share their result. Null texts are empty, and texts of fewer than LENGTH bytes keep all; repeated
-rows cover each other like any copies; ties do not matter; an empty table gives an empty table.
+rows cover each other like any copies; ties do not matter; an empty table gives an empty table. Very long texts are
+hashed CHUNK bytes at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from yore.llm.common import release, table, written
 
-LENGTH, GRAM, MOST = 200, 40, 20_000
+LENGTH, GRAM, MOST = 200, 40, 1000
 #: Bytes that are hashed at a time; longer texts go in overlapping pieces.
 CHUNK = 1 << 20
 _STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
@@ -136,8 +138,12 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes]], need: int) -> Iterator[
 
 
 def anchors(texts: DataFrame, length: int, gram: int, halves: bool = False) -> DataFrame:
-    """(h, x, k_a, k_b, pos): k-gram, context, text and place of every minimiser; with halves also the hashes of half the bytes before and after it."""
-    names = ["h", "x", "k_a", "k_b", "pos", *(["half_before", "half_after"] if halves else [])]
+    """(h, x, k_a, k_b, pos, last, n): k-gram, context, text and place of every minimiser; with halves also the hashes of half the bytes before and after it.
+
+    A run of minimisers that agree in k-gram and context, as in a ruled line, is one row with the first place, the last
+    one and their number: places that follow each other are never further apart than a repeat reaches.
+    """
+    names = ["h", "x", "k_a", "k_b", "pos", "last", "n", *(["half_before", "half_after"] if halves else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(length, gram).find
@@ -149,9 +155,11 @@ def anchors(texts: DataFrame, length: int, gram: int, halves: bool = False) -> D
                 data = np.frombuffer(value.as_buffer() or b"", np.uint8)
                 if len(data) >= length:
                     pos, h, x, *both = (y.view(np.int64) for y in find(data, halves))
-                    for to, got in zip(rows, (h, x, np.full(len(pos), a[i]), np.full(len(pos), b[i]), pos, *both), strict=True):
+                    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (x[1:] != x[:-1]))))
+                    n, m = np.diff(first, append=len(pos)), len(first)
+                    for to, got in zip(rows, (h[first], x[first], np.full(m, a[i]), np.full(m, b[i]), pos[first], pos[first + n - 1], n, *(y[first] for y in both)), strict=True):
                         to.append(got)
-                    size += len(pos)
+                    size += m
                 if size > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=names)
                     rows, size = [[] for _ in names], 0
@@ -163,7 +171,7 @@ def anchors(texts: DataFrame, length: int, gram: int, halves: bool = False) -> D
 
 def repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """The rows of anchors() whose k-gram occurs again, with `mixed`: whether its contexts differ."""
-    counts = anchors(texts, length, gram).groupBy("h").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    counts = anchors(texts, length, gram).groupBy("h").agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     # a table of its own: joined straight to the aggregate, a k-gram with a large share of all rows could not be split
     again = written(counts.filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
     return written(anchors(texts, length, gram, halves=True).join(again, "h"))
@@ -172,13 +180,13 @@ def repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 GROUP = ["h", "side", "half"]
 
 
-def meeting(distinct: DataFrame) -> DataFrame:
-    """Rows of distinct contexts in groups (h, side, half, size) of two or more of which at least one is alone. A context can be in a group for each side."""
+def meeting(distinct: DataFrame, lone: bool = True) -> DataFrame:
+    """Rows of distinct contexts in groups (h, side, half, size) of two or more of which, with lone, at least one is alone. A context can be in a group for each side."""
     each = distinct.select(
         "h", "x", "c", "k_a", "k_b", "pos",
         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("half_before").alias("half")), F.struct(F.lit(1).alias("side"), F.col("half_after").alias("half")))).alias("g"),
     ).select("h", "g.side", "g.half", "x", "c", "k_a", "k_b", "pos").filter("half <> 0")
-    sizes = each.groupBy(*GROUP).agg(F.count("*").alias("size"), F.min("c").alias("c")).filter("size > 1 and c = 1").drop("c")
+    sizes = each.groupBy(*GROUP).agg(F.count("*").alias("size"), F.min("c").alias("c")).filter("size > 1 and c = 1" if lone else "size > 1").drop("c")
     return each.join(written(sizes), GROUP)
 
 
@@ -265,27 +273,40 @@ def reaches(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return _by_group(contexts, rows_of, ["h", "x", "left", "right"])
 
 
-def reaches_by_window(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same by counting every window of every context, by 128 bits of hash; for groups of too many contexts to come together."""
+def windows_of(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, side, half, x, c, l, w, v): every window of every context, by the bytes before the k-gram and 128 bits of hash."""
     side = length - gram
     at = contexts.select(*GROUP, "x", "c", "before", "after", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("l"))
     fits = (F.octet_length("before") >= F.col("l")) & (F.octet_length("after") >= side - F.col("l"))
     piece = F.concat(F.substring("before", F.lit(1), F.col("l")), F.substring("after", F.lit(1), side - F.col("l")))
-    windows = at.filter(fits).select(*GROUP, "x", "c", "l", F.xxhash64(piece).alias("w"), F.xxhash64(piece, F.lit(1)).alias("v"))
+    return at.filter(fits).select(*GROUP, "x", "c", "l", F.xxhash64(piece).alias("w"), F.xxhash64(piece, F.lit(1)).alias("v"))
+
+
+def reaches_by_window(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """What reaches() gives, by counting every window; for groups of too many contexts to come together."""
+    windows = windows_of(contexts, length, gram)
     often = windows.groupBy(*GROUP, "l", "w", "v").agg(F.sum("c").alias("n")).filter("n > 1").drop("n")
     met = windows.filter("c = 1").join(written(often), [*GROUP, "l", "w", "v"])
     return met.groupBy("h", "x").agg(F.max("l").cast("long").alias("left"), F.max(F.lit(length) - F.col("l")).cast("long").alias("right"))
 
 
-def prepared(docs: DataFrame, key: str, text: str, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeats_by_window(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """What repeats() gives, cut into windows: a repeat for each window that two or more contexts have."""
+    windows = windows_of(contexts, length, gram)
+    often = windows.groupBy(*GROUP, "l", "w", "v").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = windows.join(written(often), [*GROUP, "l", "w", "v"])
+    return met.select(*GROUP, F.xxhash64("l", "w", "v").alias("repeat"), "x", F.col("l").cast("long").alias("left"), (F.lit(length) - F.col("l")).cast("long").alias("right"))
+
+
+def prepared(docs: DataFrame, key: str, text: str, length: int, gram: int, lone: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(repeated_anchors(), distinct contexts of k-grams with more than one, with their count c, contexts_of() those that may repeat in part)."""
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("k_a"), F.xxhash64(F.col(text), F.lit(1)).alias("k_b"), F.col(text).alias("text"))
     found = repeated_anchors(texts.select("k_a", "k_b", "text"), length, gram)
     release(docs.sparkSession)
     first = F.min(F.struct("k_a", "k_b", "pos", "half_before", "half_after"))
-    distinct = written(found.filter("mixed").groupBy("h", "x").agg(F.count("*").alias("c"), first.alias("at")).select("h", "x", "c", "at.*"))
+    distinct = written(found.filter("mixed").groupBy("h", "x").agg(F.sum("n").alias("c"), first.alias("at")).select("h", "x", "c", "at.*"))
     one = texts.groupBy("k_a", "k_b").agg(F.min("id").alias("least"))
-    contexts = written(contexts_of(texts, one, meeting(distinct), length, gram))
+    contexts = written(contexts_of(texts, one, meeting(distinct, lone), length, gram))
     release(docs.sparkSession)
     return found, distinct, contexts
 
@@ -298,16 +319,32 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     if contexts.filter(F.col("size") > most).limit(1).count():
         reach = reach.union(reaches_by_window(contexts.filter(F.col("size") > most), length, gram))
     twice = distinct.filter("c > 1").select("h", "x", F.lit(side).cast("long").alias("left"), F.lit(length).cast("long").alias("right"))
-    partly = found.filter("mixed").join(reach.union(twice), ["h", "x"]).select("k_a", "k_b", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
-    wholly = found.filter("not mixed").select("k_a", "k_b", (F.col("pos") - side).alias("start"), (F.col("pos") + length).alias("end"))
+    partly = found.filter("mixed").join(reach.union(twice), ["h", "x"]).select("k_a", "k_b", (F.col("pos") - F.col("left")).alias("start"), (F.col("last") + F.col("right")).alias("end"))
+    wholly = found.filter("not mixed").select("k_a", "k_b", (F.col("pos") - side).alias("start"), (F.col("last") + length).alias("end"))
     return wholly.union(partly).groupBy("k_a", "k_b").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """(h, side, half, repeat, k_a, k_b, start, end): every occurrence of every maximal repeat that ends within a context's reach, by group of at most `most` contexts. One long repeat appears once for each k-gram in it."""
-    found, _, contexts = prepared(docs, key, text, length, gram)
-    members = repeats(contexts.filter(F.col("size") <= most), length, gram)
-    return found.join(members, ["h", "x"]).select("h", "side", "half", "repeat", "k_a", "k_b", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
+    """(h, side, half, repeat, k_a, k_b, start, end, times, last_start): every occurrence of every maximal repeat, as far as a k-gram's context reaches, which is every window around it.
+
+    The first four name a group. Side 0 and 1: contexts that agree in part; where more than `most` do, a group for each
+    window instead of each maximal repeat. Side 2: contexts that are equal as a whole (half is their hash). A run of
+    `times` occurrences in equal steps, as in a ruled line, is one row with the last one's start. One long repeat appears
+    once for each k-gram in it.
+    """
+    side = length - gram
+    found, distinct, contexts = prepared(docs, key, text, length, gram, lone=False)
+    members = repeats(contexts.filter(F.col("size") <= most), length, gram).union(repeats_by_window(contexts.filter(F.col("size") > most), length, gram))
+    partly = found.filter("mixed").join(members, ["h", "x"]).select(
+        *[F.col(c).cast("long") for c in (*GROUP, "repeat")], "k_a", "k_b", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"), F.col("n").alias("times"), (F.col("last") - F.col("left")).alias("last_start")
+    )
+    equal = found.filter("not mixed").drop("mixed").unionByName(found.filter("mixed").drop("mixed").join(distinct.filter("c > 1").select("h", "x"), ["h", "x"], "left_semi"))
+    sizes = docs.select(F.xxhash64(text).alias("k_a"), F.xxhash64(F.col(text), F.lit(1)).alias("k_b"), F.octet_length(text).alias("size")).distinct()
+    start = F.greatest(F.col("pos") - side, F.lit(0))
+    wholly = equal.join(sizes, ["k_a", "k_b"]).select(
+        "h", F.lit(2).cast("long").alias("side"), F.col("x").alias("half"), F.lit(0).cast("long").alias("repeat"), "k_a", "k_b", start.alias("start"), F.least(F.col("pos") + length, F.col("size")).alias("end"), F.col("n").alias("times"), (F.col("last") - F.col("pos") + start).alias("last_start")
+    )
+    return partly.union(wholly)
 
 
 def merged(spans: list[tuple[int, int]] | None, size: int) -> list[tuple[int, int]]:
