@@ -45,3 +45,14 @@ def test_empty_tables_and_removal(spark):
     bench = spark.createDataFrame([(1, "alpha BETA gamma")], "item_id long, text string")
     assert sorted(str(r.text) for r in D.without_spans(docs, bench).collect()) == ["None", "keep this  end"]
     assert [r.doc_id for r in D.clean(docs, bench).collect()] == [2]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_columns_that_clash_and_long_texts(spark, limit):
+    text = "one two three four five six seven eight nine ten " * 3000
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4, 5, 6, 7)], "doc_id long, text string, k_a int, k_id int, k_b int, items__ int, w__ int, met int, row__ int")
+    bench = spark.createDataFrame([(9, "six seven eight nine ten one two three four five")], "item_id long, text string")
+    found = D.flag(docs, bench, broadcast_bytes=limit)
+    r = found.first()
+    assert found.columns == [*docs.columns, "n_words", "n_hit", "items", "spans"] and tuple(r)[:9] == tuple(docs.first())
+    assert (r.n_words, r.n_hit, [tuple(x) for x in r.spans], list(r["items"])) == (30000, 29990, [(5, 29995)], ["9"])

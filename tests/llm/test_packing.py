@@ -51,6 +51,24 @@ def test_padding_is_small(spark):
     assert padding <= 0.02 * sum(size.values())
 
 
+def test_three_limits_at_once(spark):
+    """The query's own limits, with loss on some documents alone: no sequence exceeds any of the three, and the loss limit is often the one that is met."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
+    found = P.pack(docs.withColumn("answer", docs.doc_id % 3 != 0), JSON, RANKS, loss=512, bears="answer").collect()
+    by_sequence = {}
+    for r in found:
+        t, n, b = by_sequence.get(r.sequence_id, (0, 0, 0))
+        by_sequence[r.sequence_id] = (t + r.length, n + 1, b + r.loss_tokens)
+    assert all(t <= 1024 and n <= P.SEGMENTS and b <= 512 for t, n, b in by_sequence.values())
+    assert sum(b == 512 > t - b for t, _, b in by_sequence.values()) > 10 and sum(0 < b < t for t, _, b in by_sequence.values()) > 10
+
+
+def test_keys_of_any_type_and_clashing_columns(spark):
+    docs = spark.createDataFrame([("a", "x y", 1), (None, None, 2)], "name string, text string, start int")
+    found = P.pack(docs, JSON, key="name")
+    assert found.columns == ["name", *P.PIECES] and {r.name for r in found.collect()} == {"a", None}
+
+
 def test_fast_ids_equal_the_tokenizers(spark):
     texts = ["", "a", " x  y\n\n z\t\r\n", "it's I'LL we've", "é ß ñ œ Ǆ ʰ x", "日本 語 тест", "²³ ½ ª", "<|endoftext|> x", "a" * 5000, " " * 5000, "1 23,456.7", "\x00\x1c\x85 "]
     for a, b in zip(P.encoder(JSON, RANKS)(texts), P.encoder(JSON)(texts)):

@@ -8,7 +8,9 @@ with the same results.
 
 Null texts have no words. An empty benchmark hits nothing. Items with a null id mark words but are not listed; items
 that share an id are listed once. Documents keep all their columns; added ones are n_words, n_hit, items (the sorted
-ids as strings) and spans (word ranges [start, end) that were hit, merged).
+ids as strings) and spans (word ranges [start, end) that were hit, merged). Very long texts are read whole, repeated rows
+get the same result each, an empty table gives an empty table; columns that have the names of added ones are replaced by
+flag() and kept by clean() and without_spans(), and any other name does.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yore.llm.common import row_key, same_key, table
+from yore.llm.common import let, row_key, running, same_key, table
 
 WINDOW, BROADCAST_BYTES = 10, 32 << 20
 
@@ -112,45 +114,55 @@ def _plain_words(text: str):
 
 
 def _windows(df: DataFrame, text: str, lengths) -> DataFrame:
-    """df with a row for each place of a window: at, n and the window's words as one string."""
+    """df with a row for each place of a window: at, n, two hashes of the window's words (h, g) and the words as one string."""
     said = df.withColumn("w__", F.coalesce(_plain_words(text), F.array().cast("array<string>")))
     at = lambda n: F.when(F.size("w__") >= n, F.sequence(F.lit(0), F.size("w__") - n)).otherwise(F.array().cast("array<int>"))
     places = F.flatten(F.transform(lengths, lambda n: F.transform(at(n), lambda i: F.struct(i.cast("long").alias("at"), n.alias("n")))))
-    return said.withColumn("p__", F.explode(places)).select(
+    found = said.withColumn("p__", F.explode(places)).select(
         *[c for c in df.columns if c != text], "p__.at", "p__.n", F.array_join(F.slice("w__", F.col("p__.at").cast("int") + 1, F.col("p__.n")), " ").alias("window")
     )
+    return found.withColumns({"h": F.xxhash64("window"), "g": F.xxhash64("window", F.lit(1))})
 
 
 def _by_join(docs: DataFrame, bench: DataFrame, text: str, key: str, window: int) -> DataFrame:
-    """The same columns for benchmarks of any size: documents' windows meet the benchmark's by hash and then by their words."""
+    """The same columns for benchmarks of any size: documents' windows meet the benchmark's by 128 bits of hash, and what meets is verified by its words."""
     n_words = F.size(F.coalesce(_plain_words("words"), F.array().cast("array<string>")))
     sized = bench.withColumn("len__", F.least(n_words, F.lit(window))).filter("len__ > 0")
     lengths = sorted(r[0] for r in sized.select("len__").distinct().collect())  # at most `window` numbers
-    test = _windows(sized, "words", F.array("len__")).groupBy("n", "window").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("ids"))
-    keys = docs.select(*row_key(key, text), F.col(text).alias("t__")).distinct()
-    places = _windows(keys, "t__", F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"))
-    met = places.join(test, ["n", "window"]).select("k_id", "k_a", "k_b", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("r"), "ids")
-    by_row = met.groupBy("k_id", "k_a", "k_b").agg(F.array_sort(F.collect_set("r")).alias("rs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items__"))
-    grown = F.aggregate(
-        "rs",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda out, r: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= r["at"]),
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], r["end"]).alias("end")))),
-        ).otherwise(F.concat(out, F.array(F.struct(r["at"].alias("start"), r["end"].alias("end"))))),
-    )
-    by_row = by_row.select("k_id", "k_a", "k_b", "items__", grown.alias("spans__"))
-    left = docs.select("*", *row_key(key, text))
-    joined = left.join(by_row, same_key(left, by_row), "left")
+    test = _windows(sized, "words", F.array("len__")).groupBy("n", "h", "g", "window").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("ids"))
+    rows = docs.select(F.struct(*docs.columns).alias("row__"), F.col(text).alias("t__"), *row_key(key, text))
+    keys = rows.select("k_id", "k_a", "k_b", "t__").distinct()
+    places = _windows(keys, "t__", F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).drop("window")
+    met = places.join(test, ["n", "h", "g"]).select("k_id", "k_a", "k_b", "at", "n", "window", "ids")
+    # only hits meet their text again
+    words = keys.join(met.groupBy("k_id", "k_a", "k_b").agg(F.collect_list(F.struct("at", "n", "window", "ids")).alias("met")).withColumnsRenamed({"k_id": "m_id", "k_a": "m_a", "k_b": "m_b"}), F.expr("k_id <=> m_id and k_a = m_a and k_b = m_b"))
+    said = words.withColumn("w__", _plain_words("t__"))
+    verified = said.select("k_id", "k_a", "k_b", F.filter("met", lambda m: F.array_join(F.slice("w__", m["at"].cast("int") + 1, m["n"]), " ") == m["window"]).alias("met")).filter(F.size("met") > 0)
+    spans = F.array_sort(F.transform("met", lambda m: F.struct(m["at"].alias("start"), (m["at"] + m["n"]).alias("end"))))
+    by_row = verified.select("k_id", "k_a", "k_b", F.array_sort(F.array_distinct(F.flatten("met.ids"))).alias("items__"), _joined(spans).alias("spans__"))
+    joined = rows.join(by_row, same_key(rows, by_row), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return joined.select(
-        *[left[c] for c in docs.columns],
-        F.coalesce(F.size(_plain_words(text)), F.lit(0)).cast("long").alias("n_words"),
+        *[F.col("row__")[c].alias(c) for c in docs.columns],
+        F.coalesce(F.size(_plain_words("t__")), F.lit(0)).cast("long").alias("n_words"),
         F.coalesce(F.aggregate("spans__", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items__", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans__", none).alias("spans"),
     )
 
 
+def _joined(spans: Column) -> Column:
+    """Ranges that are in order, joined where they touch: a range begins where a start is beyond all ends before it, and ends at the furthest end before the next beginning."""
+
+    def of(xs: Column, before: Column) -> Column:
+        begins = F.filter(F.transform(xs, lambda x, i: F.when(x["start"] > F.get(before, i), F.struct(x["start"].alias("start"), F.get(before, i).alias("before")))), lambda x: x.isNotNull())
+        ends = lambda bs: F.transform(bs, lambda b, i: F.struct(b["start"].alias("start"), F.coalesce(F.get(bs, i + 1)["before"], F.element_at(before, -1)).alias("end")))
+        return let(begins, ends)
+
+    furthest = lambda xs: running(F.transform(xs, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(-1).cast("long"))
+    return let(spans, lambda xs: let(furthest(xs), lambda before: of(xs, before)))
+
+
 def clean(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
     """docs without those that hold a window of the benchmark; columns that have the names of added ones stay as they are."""
     there, back = _aside(docs)

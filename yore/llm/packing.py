@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from yore.llm.common import table
 
 LENGTH, SEGMENTS, POOL, END = 1024, 64, 512, 0
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
+#: What a piece says besides its document's key; all are long.
+PIECES = ["start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
 
 
 def encoder(path: str, plain: str | None = None, longest_word: int = 2000) -> Callable[[list[str]], list[np.ndarray]]:
@@ -71,7 +74,7 @@ def encoder(path: str, plain: str | None = None, longest_word: int = 2000) -> Ca
 
 
 class Packer:
-    """Takes items (key, ids, start, doc_tokens, loss) and gives rows of PIECES; see the module's text."""
+    """Takes items (key, ids, start, doc_tokens, loss) and gives rows of a key and PIECES; see the module's text."""
 
     def __init__(self, base: int, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, pool: int = POOL):
         self.next, self.length, self.segments, self.loss, self.most = base, length, segments, loss or length, pool
@@ -164,15 +167,23 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str, plain: str | None = None, key: str = "doc_id", text: str = "text", length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, pool: int = POOL, end: int = END, bears: str | None = None) -> DataFrame:
-    """Rows of PIECES for every row of docs. bears: a boolean column, true where a row's tokens bear loss (of instruction data, the answers); None or null: they do. A null or empty text is the end id alone; a null key stays null; repeated rows are packed each; an empty table gives no pieces."""
+    """The key (of whatever type) and PIECES for every row of docs.
+
+    bears: a boolean column, true where a row's tokens bear loss (of instruction data, the answers); None or null: they
+    do. A null or empty text is the end id alone; a null key stays null; repeated rows are packed each, ties go to the
+    item that came first; an empty table gives no pieces. Very long texts are tokenised whole and cut into sequences.
+    Other columns are not read, whatever their names.
+    """
+    of_key = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, plain)
         packer = Packer(TaskContext.get().partitionId() << 40, length, segments, loss, pool)
+        kind = to_arrow_type(of_key)
 
         def flush() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], names=[x.split()[0] for x in PIECES.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 8)]], names=[key, *PIECES])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -186,7 +197,7 @@ def pack(docs: DataFrame, path: str, plain: str | None = None, key: str = "doc_i
         packer.end()
         yield flush()
 
-    return docs.select(key, text, *[bears] * bool(bears)).mapInArrow(run, PIECES)
+    return docs.select(key, text, *[bears] * bool(bears)).mapInArrow(run, T.StructType([T.StructField(key, of_key), *[T.StructField(c, T.LongType()) for c in PIECES]]))
 
 
 def op10_pack(spark, sf_dir: str) -> DataFrame:
