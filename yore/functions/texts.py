@@ -2,50 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Zero-width and other invisible characters; fixed values.
-INVISIBLE = "[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁪-⁯﻿]"
+#: Characters that show as nothing, without the joiners and direction marks that a script or an emoji needs; fixed values.
+INVISIBLE = "[\u00AD\u034F\u115F\u1160\u17B4\u17B5\u180E\u200B\u2060\u2061\u2062\u2063\u2064\u3164\uFEFF\uFFA0]"
 #: Query parameters that only track; fixed values.
-TRACKING = r"(?:utm_[A-Za-z0-9_]*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid)"
+TRACKING = r"(?:utm_\w+|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|_hsenc|_hsmi|mkt_tok|yclid|igshid)"
+#: Addresses in a text; fixed values.
+URL_IN_TEXT, LONGEST_URL = r"(?:https?|mailto):[^\s<>()\]]+", 200
 
 
 def visible(text: Column) -> Column:
     return F.regexp_replace(text, INVISIBLE, "")
 
 
+def replaced(text: Column, pattern: str, new) -> Column:
+    """text with each match of pattern replaced by new(match)."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    whole = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(new(F.get(found, i)), F.lit("")))), "")
+    return F.when(text.rlike(pattern), whole).otherwise(text)
+
+
 def untracked(url: Column) -> Column:
-    """A url, or the urls of a text, without tracking parameters; a question mark goes with the last of them."""
-    value = r"=[^&#\s]*"
-    url = F.regexp_replace(url, f"&{TRACKING}{value}", "")
-    url = F.regexp_replace(url, rf"\?{TRACKING}{value}&", "?")
-    return F.regexp_replace(url, rf"\?{TRACKING}{value}", "")
+    """A url without tracking parameters and the ? or & that they leave behind."""
+    url = F.regexp_replace(url, rf"(?i)([?&]){TRACKING}=[^&#\s)\]]*", "$1")
+    return F.regexp_replace(F.regexp_replace(url, r"([?&])&+", "$1"), r"[?&]+\z", "")
+
+
+def tidy(text: Column, bulk: bool = False) -> Column:
+    """Text without invisible characters, tracking parameters in its urls, spaces at the ends of lines and of the text, and more than one empty line in a row.
+
+    bulk: a mailing, whose urls of over LONGEST_URL characters go too; a Markdown link to one keeps its words.
+    """
+    text = replaced(visible(text), URL_IN_TEXT, untracked)
+    if bulk:
+        text = F.regexp_replace(text, rf"\[([^\]]*)\]\([^)\s]{{{LONGEST_URL + 1},}}\)", "$1")
+        text = replaced(text, URL_IN_TEXT, lambda url: F.when(F.length(url) > LONGEST_URL, "").otherwise(url))
+    text = F.regexp_replace(text, r"[^\S\n]+(?=\n|\z)", "")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+
 
+def _bare_letters() -> tuple[str, str]:
+    """Latin letters with marks, and each one's bare letter, by their canonical decompositions."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
-def tidy(text: Column, longest_url: int = 200) -> Column:
-    """Text without invisible characters, tracking parameters, very long urls, spaces at the ends of lines, and more than one empty line in a row."""
-    text = untracked(visible(text))
-    text = F.regexp_replace(text, rf"https?://[^\s]{{{longest_url},}}+", "")
-    text = F.regexp_replace(text, r"[ \t]+(?=\n|$)", "")
-    return F.regexp_replace(text, r"\n{3,}", "\n\n")
+
+_MARKED, _BARE = _bare_letters()
+_TO_BARE = str.maketrans(_MARKED, _BARE)
+
+
+def unmarked(text: Column) -> Column:
+    """Lower case without accents and other marks."""
+    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _BARE), r"\p{Mn}+", "")
 
 
 def tokens(text: Column) -> Column:
     """Lower-case words without accents, split at all that is no letter or digit."""
-    bare = F.lower(text)
-    folded = F.translate(bare, "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
-    return F.array_remove(F.split(F.coalesce(folded, F.lit("")), r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(F.coalesce(unmarked(text), F.lit("")), r"[^\p{L}\p{N}]+"), "")
+
+
+def terms(query: str) -> list[str]:
+    """The terms of a query as tokens() gives them; one with marks inside is a phrase."""
+    bare = lambda s: "".join(c for c in s.lower().translate(_TO_BARE) if unicodedata.category(c) != "Mn")
+    phrases = [" ".join(re.findall(r"[^\W_]+", bare(t))) for t in query.split()]
+    return [p for p in phrases if p]
 
 
 def holds(text: Column, query: str) -> Column:
     """Whether a text has every term of a query; a term with marks inside is a phrase. An empty query holds nowhere."""
-    import re
-    import unicodedata
-
-    fold = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
-    phrases = [" ".join(re.findall(r"[^\W_]+", fold(t))) for t in query.split()]
-    phrases = [p for p in phrases if p]
+    phrases = terms(query)
     if not phrases:
         return F.lit(False)
     said = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
@@ -76,12 +107,27 @@ def mended(text: Column) -> Column:
     return F.when(odd & ~F.contains(again, F.lit("�")), again).otherwise(text)
 
 
-def shortened(text: Column, longest: int) -> Column:
-    """Base64 (a data URI's too) of more than `longest` characters, cut; other text stays."""
-    payload = F.regexp_replace(text, r"^data:[^,]*;base64,", "")
-    is64 = payload.rlike(r"^[A-Za-z0-9+/\r\n]+={0,2}$")
-    head = F.regexp_extract(text, r"^(data:[^,]*;base64,)?", 0)
-    return F.when(is64 & (F.length(payload) > longest), F.concat(head, F.substring(payload, 1, longest), F.lit("..."))).otherwise(text)
+def shortened(text: Column, longest: int = 100, suffix: str = "...", least: int = 50) -> Column:
+    """A data URI's Base64 of more than `longest` characters, cut so that with what stands before it and the suffix it has no more; other Base64 of `least` characters and more than `longest`, cut; other text stays."""
+    head, payload = F.regexp_extract(text, r"^data:[^;]+;base64,(?=.)", 0), F.regexp_extract(text, r"^data:[^;]+;base64,(.+)$", 1)
+    room = F.greatest(F.lit(longest - len(suffix)) - F.length(head), F.lit(0))
+    plain = text.rlike(r"^[A-Za-z0-9+/]*={0,2}\z") & (F.length(text) >= least) & (F.length(text) > longest)
+    return (
+        F.when(F.length(payload) > longest, F.concat(head, F.substring(payload, F.lit(1), room), F.lit(suffix)))
+        .when((F.length(payload) == 0) & plain, F.concat(F.substring(text, 1, longest), F.lit(suffix)))
+        .otherwise(text)
+    )
+
+
+def shortened_json(value: Column, longest: int = 100, suffix: str = "...") -> Column:
+    """JSON whose strings, at any depth, are shortened like shortened()."""
+
+    def cut(found: Column) -> Column:
+        bare = F.substring(found, F.lit(2), F.length(found) - 2)
+        return F.concat(F.lit('"'), shortened(bare, longest, suffix), F.lit('"'))
+
+    # Base64 and data URIs have nothing that JSON escapes but the slash
+    return replaced(value, rf'"(?:data:[^;"\\]+;base64,)?[A-Za-z0-9+/]{{{min(50, longest)},}}={{0,2}}"', cut)
 
 
 def phone(text: Column, country: str = "1") -> Column:
@@ -92,8 +138,8 @@ def phone(text: Column, country: str = "1") -> Column:
 
 
 def isrc(text: Column) -> Column:
-    """A recording code in capitals without hyphens; null if it is none."""
-    bare = F.upper(F.regexp_replace(text, r"[-\s]", ""))
+    """A recording code in capitals without hyphens, spaces and the label ISRC; null if it is none."""
+    bare = F.regexp_replace(F.regexp_replace(F.upper(F.regexp_replace(text, r"^\s+|\s+\z", "")), r"^ISRC:?\s*", ""), r"[-\s]", "")
     return F.when(bare.rlike(r"^[A-Z]{2}[A-Z0-9]{3}[0-9]{7}$"), bare)
 
 
@@ -117,3 +163,54 @@ def email_body(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?ms)^-- ?\n.*\z", "")
     text = F.regexp_replace(text, r"(?im)^.*(?:unsubscribe|view (?:this email )?in (?:your )?browser).*\n?", "")
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+
+
+#: Properties that name a node, in the order in which they are tried; fixed values.
+LABELS = ["name", "title", "headline", "handle", "text", "body", "url"]
+
+
+def node_label(node: Column, depth: int = 4) -> Column:
+    """What names a JSON node: its first naming text, else the label of its object, else that of its result, down to `depth` nodes."""
+
+    def at(path: str, left: int) -> Column:
+        named = [F.nullif(F.get_json_object(node, f"${path}.{k}"), F.lit("")) for k in LABELS]
+        # only texts name: numbers and nodes do not
+        named = [F.when(F.get_json_object(node, f"${path}").rlike(rf'"{k}"\s*:\s*"'), x) for k, x in zip(LABELS, named, strict=True)]
+        return F.coalesce(*named, *([at(f"{path}.object", left - 1), at(f"{path}.result", left - 1)] if left > 1 else []))
+
+    return at("", depth)
+
+
+def record_label(node: Column, kind: Column | None = None) -> Column:
+    """struct<type, title, date> of a JSON payload: its type (else `kind`, else records), its label on one line, and when it happened."""
+    of = lambda k: F.nullif(F.get_json_object(node, f"$.{k}"), F.lit(""))
+    title = F.nullif(F.regexp_replace(F.regexp_replace(node_label(node), r"\s+", " "), r"^ | $", ""), F.lit(""))
+    return F.struct(
+        F.coalesce(F.get_json_object(node, "$.@type"), *([kind] if kind is not None else []), F.lit("records")).alias("type"), title.alias("title"), F.coalesce(of("timestamp"), of("startTime"), of("endTime")).alias("date")
+    )
+
+
+def suggestions(asked: DataFrame, names: DataFrame, most: int = 3, best: int = 3) -> DataFrame:
+    """(asked, name, distance): for each asked word the `best` closest names at an edit distance of at most `most`, of several the least; the word itself, if it is a name, does not count among them. asked: asked; names: name.
+
+    Words within `most` edits share one of most + 1 pieces of the shorter or of its neighbours' lengths: a name is cut
+    in most + 1 pieces, one of which the asked word must hold at a place at most `most` off, so that only words with a
+    common piece are compared.
+    """
+    n = most + 1
+    size = F.length("name")
+    cut = lambda i: F.floor(size * i / n).cast("int")
+    pieces = F.array(*[F.struct(F.lit(i).alias("i"), size.alias("size"), F.substring(F.col("name"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")) for i in range(n)])
+    keyed = names.distinct().select("name", F.explode(pieces).alias("p")).select("name", "p.*")
+    lengths = F.sequence(F.greatest(F.length("asked") - most, F.lit(0)), F.length("asked") + most)
+
+    def held(i: int, total: Column) -> Column:
+        at, width = F.floor(total * i / n).cast("int"), (F.floor(total * (i + 1) / n) - F.floor(total * i / n)).cast("int")
+        places = F.sequence(F.greatest(at - most, F.lit(0)), at + most)
+        return F.transform(places, lambda a: F.struct(F.lit(i).alias("i"), total.alias("size"), F.substring(F.col("asked"), a + 1, width).alias("piece")))
+
+    parts = F.array_distinct(F.flatten(F.transform(lengths, lambda total: F.flatten(F.array(*[held(i, total) for i in range(n)])))))
+    met = asked.distinct().select("asked", F.explode(parts).alias("p")).select("asked", "p.*").join(keyed, ["i", "size", "piece"]).select("asked", "name").distinct()
+    close = met.withColumn("distance", F.levenshtein("asked", "name")).filter((F.col("distance") <= most) & (F.col("asked") != F.col("name")))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy("distance", "name"))
+    return close.withColumn("rank__", rank).filter(F.col("rank__") <= best).drop("rank__")

@@ -65,3 +65,44 @@ def as_of(rows: DataFrame, facts: DataFrame, by: list[str], at: str, since: str,
     told = here.unionByName(asked).withColumn("l__", F.last("f__", ignorenulls=True).over(order)).filter("k__ = 1").join(carried, [*by, "bin__"], "left")
     found = told.select(*by, F.col("t__").alias(at), F.coalesce("l__", "c__").alias("v__"))
     return rows.join(found, [*by, at], "left").select(*rows.columns, *[F.col(f"v__.{v}").alias(v) for v in value])
+
+
+def has_span_within(rows: DataFrame, anchors: DataFrame, start: str, end: str, kind: str, lo: int, hi: int, width: int, by: list[str] | None = None, out: str = "near") -> DataFrame:
+    """rows with the boolean `out`: whether an anchor's interval is lo to hi milliseconds away from the row's, both of columns start and end.
+
+    kind after: the anchor ends before the row starts; before: it starts after the row ends; near: either, or, if lo is 0,
+    they meet. Distances are those of the facing edges, so after and before ask for one end of the anchors only, and
+    meeting is an overlap with the row widened by hi. width: of the bins that overlaps are counted in.
+    """
+    by = by or []
+    apart = max(lo, 1)
+
+    def one_side(df: DataFrame, side: str, name: str) -> DataFrame:
+        if hi < apart:
+            return df.withColumn(name, F.lit(False))
+        point, first = (end, F.col(start) - hi) if side == "after" else (start, F.col(end) + apart)
+        return has_point_within(df, anchors.select(*by, F.col(point).alias("p__")), first, hi - apart, "p__", by, name)
+
+    if kind in ("after", "before"):
+        return one_side(rows, kind, out)
+    if kind != "near":
+        raise ValueError(f"unknown kind {kind!r}")
+    if lo > 0:
+        both = one_side(one_side(rows, "after", "a__"), "before", "b__")
+        return both.withColumn(out, F.col("a__") | F.col("b__")).drop("a__", "b__")
+    wide = rows.withColumns({"s__": F.col(start) - hi, "e__": F.col(end) + hi})
+    found = count_overlapping(wide.drop(start, end).withColumnsRenamed({"s__": start, "e__": end}).withColumns({"k0__": F.col(start) + hi, "k1__": F.col(end) - hi}), anchors.select(*by, start, end), start, end, width, by, "n__")
+    return found.withColumns({start: F.col("k0__"), end: F.col("k1__"), out: F.col("n__") > 0}).select(*rows.columns, out)
+
+
+def held_at(rows: DataFrame, runs: DataFrame, at: str, start: str, end: str, width: int, by: list[str] | None = None, out: str = "held") -> DataFrame:
+    """rows with the boolean `out`: whether a run [start, end) holds at the row's own time. A null start is unbounded, a null end open.
+
+    That is: more runs have begun by then than have ended. Runs may overlap.
+    """
+    by = by or []
+    least = F.lit(-(2**62)).cast("long")
+    begun = _counts(rows, runs.select(*by, F.coalesce(F.col(start), least).alias("p__")), at, width, by).select(*by, F.col("t__").alias(at), F.col("upto__").alias("begun__"))
+    over = _counts(rows, runs.filter(F.col(end).isNotNull()).select(*by, F.col(end).alias("p__")), at, width, by).select(*by, F.col("t__").alias(at), F.col("upto__").alias("over__"))
+    found = rows.join(begun, [*by, at], "left").join(over, [*by, at], "left")
+    return found.select(*rows.columns, (F.coalesce("begun__", F.lit(0)) > F.coalesce("over__", F.lit(0))).alias(out))

@@ -23,8 +23,16 @@ def after_key(cols: list[tuple[str, bool]], values: list) -> Column:
     return found
 
 
-def recency(entities: DataFrame, key: str, encounters: DataFrame, at: str, floor: int) -> DataFrame:
-    """entities with `recent`: when each was last encountered, or the floor."""
+def actions_page(rows: DataFrame, size: int, after: tuple[int, object] | None = None, occurred: str = "occurred_at", end: str = "end", key: str = "id") -> DataFrame:
+    """The newest actions by when they ended, or, without an end, occurred; then by key, descending. after: the last page's last (time, key)."""
+    timed = rows.withColumn("ts__", F.coalesce(F.col(end), F.col(occurred)))
+    cursor = after_key([("ts__", True), (key, True)], [*after]) if after else None
+    return page(timed, [F.desc("ts__"), F.desc(key)], size, cursor).drop("ts__")
+
+
+def recency(entities: DataFrame, key: str, encounters: DataFrame, at: str, floor: int, self_key=None) -> DataFrame:
+    """entities with `recent`: when each was last encountered, or the floor; without oneself, if self_key is given."""
+    entities = entities.filter(F.col(key) != self_key) if self_key is not None else entities
     last = encounters.groupBy(key).agg(F.max(at).alias("recent"))
     return entities.join(last, key, "left").withColumn("recent", F.coalesce("recent", F.lit(floor)))
 

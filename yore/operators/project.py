@@ -52,3 +52,49 @@ def sources(sourced: DataFrame) -> DataFrame:
 def backlinks(properties: DataFrame, entity: str) -> DataFrame:
     """Entities with an open link to one."""
     return properties.filter((F.col("object") == entity) & F.col("period_to").isNull()).select("entity").distinct().orderBy(F.desc("entity"))
+
+
+def first_handles(records: DataFrame) -> DataFrame:
+    """(entity, handle): of an entity's source records with a handle, that of the least source and key. records: entity, source, key, handle."""
+    return records.filter("handle is not null").groupBy("entity").agg(F.min_by("handle", F.struct("source", "key")).alias("handle"))
+
+
+def best_urls(records: DataFrame) -> DataFrame:
+    """(entity, url): of an entity's source records with a url, one that is declared canonical first, then that of the least source and key. records: entity, source, key, url, canonical."""
+    return records.filter("url is not null").groupBy("entity").agg(F.min_by("url", F.struct((~F.coalesce("canonical", F.lit(False))).alias("other"), "source", "key")).alias("url"))
+
+
+def images(entities: DataFrame, blobs: DataFrame, urls: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(entity, image, kind): the image that shows an entity: a stored blob (entity, cid), else a url (entity, url), else the newest snapshot that shows it (entity, media, cid); the least of several."""
+    a = blobs.groupBy("entity").agg(F.min("cid").alias("blob__"))
+    b = urls.groupBy("entity").agg(F.min("url").alias("url__"))
+    c = snapshots.groupBy("entity").agg(F.max_by("cid", "media").alias("shot__"))
+    found = entities.select("entity").join(a, "entity", "left").join(b, "entity", "left").join(c, "entity", "left")
+    kind = F.when(F.col("blob__").isNotNull(), "blob").when(F.col("url__").isNotNull(), "url").when(F.col("shot__").isNotNull(), "snapshot")
+    return found.select("entity", F.coalesce("blob__", "url__", "shot__").alias("image"), kind.alias("kind")).filter("image is not null")
+
+
+def snapshot(rows: DataFrame) -> DataFrame:
+    """(line): each row as JSON with its columns in the order of their names, sorted; equal tables give equal snapshots, whatever the order of rows and columns."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}).alias("line")).orderBy("line")
+
+
+def named_places(rows: DataFrame, places: DataFrame, on: str, out: str = "place") -> DataFrame:
+    """rows with the name of the place that their location value `on` leads to; null where it leads to none. places: value, name; of several names the least."""
+    one = places.groupBy(F.col("value").alias(on)).agg(F.min("name").alias(out))
+    return rows.join(one, on, "left")
+
+
+def referenced(node: str | dict) -> dict:
+    """A node's identity alone: its type, its key or id, and the fields that the key names, nested ones as references too."""
+    import json
+
+    node = json.loads(node) if isinstance(node, str) else node
+    out = {k: node[k] for k in ("@type", "@key", "@id") if k in node}
+    is_node = lambda x: isinstance(x, dict) and isinstance(x.get("@type"), str)
+    for f in node.get("@key") or ():
+        head = f.split("[*]")[0].split(".")[0] if isinstance(f, str) and not f.startswith(("@", "action.")) else None
+        if head and head in node and head not in out:
+            v = node[head]
+            out[head] = referenced(v) if is_node(v) else [referenced(x) if is_node(x) else x for x in v] if isinstance(v, list) else v
+    return out

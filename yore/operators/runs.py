@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from yore.operators.near import as_of
+
+#: Milliseconds of the bins that markers are ordered in.
+WIDTH = 400 * 86_400_000
+
 
 def runs(observed: DataFrame, chain: list[str], many: bool = False) -> DataFrame:
     """Validity runs of (chain, value): period_from, period_to, first and last valid_at, last_observed, n, grade.
@@ -16,15 +21,10 @@ def runs(observed: DataFrame, chain: list[str], many: bool = False) -> DataFrame
     A run's start is known if it is not the chain's first, its grade is 1, or it was observed later than it was valid,
     or a marker came before it; else period_from is null.
     """
-    order = ["valid_at", "observed_at", F.col("value").isNotNull(), "action", "value"]
     if many:
-        keys = [*chain, "of"]
-        values = observed.filter("value is not null").select("*", F.col("value").alias("of"))
-        chains = values.select(*chain, "of").distinct()
-        markers = observed.filter("value is null").join(chains, chain)
-        rows = values.unionByName(markers)
-    else:
-        keys, rows = chain, observed
+        return _of_values(observed, chain)
+    order = ["valid_at", "observed_at", F.col("value").isNotNull(), "action", "value"]
+    keys, rows = chain, observed
     by = W.Window.partitionBy(*keys).orderBy(*order)
     before = by.rowsBetween(W.Window.unboundedPreceding, -1)
     marker = F.col("value").isNull()
@@ -40,9 +40,8 @@ def runs(observed: DataFrame, chain: list[str], many: bool = False) -> DataFrame
     folded = (
         kept.withColumn("closing__", closes)
         .filter("value is not null")
-        .groupBy(*keys, "run__", *([] if many else ["value"]))
+        .groupBy(*keys, "run__", "value")
         .agg(
-            *([F.first("value").alias("value")] if many else []),
             F.min(F.struct("valid_at", "observed_at", "action", "grade", "marked__", "opened__")).alias("f__"),
             F.max(first).alias("l__"), F.max("observed_at").alias("last_observed"), F.min("closing__").alias("period_to"), F.count("*").alias("n"), F.max("grade").alias("grade"),
         )
@@ -53,6 +52,77 @@ def runs(observed: DataFrame, chain: list[str], many: bool = False) -> DataFrame
     )
 
 
+def _of_values(observed: DataFrame, chain: list[str]) -> DataFrame:
+    """runs() where each value has runs of its own: one lasts until the first marker after a sighting and before the next one.
+
+    Markers meet values as of their times, by an as-of join over the chain's distinct marker times, and not one by one.
+    """
+    markers = observed.filter("value is null").select(*chain, F.col("valid_at").alias("m__")).distinct()
+    values = observed.filter("value is not null")
+    asked = values.select(*chain, "valid_at").distinct().withColumn("at__", -F.col("valid_at") - 1)
+    back = markers.select(*chain, (-F.col("m__")).alias("since__"), F.col("m__").alias("closing__"))
+    after = as_of(asked, back, chain, "at__", "since__", ["closing__"], WIDTH).drop("at__")
+    first = markers.groupBy(*chain).agg(F.min("m__").alias("marked__"))
+    rows = values.join(after, [*chain, "valid_at"], "left").join(first, chain, "left")
+    by = W.Window.partitionBy(*chain, "value").orderBy("valid_at", "observed_at", "action")
+    starts = F.lag("valid_at").over(by).isNull() | F.coalesce(F.lag("closing__").over(by) < F.col("valid_at"), F.lit(False))
+    rows = rows.withColumn("start__", starts.cast("int")).withColumn("run__", F.sum("start__").over(by.rowsBetween(W.Window.unboundedPreceding, 0)))
+    folded = rows.groupBy(*chain, "value", "run__").agg(
+        F.min(F.struct("valid_at", "observed_at", "action", "grade", "marked__")).alias("f__"), F.max(F.struct("valid_at", "observed_at", "action")).alias("l__"),
+        F.max("observed_at").alias("last_observed"), F.max_by("closing__", "valid_at").alias("period_to"), F.count("*").alias("n"), F.max("grade").alias("grade"),
+    )
+    known = (F.col("run__") > 1) | (F.col("f__.grade") == 1) | (F.col("f__.valid_at") != F.col("f__.observed_at")) | F.coalesce(F.col("f__.marked__") < F.col("f__.valid_at"), F.lit(False))
+    return folded.select(
+        *chain, "value", F.when(known, F.col("f__.valid_at")).alias("period_from"), "period_to", F.col("f__.valid_at").alias("first_valid"), F.col("l__.valid_at").alias("last_valid"), "last_observed", "n", "grade",
+    )
+
+
+def refolded(old: DataFrame, observed: DataFrame, touched: DataFrame, chain: list[str], many: bool = False) -> DataFrame:
+    """All runs after a batch, of which only the chains that it touches are folded again; the others stay as they were. observed: all observations, the batch's too."""
+    touched = touched.select(*chain).distinct()
+    return old.join(touched, chain, "left_anti").unionByName(runs(observed.join(touched, chain, "left_semi"), chain, many))
+
+
+def changes(old: DataFrame, new: DataFrame, chain: list[str]) -> DataFrame:
+    """(chain, value, ordinal, change, and the new run's columns or, of a removed one, the old's): what differs between two folds. Runs of a value meet by their place in time; change is added, removed or changed."""
+    rest = [c for c in new.columns if c not in (*chain, "value")]
+    nth = F.row_number().over(W.Window.partitionBy(*chain, "value").orderBy("first_valid"))
+    of = lambda df, name: df.select(*chain, "value", nth.alias("ordinal"), F.struct(*rest).alias(name))
+    both = of(old, "o__").join(of(new, "n__"), [*chain, "value", "ordinal"], "full").filter(~F.col("o__").eqNullSafe(F.col("n__")))
+    change = F.when(F.col("o__").isNull(), "added").when(F.col("n__").isNull(), "removed").otherwise("changed")
+    return both.select(*chain, "value", "ordinal", change.alias("change"), F.coalesce("n__", "o__").alias("r__")).select(*chain, "value", "ordinal", "change", "r__.*")
+
+
+def confirmed(rows: DataFrame, confirms: DataFrame, claim: str, asserted: str, first: str = "observed_at", last: str = "last_observed") -> DataFrame:
+    """rows (with the claim that each came from) whose `last` reaches to the claim's latest confirm and whose `first` to its earliest sighting. Confirms move the observed axis alone; periods of validity stay."""
+    seen = confirms.groupBy(claim).agg(F.min(asserted).alias("a__"), F.max(asserted).alias("z__"))
+    moved = {first: F.least(first, "a__"), last: F.greatest(last, "z__")}
+    return rows.join(seen, claim, "left").withColumns({c: v for c, v in moved.items() if c in rows.columns}).drop("a__", "z__")
+
+
+def sharpened(found: DataFrame, actions: DataFrame, at: str = "period_from", action: str = "action") -> DataFrame:
+    """Runs whose boundary takes the occurrence range that all sightings of their action agree on: its lower end where the register knows one. actions: registers() rows."""
+    known = actions.filter("not conflict and earliest is not null").select(F.col(action), F.col("earliest").alias("e__"))
+    return found.join(known, action, "left").withColumn(at, F.when(F.col(at).isNotNull(), F.coalesce("e__", at))).drop("e__")
+
+
+def identifiers(found: DataFrame, names: list[str]) -> DataFrame:
+    """(subject, one column for each predicate of names): each source record's current identifier: of its runs an open one first, then the higher grade, the last valid and observed, the least value. Null if the best run is closed."""
+    rank = F.struct(F.col("period_to").isNotNull().alias("closed"), (-F.col("grade")).alias("grade"), (-F.col("last_valid")).alias("valid"), (-F.col("last_observed")).alias("observed"), "value")
+    best = found.filter(F.col("predicate").isin(names)).groupBy("subject", "predicate").agg(F.min(rank).alias("b"))
+    value = F.when(~F.col("b.closed"), F.col("b.value"))
+    return best.groupBy("subject").pivot("predicate", names).agg(F.first(value))
+
+
+def hoisted(observed: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(observations without lifecycle dates, actions that they stand for): a date predicate such as birthDate says when an action of its kind happened to the subject. Ranges of one action intersect, as in registers(). observed: subject, predicate, earliest, latest, observed_at."""
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    dated = observed.filter(F.col("predicate").isin(list(kinds))).withColumn("type", F.element_at(kind, F.col("predicate")))
+    dated = dated.withColumns({"action": F.concat_ws(":", "type", "subject"), "end__": F.lit(None).cast("long")})
+    found = registers(dated, ["action"], ["observed_at", "subject"], ["type", "subject", "observed_at"], "earliest", "latest", "end__").drop("end")
+    return observed.filter(~F.col("predicate").isin(list(kinds))), found
+
+
 def toggled(actions: DataFrame, chain: list[str], kind: str, at: str, opens: str, closes: str, tie: str) -> DataFrame:
     """(chain, period_from, period_to): from an opening action to the next closing one; openings of an open run extend it, closings without one do nothing."""
     by = W.Window.partitionBy(*chain).orderBy(at, tie)

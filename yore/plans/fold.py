@@ -23,7 +23,10 @@ g AS (SELECT subject, run, any_value(value) AS value, min(valid_at) AS first_val
   min(CASE WHEN next_at IS NOT NULL AND NOT coalesce(next_value = value, false) THEN next_at END) AS period_to FROM r WHERE value IS NOT NULL GROUP BY subject, run)"""
 
 
-@query("runs_single", _SINGLE + " SELECT subject, value, CASE WHEN run > 1 OR coalesce(opened = 0 AND marked < first_valid, false) THEN first_valid END AS period_from, period_to, first_valid, last_valid, n FROM g")
+ORACLE_OF_RUNS = _SINGLE + " SELECT subject, value, CASE WHEN run > 1 OR coalesce(opened = 0 AND marked < first_valid, false) THEN first_valid END AS period_from, period_to, first_valid, last_valid, n FROM g"
+
+
+@query("runs_single", ORACLE_OF_RUNS)
 def runs_single(spark, d):
     return runs.runs(observed(spark, d), ["subject"]).select("subject", "value", "period_from", "period_to", "first_valid", "last_valid", "n")
 
@@ -35,6 +38,9 @@ r AS (SELECT *, sum(CASE WHEN value IS NOT NULL AND prior IS NULL THEN 1 ELSE 0
 SELECT subject, of AS value, min(valid_at) AS first_valid, max(valid_at) AS last_valid, min(CASE WHEN next_at IS NOT NULL AND next_value IS NULL THEN next_at END) AS period_to, count(*) AS n FROM r WHERE value IS NOT NULL GROUP BY subject, of, run"""
 
 
+ORACLE_OF_MANY = _MANY
+
+
 @query("runs_many", _MANY)
 def runs_many(spark, d):
     return runs.runs(observed(spark, d), ["subject"], many=True).select("subject", "value", "first_valid", "last_valid", "period_to", "n")
@@ -107,11 +113,6 @@ def content_groups(spark, d):
     return table(spark, d, "documents").groupBy(F.md5("text").alias("claim")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
 
 
-@query("best_url", "SELECT l_orderkey AS id, arg_min(l_suppkey, (l_returnflag <> 'A', l_suppkey, l_partkey)) AS supplier FROM lineitem GROUP BY 1")
-def best_url(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min_by("l_suppkey", F.struct(F.col("l_returnflag") != "A", "l_suppkey", "l_partkey")).alias("supplier"))
-
-
 @query("tokens_index", r"SELECT word, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy'), '[^\p{L}\p{N}]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1 HAVING count(*) >= 100")
 def tokens_index(spark, d):
     each = table(spark, d, "documents").select(F.explode(F.array_distinct(texts.tokens(F.col("text")))).alias("word"))

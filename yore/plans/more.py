@@ -31,12 +31,6 @@ def encounters_both_sides(spark, d):
     return links.having(who, urgent.union(errors), ["id"])
 
 
-@query("confirm_recency", "WITH b AS (SELECT doc_id, md5(text) AS claim FROM documents) SELECT claim, min(doc_id) AS first, max(doc_id) AS last_confirmed, count(*) - 1 AS confirms FROM b GROUP BY 1")
-def confirm_recency(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.md5("text").alias("claim"))
-    return rows.groupBy("claim").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last_confirmed"), (F.count("*") - 1).alias("confirms"))
-
-
 @query("tumbling_windows", "SELECT (epoch_us(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) // 1000) AS start, event_type AS type, count(*) AS count FROM events GROUP BY 1, 2")
 def tumbling_windows(spark, d):
     rows = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))

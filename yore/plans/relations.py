@@ -49,7 +49,7 @@ def _cardinality(name: str, op: str, n: int):
         return links.counted(customers(spark, d), orders(spark, d), ["id"], op, n).select("id")
 
 
-for _name, _op, _n in (("count_cardinality_eq", "=", 10), ("count_cardinality_gt", ">", 15), ("count_cardinality_ge", ">=", 15), ("count_cardinality_lt", "<", 6), ("count_cardinality_le", "<=", 0)):
+for _name, _op, _n in (("count_cardinality_eq", "=", 10), ("count_cardinality_gt", ">", 15), ("count_cardinality_ge", ">=", 15), ("count_cardinality_lt", "<", 6), ("count_cardinality_le", "<=", 5)):
     _cardinality(_name, _op, _n)
 
 
@@ -136,10 +136,10 @@ def asof_metric_latest(spark, d):
     return near.as_of(every.filter("type = 'purchase'").select("id", "agent", "t"), facts, ["agent"], "t", "since", ["reading"], 7 * DAY).select("id", "reading")
 
 
-@query("latest_metric_compare", f"WITH {ACTIONS_SQL}, l AS (SELECT agent, arg_max(value, (t, value)) AS v FROM actions GROUP BY agent) SELECT agent AS id, v AS reading FROM l WHERE v > 400")
+@query("latest_metric_compare", f"WITH {ACTIONS_SQL}, l AS (SELECT agent, arg_max(value, (t, value)) AS v FROM actions GROUP BY agent) SELECT agent AS id, v AS reading FROM l WHERE v > 45")
 def latest_metric_compare(spark, d):
     last = actions(spark, d).groupBy(F.col("agent").alias("id")).agg(F.max_by("value", F.struct("t", "value")).alias("reading"))
-    return last.filter("reading > 400")
+    return last.filter("reading > 45")
 
 
 _RUNS = "runs AS (SELECT agent, t AS f, lead(t) OVER (PARTITION BY agent ORDER BY t, id) AS u, open FROM (SELECT *, lag(open, 1, false) OVER (PARTITION BY agent ORDER BY t, id) AS was FROM (SELECT agent, t, id, type = 'signup' AS open FROM actions WHERE type IN ('signup', 'error'))) WHERE open <> was)"
