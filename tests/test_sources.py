@@ -98,3 +98,29 @@ def test_mail_bodies(spark):
 
     raw = "Hello\r\n\r\nYes.\n> quoted\n\nTo unsubscribe click here\nOn Mon, 1 Jan 2024, Ann <a@b.c> wrote:\n> old\n-- \nme"
     assert spark.createDataFrame([(raw,)], "x string").select(email_body(F.col("x"))).first()[0] == "Hello\n\nYes."
+
+
+def test_layouts_are_found_by_what_they_look_like(spark, tmp_path):
+    from yore.sources import layouts as L
+
+    for path, text in {"a/Takeout/Chrome/History.json": "{}", "a/notes.csv": "id,when\n1,2", "b/deep/x/mail.mbox": "From a@b Mon\nSubject: s\nX-Id: 1\n\nFrom here\nFrom c@d Tue\n", "b/big.json": " " * 5000 + "{'needle'}", "c/1/2/3/4/5/6/7/8/9/notes.csv": "id,when"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    found = set(L.find(str(tmp_path), {
+        "takeout": [L.name("takeout"), L.holds_path("Chrome/*.json")], "notes": [L.columns("when", "id")], "mail": [L.mail("subject", "x-id")],
+        "needle": [L.head("needle"), L.neither(L.name("*.csv"))], "none": [L.either(L.name("z*"), L.columns("zz"))],
+    }))
+    assert {(k, p.removeprefix(str(tmp_path) + "/")) for k, p in found} == {("takeout", "a/Takeout"), ("notes", "a/notes.csv"), ("mail", "b/deep/x/mail.mbox"), ("needle", "b/big.json")}
+    assert readers.count_mbox(spark, str(tmp_path / "b/deep/x/mail.mbox")) == 3
+
+
+def test_inverse_predicates_and_lookup_by_any_key(spark):
+    from yore.operators import entities as E
+
+    entities = spark.createDataFrame([("a",), ("b",), ("c",)], "entity string")
+    runs = spark.createDataFrame([("b", "isPartOf", "a", None, None, 1), ("c", "isPartOf", "b", 1, 2, 1)], "entity string, predicate string, object string, period_from long, period_to long, first_valid long")
+    ids = lambda df: sorted(r.entity for r in df.collect())
+    assert ids(E.with_any(entities, runs, "hasPart")) == ["a", "b"] and ids(E.with_any(entities, runs, "hasPart", scope="current")) == ["a"]
+    assert ids(E.with_any(entities, runs, "hasPart", no=True)) == ["c"] and ids(E.with_any(entities, runs, "isPartOf")) == ["b", "c"]
+    records = spark.createDataFrame([("k1", "a"), ("k2", "a"), ("k3", "b")], "subject string, entity string")
+    assert ids(E.by_key(entities, records, "k2")) == ["a"] and ids(E.by_key(entities, records, "zz")) == []

@@ -31,7 +31,11 @@ def with_value(entities: DataFrame, properties: DataFrame, predicate: str, value
 
 
 def with_any(entities: DataFrame, properties: DataFrame, predicate: str, scope: str = "ever", no: bool = False, **at) -> DataFrame:
-    """Entities that have (or, with `no`, lack) the predicate; closed runs count by default."""
+    """Entities that have (or, with `no`, lack) the predicate; closed runs count by default. An inverse predicate is had by what the forward one points to."""
+    forward = INVERSE.get(predicate)
+    if forward:
+        pointed = scoped(properties, forward, scope, **at).filter("object is not null").select(F.col("object").alias("entity"))
+        return links.having(entities, pointed, ["entity"], no)
     return links.having(entities, scoped(properties, predicate, scope, **at), ["entity"], no)
 
 
@@ -65,6 +69,11 @@ def linked(entities: DataFrame, properties: DataFrame, predicate: str, targets:
     raise ValueError(f"unknown quantifier {how!r}")
 
 
+def by_key(entities: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """The entity that any of its source records' keys names. records: subject, entity."""
+    return links.having(entities, records.filter(F.col("subject") == key), ["entity"])
+
+
 def from_source(entities: DataFrame, sourced: DataFrame, test: Column, no: bool = False) -> DataFrame:
     """Entities with a source record that passes the test on source and source_id."""
     return links.having(entities, sourced.filter(test), ["entity"], no)

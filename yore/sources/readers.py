@@ -122,3 +122,8 @@ def schema_match(df: DataFrame, wanted: dict[str, bool]) -> str:
     have = {c.lower() for c in df.columns}
     missing = [c for c in wanted if c.lower() not in have]
     return "full" if not missing else "none" if any(wanted[c] for c in missing) else "partial"
+
+
+def count_mbox(spark: SparkSession, path: str) -> int:
+    """How many messages mbox files hold, by their separators alone."""
+    return spark.read.text(path).filter(F.col("value").startswith("From ")).count()
