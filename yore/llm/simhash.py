@@ -91,6 +91,27 @@ def _chain_holds(x: int, others: np.ndarray, first: int, tau: int, ring: int) ->
     return ok
 
 
+def ring_holds(diff: np.ndarray, quota: np.ndarray, ring: int) -> np.ndarray:
+    """Which rows of differing bits (64-bit words) have at most `quota` set bits, for fingerprints of any length.
+
+    The words are cut into at most `ring` segments. Rows without a segment from which the chains of one, two and more
+    consecutive segments stay within their share of the quota are pruned before the full Hamming check.
+    """
+    cuts = np.unique(np.linspace(0, diff.shape[1], ring + 1).astype(np.int64))
+    ring = len(cuts) - 1
+    by_segment = np.add.reduceat(np.bitwise_count(diff), cuts[:-1], axis=1, dtype=np.int64)
+    share = (quota / diff.shape[1])[:, None]
+    lengths = np.diff(cuts)
+    holds, total, allowed = np.ones(by_segment.shape, dtype=bool), np.zeros_like(by_segment), np.zeros(ring, np.int64)
+    for l in range(ring - 1):
+        total += np.roll(by_segment, -l, axis=1)
+        allowed += np.roll(lengths, -l)
+        holds &= total <= share * allowed + 1e-9
+    ok = holds.any(axis=1)
+    ok[ok] = by_segment[ok].sum(axis=1) <= quota[ok]
+    return ok
+
+
 def spanning_links(values: list[int], first: int, tau: int, ring: int) -> list[tuple[int, int]]:
     """Links of a forest that joins what one block links: each value that is reached, with what reached it. Every value is checked against the unreached ones once."""
     left = np.array(sorted(set(values)), dtype=np.int64)
