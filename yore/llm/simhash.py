@@ -175,10 +175,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def _only_rows(docs: DataFrame, elected: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of docs that elected (_election() structs, column e) names, one of each, with the columns of docs."""
+    """The rows of docs that elected (_election() structs, column e) names, one of each, with the columns of docs.
+
+    Rows move once, by three hashes: the join is by these alone, with the id compared in what meets, so that it leaves
+    repeated rows together where they are told apart from.
+    """
     named = elected.select(F.col("e.k_id").alias("e_id"), F.xxhash64("e.k_id").alias("e_c"), F.col("e.k_a").alias("e_a"), F.col("e.k_b").alias("e_b"))
     left = docs.select(F.struct(*docs.columns).alias("row__"), *row_key(key, text)).withColumn("k_c", F.xxhash64("k_id"))
-    kept = left.join(named, (left.k_c == named.e_c) & (left.k_a == named.e_a) & (left.k_b == named.e_b) & left.k_id.eqNullSafe(named.e_id))
+    same_id = F.coalesce(left.k_id == named.e_id, left.k_id.isNull() & named.e_id.isNull())
+    kept = left.join(named.hint("merge"), (left.k_c == named.e_c) & (left.k_a == named.e_a) & (left.k_b == named.e_b) & same_id)
     return kept.dropDuplicates(["k_c", "k_a", "k_b"]).select(*[F.col("row__")[c].alias(c) for c in docs.columns])
 
 
