@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yore.llm import brown, decontaminate, langid, licenses, packing, pii, quality, simhash, suffix, urls
+from yore.llm import bases, brown, decontaminate, langid, licenses, packing, pii, quality, simhash, suffix, urls
 
 QUERIES = {
     "op1_repeats": suffix.op1_repeats,
@@ -17,4 +17,6 @@ QUERIES = {
     "op10_pack": packing.op10_pack,
 }
 
-ORACLES = {"op2_decontaminate": decontaminate.SQL}
+QUERIES |= bases.QUERIES
+
+ORACLES = {"op2_decontaminate": decontaminate.SQL, **bases.ORACLES}
