@@ -14,6 +14,8 @@ read whole; positions are running sums, so that very many places in one text tak
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +198,7 @@ def rules() -> list[tuple[str, int, list[str], list[str], str]]:
         for lead in ("spdx license identifier", "licensed under", "released under", "distributed under"):
             out.append((label, EXACT, lead.split(), words.split(), f"{lead} (?:the )?(?:terms of the )?(?:{name})(?: license)?"))
         # a name says license, or the word follows it: mit, zlib and their like are plain words too
-        whole = "|".join(x if "license" in x.split() else f"(?:{x}) license" for x in name.split("|"))
+        whole = "|".join(x if re.search(r"\blicense\b", x) else f"(?:{x}) license" for x in name.split("|"))
         out.append((label, NAMED, ["license"], words.split(), f"(?:the )?(?:{whole})"))
     for parts in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
         label, name = "cc-" + parts.replace(" ", "-"), {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
