@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yore.llm import bases, brown, decontaminate, langid, licenses, packing, pii, quality, simhash, suffix, urls
+from yore.llm import bases, brown, decontaminate, langid, licenses, mixing, packing, periodic, pii, quality, simhash, suffix, urls, whitening
 
 QUERIES = {
     "op1_repeats": suffix.op1_repeats,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_language": langid.op9_language,
     "op10_pack": packing.op10_pack,
+    "op11_runs": periodic.op11_runs,
+    "op12_whiten": whitening.op12_whiten,
+    "op13_mix": mixing.op13_mix,
 }
 
 QUERIES |= bases.QUERIES
 
-ORACLES = {"op2_decontaminate": decontaminate.SQL, **bases.ORACLES}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op13_mix": mixing.SQL, **bases.ORACLES}
