@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 #: Characters that show as nothing, without the joiners and direction marks that a script or an emoji needs; fixed values.
 INVISIBLE = "[\u00AD\u034F\u115F\u1160\u17B4\u17B5\u180E\u200B\u2060\u2061\u2062\u2063\u2064\u3164\uFEFF\uFFA0]"
-#: Query parameters that only track; fixed values.
+#: Names of query parameters that only track; fixed values.
 TRACKING = r"(?:utm_\w+|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|_hsenc|_hsmi|mkt_tok|yclid|igshid)"
-#: Addresses in a text; fixed values.
-URL_IN_TEXT, LONGEST_URL = r"(?:https?|mailto):[^\s<>()\]]+", 200
+#: Addresses in a text, and from how many characters on a mailing's only count clicks; fixed values.
+ADDRESS, LONG = r"(?:https?|mailto):[^\s<>()\]]+", 201
 
 
 def visible(text: Column) -> Column:
@@ -28,22 +28,26 @@ def replaced(text: Column, pattern: str, new) -> Column:
 
 
 def untracked(url: Column) -> Column:
-    """A url without tracking parameters and the ? or & that they leave behind."""
-    url = F.regexp_replace(url, rf"(?i)([?&]){TRACKING}=[^&#\s)\]]*", "$1")
-    return F.regexp_replace(F.regexp_replace(url, r"([?&])&+", "$1"), r"[?&]+\z", "")
+    """A url without its tracking parameters: cut at every &, parameters with such a name emptied, empty ones left out, and no ? or & at the end."""
+    emptied = lambda x, first: F.regexp_replace(x, rf"(?i)({first}\?){TRACKING}=[^#\s)\]]*", "$1")
+    parts = F.split(url, "&")
+    rest = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: emptied(x, "^|")), lambda x: x != "")
+    joined = F.array_join(F.concat(F.array(emptied(F.get(parts, F.lit(0)), "")), rest), "&")
+    return F.rtrim(F.replace(joined, F.lit("?&"), F.lit("?")), F.lit("?&"))
 
 
 def tidy(text: Column, bulk: bool = False) -> Column:
-    """Text without invisible characters, tracking parameters in its urls, spaces at the ends of lines and of the text, and more than one empty line in a row.
+    """Text without invisible characters and tracking parameters, whose lines end in no space, of which no two in a row are empty, nor the first or last.
 
-    bulk: a mailing, whose urls of over LONGEST_URL characters go too; a Markdown link to one keeps its words.
+    bulk: a mailing, whose addresses of LONG characters or more go; of a Markdown link to one its words stay.
     """
-    text = replaced(visible(text), URL_IN_TEXT, untracked)
+    text = replaced(visible(text), ADDRESS, untracked)
     if bulk:
-        text = F.regexp_replace(text, rf"\[([^\]]*)\]\([^)\s]{{{LONGEST_URL + 1},}}\)", "$1")
-        text = replaced(text, URL_IN_TEXT, lambda url: F.when(F.length(url) > LONGEST_URL, "").otherwise(url))
-    text = F.regexp_replace(text, r"[^\S\n]+(?=\n|\z)", "")
-    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+        worded = F.regexp_replace(text, rf"\[([^\]]*)\]\([^)\s]{{{LONG},}}\)", "$1")
+        text = replaced(worded, ADDRESS, lambda url: F.when(F.length(url) < LONG, url))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\s+\z", ""))
+    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(lines, i - 1) == "", F.lit(True)).alias("after"))), lambda x: (x["x"] != "") | ~x["after"])
+    return F.regexp_replace(F.array_join(kept["x"], "\n"), r"^\s+|\s+\z", "")
 
 
 def _bare_letters() -> tuple[str, str]:

@@ -101,45 +101,43 @@ def apple(seconds: Column) -> Column:
     return F.round((seconds + 978_307_200) * 1000).cast("long")
 
 
-#: A year with any trailing digits unspecified, then month and day, and a qualifier; and an instant in UTC; fixed values.
-_EDTF = r"^(\d{4}|\d{3}X|\d{2}XX|\dXXX|XXXX)(?:-(\d{2}|XX)(?:-(\d{2}|XX))?)?[?~%]?\z"
-_INSTANT = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.\d+)?Z\z"
-
-
-def _day_fits(year: Column, month: Column, day: Column) -> Column:
-    """Whether a month has such a day; of a year with open digits, February has 29."""
-    y = F.coalesce(year.try_cast("int"), F.lit(2000))
-    return day.try_cast("int").between(1, F.dayofmonth(F.last_day(F.make_date(y, month.try_cast("int"), F.lit(1)))))
+#: Shapes of an instant in UTC and of a date: open digits of a year are X, an open month or day is XX, a qualifier may end it; fixed values.
+_INSTANT = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z\z"
+_DATE = r"^(?=\d*X*[-?~%]|\d*X*\z)[\dX]{4}(-(\d\d|XX)){0,2}[?~%]?\z"
+
+
+def dated(text: Column) -> Column:
+    """struct<instant boolean, first long, last long> of an instant or a date of any precision; null if the text is neither.
+
+    first and last bound what the text can mean: of an instant both are its microseconds, of a date they count days as if
+    all months had 31, from the least to the greatest year that its digits allow. Where no year is fixed, any day of a
+    leap year will do.
+    """
+    parts = F.split(F.rtrim(text, F.lit("?~%")), "-")
+    year, month, day = (F.nullif(F.get(parts, F.lit(i)), F.lit("XX")) for i in range(3))
+    sample = F.concat_ws("-", F.when(year.contains("X"), "2000").otherwise(year), F.coalesce(month, F.lit("01")), F.coalesce(day, F.lit("01")))
+    says = F.when(month.isNull(), day.isNull() & (year != "XXXX")).otherwise(True)
+    count = lambda x, m, d: F.replace(year, F.lit("X"), F.lit(x)).try_cast("long") * 372 + F.coalesce(month.try_cast("long"), F.lit(m)) * 31 + F.coalesce(day.try_cast("long"), F.lit(d))
+    date = F.struct(F.lit(False).alias("instant"), count("0", 1, 1).alias("first"), count("9", 12, 31).alias("last"))
+    at = F.unix_micros(F.try_to_timestamp(text))
+    return F.when(text.rlike(_INSTANT) & at.isNotNull(), F.struct(F.lit(True).alias("instant"), at.alias("first"), at.alias("last"))).when(
+        text.rlike(_DATE) & says & sample.try_cast("date").isNotNull(), date
+    )
 
 
 def is_instant(text: Column) -> Column:
-    """Whether a text is a full instant in UTC, such as 2024-03-02T14:05:00Z."""
-    part = lambda i: F.regexp_extract(text, _INSTANT, i)
-    n = lambda i: part(i).try_cast("int")
-    fits = n(2).between(1, 12) & _day_fits(part(1), F.when(n(2).between(1, 12), part(2)), part(3)) & (n(4) <= 23) & (n(5) <= 59) & (n(6) <= 59)
-    return text.rlike(_INSTANT) & F.coalesce(fits, F.lit(False))
+    """Whether a text is a full instant in UTC."""
+    return F.when(text.isNotNull(), F.coalesce(dated(text)["instant"], F.lit(False)))
 
 
 def is_date_time(text: Column) -> Column:
-    """Whether a text is an instant, or a year, month or day that may leave trailing parts unspecified with X and end in ?, ~ or %."""
-    year, month, day = (F.regexp_extract(text, _EDTF, i) for i in (1, 2, 3))
-    open_month = month.isin("", "XX")
-    numbered = month.try_cast("int").between(1, 12)
-    fits = F.when((month == "XX") & ~day.isin("", "XX"), False).when((year == "XXXX") & open_month, False).when(open_month, True).when(day.isin("", "XX"), numbered).otherwise(numbered & _day_fits(year, F.when(numbered, month), day))
-    return F.when(text.rlike(_INSTANT), is_instant(text)).otherwise(text.rlike(_EDTF) & F.coalesce(fits, F.lit(False)))
+    """Whether a text is one instant or date that dated() knows."""
+    return F.when(text.isNotNull(), dated(text).isNotNull())
 
 
 def is_date_range(text: Column) -> Column:
-    """Whether a text is one date of is_date_time(), or two of them, both dates or both instants, joined by a slash, that could be in order."""
-    ends = F.split(text, "/", -1)
+    """Whether a text is a date, or two dates or two instants with a slash between them of which the second can be as late as the first."""
+    ends = F.transform(F.split(text, "/", -1), dated)
     a, b = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
-
-    def filled(date: Column, digit: str, month: str, day: str) -> Column:
-        part = lambda i: F.regexp_extract(date, _EDTF, i)
-        of = lambda x, other: F.when(x.isin("", "XX"), F.lit(other)).otherwise(x)
-        return F.concat_ws("-", F.replace(part(1), F.lit("X"), F.lit(digit)), of(part(2), month), of(part(3), day))
-
-    exact = lambda x: x.rlike(_INSTANT)
-    ordered = F.when(exact(a), F.try_to_timestamp(a) <= F.try_to_timestamp(b)).otherwise(filled(a, "0", "01", "01") <= filled(b, "9", "12", "31"))
-    two = is_date_time(a) & is_date_time(b) & (exact(a) == exact(b)) & F.coalesce(ordered, F.lit(False))
-    return F.when(F.size(ends) == 1, ~exact(text) & is_date_time(text)).when(F.size(ends) == 2, two).otherwise(F.when(text.isNotNull(), False))
+    fits = F.when(F.size(ends) == 1, ~a["instant"]).when(F.size(ends) == 2, (a["instant"] == b["instant"]) & (a["first"] <= b["last"]))
+    return F.when(text.isNotNull(), F.coalesce(fits, F.lit(False)))
