@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from yore.functions.identity import canonical
 from yore.operators import links
-from yore.operators.intervals import valid
+from yore.operators.intervals import meets, valid
+from yore.operators.shred import Ontology
 
 INVERSE = {"hasPart": "isPartOf", "hasMember": "memberOf"}
 
@@ -89,3 +90,23 @@ def acting(actions: DataFrame, edges: DataFrame, role: str, who: DataFrame | Non
     rows = edges.filter(F.col("role") == role)
     rows = rows.join(who.select("entity"), "entity", "left_semi") if who is not None else rows
     return links.having(actions, rows, ["action"], no)
+
+
+def occurrences(actions: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
+    """(entity, action, at, earliest, latest): actions of these types that an entity is the object or the result of, such as its publication."""
+    of = edges.filter(F.col("role").isin("object", "result")).select("action", "entity").distinct()
+    return actions.filter(F.col("type").isin(types)).select("action", F.col("occurred_at").alias("at"), "earliest", "latest").join(of, "action").select("entity", "action", "at", "earliest", "latest")
+
+
+def dated(entities: DataFrame, actions: DataFrame, edges: DataFrame, predicate: str, lo: int | None = None, hi: int | None = None, kinds: dict[str, str] | None = None, no: bool = False) -> DataFrame:
+    """Entities whose date, which is that of an action on them, can lie in [lo, hi]. kinds: predicate -> type, as in an Ontology."""
+    kinds = kinds or Ontology().lifecycle
+    if predicate not in kinds:
+        raise ValueError(f"{predicate} dates no action")
+    when = occurrences(actions, edges.filter("role = 'object'"), [kinds[predicate]]).filter(meets(F.col("earliest"), F.col("latest"), lo, hi))
+    return links.having(entities, when, ["entity"], no)
+
+
+def by_occurrence(entities: DataFrame, actions: DataFrame, edges: DataFrame, test, types: list[str] | None = None, no: bool = False) -> DataFrame:
+    """Entities with an action of their life that test(rows of occurrences()) keeps: with operators.near, those that came about so long after or before something."""
+    return links.having(entities, test(occurrences(actions, edges, types or list(Ontology().lifecycle.values()))), ["entity"], no)

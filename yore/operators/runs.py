@@ -18,9 +18,11 @@ def runs(observed: DataFrame, chain: list[str], many: bool = False) -> DataFrame
     observed: the chain columns, valid_at, observed_at, value (null: a marker that the predicate was seen without one),
     action, grade. With `many`, each value has runs of its own and a marker ends all that it does not confirm;
     otherwise a marker or another value ends a run. A marker at a time at which the value is confirmed too has no effect.
+    If there is a column confirmed_at, last_observed reaches to it: a confirm moves that and nothing else.
     A run's start is known if it is not the chain's first, its grade is 1, or it was observed later than it was valid,
     or a marker came before it; else period_from is null.
     """
+    observed = observed if "confirmed_at" in observed.columns else observed.withColumn("confirmed_at", F.col("observed_at"))
     if many:
         return _of_values(observed, chain)
     order = ["valid_at", "observed_at", F.col("value").isNotNull(), "action", "value"]
@@ -43,7 +45,7 @@ def runs(observed: DataFrame, chain: list[str], many: bool = False) -> DataFrame
         .groupBy(*keys, "run__", "value")
         .agg(
             F.min(F.struct("valid_at", "observed_at", "action", "grade", "marked__", "opened__")).alias("f__"),
-            F.max(first).alias("l__"), F.max("observed_at").alias("last_observed"), F.min("closing__").alias("period_to"), F.count("*").alias("n"), F.max("grade").alias("grade"),
+            F.max(first).alias("l__"), F.max(F.greatest("observed_at", "confirmed_at")).alias("last_observed"), F.min("closing__").alias("period_to"), F.count("*").alias("n"), F.max("grade").alias("grade"),
         )
     )
     known = (F.col("run__") > 1) | (F.col("f__.grade") == 1) | (F.col("f__.valid_at") != F.col("f__.observed_at")) | F.coalesce((F.col("f__.opened__") == 0) & (F.col("f__.marked__") < F.col("f__.valid_at")), F.lit(False))
@@ -69,7 +71,7 @@ def _of_values(observed: DataFrame, chain: list[str]) -> DataFrame:
     rows = rows.withColumn("start__", starts.cast("int")).withColumn("run__", F.sum("start__").over(by.rowsBetween(W.Window.unboundedPreceding, 0)))
     folded = rows.groupBy(*chain, "value", "run__").agg(
         F.min(F.struct("valid_at", "observed_at", "action", "grade", "marked__")).alias("f__"), F.max(F.struct("valid_at", "observed_at", "action")).alias("l__"),
-        F.max("observed_at").alias("last_observed"), F.max_by("closing__", "valid_at").alias("period_to"), F.count("*").alias("n"), F.max("grade").alias("grade"),
+        F.max(F.greatest("observed_at", "confirmed_at")).alias("last_observed"), F.max_by("closing__", "valid_at").alias("period_to"), F.count("*").alias("n"), F.max("grade").alias("grade"),
     )
     known = (F.col("run__") > 1) | (F.col("f__.grade") == 1) | (F.col("f__.valid_at") != F.col("f__.observed_at")) | F.coalesce(F.col("f__.marked__") < F.col("f__.valid_at"), F.lit(False))
     return folded.select(
@@ -123,6 +125,20 @@ def hoisted(observed: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, Data
     return observed.filter(~F.col("predicate").isin(list(kinds))), found
 
 
+def absences(observed: DataFrame, chain: list[str], source: str = "source") -> DataFrame:
+    """Markers for what a source's snapshots stop saying: where a value is not in the next snapshot of its source, one of its chain at that time, which ends every run that this snapshot does not confirm.
+
+    observed: full snapshots as observations, with their source; a snapshot is all that a source says at one valid_at, so
+    one that says nothing at all must leave a row with a null value. The last snapshot of a source leaves all open.
+    """
+    at = observed.select(source, "valid_at", F.struct("observed_at", "action").alias("o__")).groupBy(source, "valid_at").agg(F.min("o__").alias("o__"))
+    following = at.withColumn("next__", F.lead(F.struct(F.col("valid_at").alias("at"), F.col("o__"))).over(W.Window.partitionBy(source).orderBy("valid_at")))
+    said = observed.filter("value is not null").select(source, *chain, "value", "valid_at").distinct()
+    due = said.join(following.filter("next__ is not null").select(source, "valid_at", "next__"), [source, "valid_at"]).drop("valid_at").withColumn("valid_at", F.col("next__.at"))
+    gone = due.join(said, [source, *chain, "value", "valid_at"], "left_anti").select(*chain, "valid_at", "next__").distinct()
+    return gone.select(*chain, "valid_at", F.col("next__.o__.observed_at").alias("observed_at"), F.lit(None).cast("string").alias("value"), F.col("next__.o__.action").alias("action"), F.lit(0).alias("grade"))
+
+
 def toggled(actions: DataFrame, chain: list[str], kind: str, at: str, opens: str, closes: str, tie: str) -> DataFrame:
     """(chain, period_from, period_to): from an opening action to the next closing one; openings of an open run extend it, closings without one do nothing."""
     by = W.Window.partitionBy(*chain).orderBy(at, tie)

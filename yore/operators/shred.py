@@ -2,9 +2,11 @@
 
 Each payload gives flat rows: one `action`, an `edge` for every filler of a role, an `entity` for every node seen, an
 `observation` for every literal or link of a node (a marker, with neither, where a node asserts a predicate without a
-value), and a `metric` for every number of a measured predicate. Only this flattening is Python, a small function a
-payload; everything after it is DataFrame work. Payloads that are no JSON objects, and nodes without any identity,
-give an `error` row.
+value), and a `metric` for every number of a measured predicate. A date of a node's life is no value but one more
+`action`, of which the node is the object; and a role that says something lasting of the action's object, such as where
+it was born, is an observation of that from the action's time on. Only this flattening is Python, a small function a
+payload; everything after it is DataFrame work. Payloads that are no JSON objects, nodes without any identity, and
+dates that are none give an `error` row.
 """
 
 from __future__ import annotations
@@ -31,16 +33,34 @@ COLUMNS = {
 
 @dataclass
 class Ontology:
-    """predicates: name -> (whether it has many values, its kind: text, link or metric). Others are dropped."""
+    """What the names in payloads mean.
+
+    predicates: name -> (whether it has many values, its kind: text, link or metric); others are dropped. lifecycle: a
+    date predicate -> the type of the action that it dates. facets: an action's type -> (role, the predicate of its
+    object that the role's filler is). encounters: an action's type -> who is met, its object or a message's other
+    party. propagating: links over which meeting a thing meets another. special: a state -> the types of action that
+    begin and end it.
+    """
 
     predicates: dict[str, tuple[bool, str]] = field(
         default_factory=lambda: {
             "name": (False, "text"), "description": (False, "text"), "text": (False, "text"), "title": (False, "text"), "handle": (False, "text"), "email": (False, "text"), "address": (False, "text"),
-            "genre": (True, "text"), "keywords": (True, "text"), "mood": (False, "text"), "datePublished": (False, "text"),
+            "genre": (True, "text"), "keywords": (True, "text"), "mood": (False, "text"),
+            "birthPlace": (False, "link"), "deathPlace": (False, "link"), "home": (False, "link"), "inAlbum": (True, "link"), "partOf": (True, "link"), "performer": (True, "link"), "series": (True, "link"),
             "author": (True, "link"), "artist": (True, "link"), "member": (True, "link"), "memberOf": (True, "link"), "isPartOf": (True, "link"), "creator": (True, "link"), "publisher": (False, "link"), "about": (True, "link"),
             "activeEnergyBurned": (False, "metric"), "weight": (False, "metric"), "duration": (False, "metric"), "followers": (False, "metric"),
         }
     )
+    # the names below are fixed values
+    lifecycle: dict[str, str] = field(default_factory=lambda: {"datePublished": "PublishAction", "dateCreated": "CreateAction", "birthDate": "BirthAction", "deathDate": "DeathAction"})
+    facets: dict[str, tuple[str, str]] = field(
+        default_factory=lambda: {"BirthAction": ("location", "birthPlace"), "DeathAction": ("location", "deathPlace"), "MoveAction": ("location", "home"), "CreateAction": ("agent", "creator"), "PublishAction": ("agent", "publisher")}
+    )
+    encounters: dict[str, str] = field(
+        default_factory=lambda: {"ReadAction": "object", "ListenAction": "object", "WatchAction": "object", "ViewAction": "object", "PlayAction": "object", "MessageAction": "message"}
+    )
+    propagating: tuple[str, ...] = ("artist", "creator", "inAlbum", "partOf", "performer", "series")
+    special: dict[str, tuple[str, str]] = field(default_factory=lambda: {"liked": ("LikeAction", "UnlikeAction"), "following": ("FollowAction", "UnfollowAction"), "bookmarked": ("BookmarkAction", "UnbookmarkAction")})
 
 
 def _range(text) -> tuple[int | None, int | None]:
@@ -75,8 +95,23 @@ def _identity(node: dict) -> tuple[str | None, list[str]]:
     return key or (keys[0] if keys else None), sorted(set(keys))
 
 
-def shred_one(body: str, asserted_at: int, ontology: Ontology) -> Iterator[dict]:
-    """Rows of one payload, as dicts of COLUMNS."""
+def _shared(dates) -> tuple[int | None, int | None]:
+    """What the ranges of one or more dates have in common; where they have nothing, the last one's."""
+    at: tuple[int | None, int | None] = (None, None)
+    for x in dates if isinstance(dates, list) else [dates]:
+        lo, hi = _range(x)
+        if lo is not None:
+            at = (max(at[0], lo), min(at[1], hi)) if at[0] is not None and max(at[0], lo) <= min(at[1], hi) else (lo, hi)
+    return at
+
+
+def _key(node) -> str | None:
+    """The key of what fills a role."""
+    return ME if node == "@me" else _identity(node)[0] if isinstance(node, dict) else None
+
+
+def shred_one(body: str, asserted_at: int, ontology: Ontology, anchored: bool = False) -> Iterator[dict]:
+    """Rows of one payload, as dicts of COLUMNS. anchored: asserted_at is when it was first seen, whatever the payload says of that."""
     try:
         payload = json.loads(body)
         if not isinstance(payload, dict) or "@type" not in payload:
@@ -85,6 +120,8 @@ def shred_one(body: str, asserted_at: int, ontology: Ontology) -> Iterator[dict]
         yield {"what": "error", "error": str(e)[:200]}
         return
     observed = _range(payload.get("@assertedAt"))[0]
+    if anchored:
+        observed, payload = None, {k: v for k, v in payload.items() if k not in ("@assertedAt", "@kind")}
     observed = asserted_at if observed is None else observed
     lower, upper = _range(payload.get("startTime") or payload.get("timestamp"))
     end = _range(payload.get("endTime"))[1]
@@ -106,12 +143,17 @@ def shred_one(body: str, asserted_at: int, ontology: Ontology) -> Iterator[dict]
             todo.append(node)
         return key
 
+    whole = payload.get("object")
+    whole = next((k for k in map(_key, whole if isinstance(whole, list) else [whole]) if k), None)
+    said, facet = ontology.facets.get(payload["@type"], (None, None)) if whole else (None, None)
     for role in ROLES + MANY_ROLES:
         found = payload.get(role)
         for node in found if isinstance(found, list) else [found] if found is not None else []:
             key = met(node)
-            if key:
-                yield {"what": "edge", "action": action, "predicate": role, "target": key, "valid_at": valid, "observed_at": observed}
+            if key and role == said:
+                yield {"what": "observation", "action": action, "subject": whole, "source": payload.get("source"), "predicate": facet, "target": key, "valid_at": valid, "observed_at": observed, "start": lower}
+            elif key:
+                yield {"what": "edge", "action": action, "predicate": role, "target": key, "valid_at": valid, "observed_at": observed, "start": lower}
             else:
                 yield {"what": "error", "action": action, "predicate": role, "error": "a role without an identity"}
     seen = set()
@@ -122,8 +164,17 @@ def shred_one(body: str, asserted_at: int, ontology: Ontology) -> Iterator[dict]
         if mark in seen:
             continue
         seen.add(mark)
-        base = {"action": action, "subject": key, "source": node.get("source"), "valid_at": valid, "observed_at": observed}
+        base = {"action": action, "subject": key, "source": node.get("source"), "valid_at": valid, "observed_at": observed, "start": lower}
         yield {"what": "entity", "keys": keys, "type": node.get("@type"), "source_id": node.get("sourceId"), **base}
+        for predicate, kind in ontology.lifecycle.items():
+            if node.get(predicate) is not None:
+                first, last = _shared(node[predicate])
+                if first is None:
+                    yield {"what": "error", "action": action, "predicate": predicate, "error": "a date that is none"}
+                    continue
+                happened = key_of(canonical({"@synthetic": True, "@type": kind, "object": key}))
+                yield {"what": "action", "action": happened, "type": kind, "source": node.get("source"), "valid_at": first, "observed_at": observed, "start": first, "earliest": first, "latest": last}
+                yield {"what": "edge", "action": happened, "predicate": "object", "target": key, "valid_at": first, "observed_at": observed, "start": first}
         asserts = set(node.get("@asserts") or ())
         for predicate, (many, kind) in ontology.predicates.items():
             found = node.get(predicate)
@@ -144,19 +195,20 @@ def shred_one(body: str, asserted_at: int, ontology: Ontology) -> Iterator[dict]
                 yield {"what": "observation", "predicate": predicate, **base}
 
 
-def shred(log: DataFrame, body: str = "body", asserted: str = "asserted_at", ontology: Ontology | None = None) -> DataFrame:
-    """The rows of all payloads of a log (JSON texts, with when they were asserted in milliseconds)."""
-    ontology = ontology or Ontology()
-    schema = ", ".join(f"`{c}` {t}" for c, t in COLUMNS.items())
+def shred(log: DataFrame, body: str = "body", asserted: str = "asserted_at", ontology: Ontology | None = None, keep: dict[str, str] | None = None, anchored: bool = False) -> DataFrame:
+    """The rows of all payloads of a log (JSON texts, with when they were asserted in milliseconds). keep: columns of the log, with their types, that each of its payload's rows gets; anchored: see shred_one()."""
+    ontology, keep = ontology or Ontology(), keep or {}
+    columns = COLUMNS | keep
+    schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [r for b, t in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True) for r in shred_one(b, int(t), ontology)]
-            out = pd.DataFrame(rows, columns=list(COLUMNS))
-            for c, t in COLUMNS.items():
+            rows = [{**r, **dict(zip(keep, more, strict=True))} for b, t, *more in frame.itertuples(index=False, name=None) for r in shred_one(b, int(t), ontology, anchored)]
+            out = pd.DataFrame(rows, columns=list(columns))
+            for c, t in columns.items():
                 out[c] = out[c].astype("Int64" if t == "long" else "float64" if t == "double" else object)
                 if t not in ("long", "double"):
                     out[c] = out[c].where(out[c].notna(), None)
             yield out
 
-    return log.select(F.coalesce(body, F.lit("")), F.col(asserted).cast("long")).mapInPandas(run, schema)
+    return log.select(F.coalesce(body, F.lit("")), F.col(asserted).cast("long"), *keep).mapInPandas(run, schema)

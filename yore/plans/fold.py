@@ -23,6 +23,7 @@ g AS (SELECT subject, run, any_value(value) AS value, min(valid_at) AS first_val
   min(CASE WHEN next_at IS NOT NULL AND NOT coalesce(next_value = value, false) THEN next_at END) AS period_to FROM r WHERE value IS NOT NULL GROUP BY subject, run)"""
 
 
+SINGLE_RUNS = _SINGLE
 ORACLE_OF_RUNS = _SINGLE + " SELECT subject, value, CASE WHEN run > 1 OR coalesce(opened = 0 AND marked < first_valid, false) THEN first_valid END AS period_from, period_to, first_valid, last_valid, n FROM g"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yore.plans import aggregation, deeper, fold, leaves, more, relations, scalars, times
+from yore.plans import aggregation, deeper, fold, leaves, more, relations, scalars, stored, times
 from yore.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregation", "deeper", "fold", "leaves", "more", "relations", "scalars", "times"]
+__all__ = ["ORACLES", "QUERIES", "aggregation", "deeper", "fold", "leaves", "more", "relations", "scalars", "stored", "times"]

@@ -1,22 +1,34 @@
-"""From a log of payloads to derived tables. Nothing depends on the order in which payloads arrive: keys are content hashes, and every choice among rows has a total order."""
+"""From a log of payloads to derived tables. Nothing depends on the order in which payloads arrive: keys are content hashes, a claim is seen from its first sighting to its last, and every choice among rows has a total order.
+
+The steps stand alone, since the ledger (`plans/ledger.py`) takes the same ones over the parts of its tables that a
+batch touches: sightings -> claims -> facts -> registers and observations -> chains -> the tables of a Store.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from yore.functions.identity import canonical, key_of
 from yore.functions.texts import tokens
+from yore.functions.times import date_range
+from yore.operators import encounters as met
 from yore.operators import runs
 from yore.operators.components import resolve
 from yore.operators.shred import ME, Ontology, shred
 from yore.sources.shared import written
 
+#: What a source record can be renamed in.
+IDENTIFIERS = ("handle", "email")
+
 
 @dataclass
 class Store:
-    """sourced: subject, entity, source, source_id, type. entities: entity, name, types. actions, edges (action, role, entity), properties (entity, predicate, value or object, periods), metrics, words (entity, tokens)."""
+    """sourced: subject, entity, source, source_id, type, and current identifiers. entities: entity, name, types. actions, edges (action, role, entity), properties (entity, predicate, value or object, periods), metrics, words (entity, tokens), encounters (see operators.encounters), special (entity, predicate, agent, periods), errors."""
 
     sourced: DataFrame
     entities: DataFrame
@@ -25,40 +37,130 @@ class Store:
     properties: DataFrame
     metrics: DataFrame
     words: DataFrame
+    encounters: DataFrame
+    special: DataFrame
     errors: DataFrame
 
 
-def fold(log: DataFrame, ontology: Ontology | None = None, **columns) -> Store:
-    """All derived tables of a log."""
-    ontology = ontology or Ontology()
-    rows = written(shred(log, ontology=ontology, **columns))
+@F.pandas_udf(T.StringType())
+def claim_of(bodies: pd.Series) -> pd.Series:
+    """The key of what a payload claims, whenever and however it was asserted; of a text that is no JSON object, of the text."""
+    import json
+
+    def one(body: str) -> str:
+        try:
+            said = json.loads(body)
+            return key_of(canonical({k: v for k, v in said.items() if k not in ("@assertedAt", "@kind")}))
+        except (ValueError, AttributeError):
+            return key_of(body)
+
+    return bodies.fillna("").map(one)
+
+
+def sightings(log: DataFrame, body: str = "body", asserted: str = "asserted_at") -> DataFrame:
+    """(cid, claim, kind, seen_at, body) of a log's rows: what is claimed, and when it was seen; the payload says when, or else the column. kind is that of the log or the payload: assert, restated or confirm."""
+    said = lambda name: F.get_json_object(body, f"$['{name}']")
+    kind = F.col("kind") if "kind" in log.columns else said("@kind")
+    claim = F.col("claim") if "claim" in log.columns else claim_of(F.col(body))
+    seen = F.coalesce(date_range(said("@assertedAt"))["lower"], F.col(asserted).cast("long"), F.lit(0))
+    rows = log.select(claim.alias("claim"), F.coalesce(kind, F.lit("assert")).alias("kind"), seen.alias("seen_at"), F.col(body).alias("body"), *[F.col(c).cast("string") for c in ("cid",) if c in log.columns])
+    cid = F.col("cid") if "cid" in rows.columns else F.concat_ws(":", "claim", "kind", "seen_at")
+    return rows.select(cid.alias("cid"), "claim", "kind", "seen_at", "body")
+
+
+def claims(seen: DataFrame) -> DataFrame:
+    """(claim, body, first_seen, last_seen): a claim holds from its first sighting on, whether that was its assert or a confirm; confirms of what the store only restated do not make it more recent."""
+    restated = F.max(F.col("kind") == "restated") & ~F.max(F.col("kind") == "assert")
+    first = F.struct(F.col("body").isNull().alias("none"), (F.col("kind") != "assert").alias("later"), "seen_at", "cid")
+    found = seen.groupBy("claim").agg(F.min_by("body", first).alias("body"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("z__"), restated.alias("r__"))
+    return found.select("claim", "body", "first_seen", F.when(F.col("r__"), F.col("first_seen")).otherwise(F.col("z__")).alias("last_seen"))
+
+
+def facts(told: DataFrame, ontology: Ontology) -> DataFrame:
+    """The shredded rows of claims, with the claim and when it was last seen; of claims without a body none."""
+    return shred(told.filter("body is not null"), asserted="first_seen", ontology=ontology, keep={"claim": "string", "last_seen": "long"}, anchored=True)
+
+
+def registers(rows: DataFrame) -> DataFrame:
+    """One row an action of facts: what all its sightings agree on."""
+    found = runs.registers(rows.filter("what = 'action'"), ["action"], ["observed_at", "source", "source_id", "type"], ["type", "source", "source_id", "start", "observed_at"], "earliest", "latest", "end")
+    return found.withColumn("occurred_at", F.coalesce("earliest", "observed_at"))
+
+
+def observations(rows: DataFrame) -> DataFrame:
+    """Observations of facts as runs() takes them, still placed where their own claims say; `start` is null where that is a sighting."""
+    value = F.coalesce("value", F.concat(F.lit("@"), "target"))
+    return rows.filter("what = 'observation'").select("subject", "predicate", "valid_at", "observed_at", F.col("last_seen").alias("confirmed_at"), value.alias("value"), "action", F.lit(0).alias("grade"), "start", "claim")
+
+
+def sharpened(observed: DataFrame, actions: DataFrame) -> DataFrame:
+    """Observations placed where their action happened move to the start of what all its sightings agree on, so that a finer date sharpens boundaries that a coarser one opened."""
+    known = actions.filter("not conflict and earliest is not null").select("action", F.col("earliest").alias("e__"))
+    at = F.when(F.col("start").isNotNull(), F.coalesce("e__", "valid_at")).otherwise(F.col("valid_at"))
+    return observed.join(known, "action", "left").withColumn("valid_at", at).drop("e__")
+
+
+def chains(observed: DataFrame, ontology: Ontology) -> DataFrame:
+    """Validity runs of all (subject, predicate). Sightings that differ in their claims alone count once."""
+    many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p, (m, _) in ontology.predicates.items() for x in (p, m)]), F.col("predicate")), F.lit(False))
+    same = ["subject", "predicate", "valid_at", "observed_at", "value", "action", "grade"]
+    once = observed.groupBy(*same).agg(F.max("confirmed_at").alias("confirmed_at"))
+    return runs.runs(once.filter(~many), ["subject", "predicate"]).unionByName(runs.runs(once.filter(many), ["subject", "predicate"], many=True))
+
+
+def _text(value: Column) -> Column:
+    """The text that a JSON string says."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+
+
+def assembled(rows: DataFrame, found: DataFrame, actions: DataFrame, ontology: Ontology) -> Store:
+    """The tables of a store from facts, the runs of their chains, and the registers of their actions."""
     of = lambda what: rows.filter(F.col("what") == what)
     seen = of("entity")
-    keys = seen.groupBy("subject").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
-    named = written(resolve(keys, "subject", "keys").withColumnRenamed("entity", "entity"))
+    keys = seen.select("subject", F.explode("keys").alias("key")).distinct().groupBy("subject").agg(F.collect_list("key").alias("keys"))
+    named = written(resolve(keys, "subject", "keys"))
     first = F.struct("observed_at", "action", "source", "type")
     sourced = seen.groupBy("subject").agg(F.min_by(F.struct("source", "source_id"), first).alias("s"), F.min_by("type", first).alias("type")).join(named, "subject").select("subject", "entity", "s.*", "type")
+    sourced = sourced.join(runs.identifiers(found, list(IDENTIFIERS)), "subject", "left")
     types = seen.join(named, "subject").groupBy("entity").agg(F.array_sort(F.collect_set("type")).alias("types"))
 
-    many = F.create_map(*[F.lit(x) for p, (m, _) in ontology.predicates.items() for x in (p, m)])
-    once = of("observation").select("subject", "predicate", "valid_at", "observed_at", F.coalesce("value", F.concat(F.lit("@"), "target")).alias("value"), "action", F.lit(0).alias("grade")).distinct()
-    single = runs.runs(once.filter(~F.element_at(many, F.col("predicate"))), ["subject", "predicate"])
-    each = runs.runs(once.filter(F.element_at(many, F.col("predicate"))), ["subject", "predicate"], many=True)
-    chains = single.unionByName(each).join(named, "subject")
     target = named.select(F.col("subject").alias("t__"), F.col("entity").alias("object"))
     link = F.when(F.col("value").startswith("@"), F.expr("substring(value, 2)"))
-    properties = written(chains.withColumn("t__", link).join(target, "t__", "left").withColumn("value", F.when(F.col("t__").isNull(), F.col("value"))).drop("t__"))
+    linked = found.join(named, "subject").withColumn("t__", link).join(target, "t__", "left")
+    properties = written(linked.withColumn("value", F.when(F.col("t__").isNull(), F.col("value"))).drop("t__"))
 
     is_name = properties.filter("predicate = 'name' and period_to is null").join(sourced.select("subject", "source"), "subject")
     best = runs.elect(is_name, ["entity"], [F.asc(F.coalesce(F.col("source") == "url", F.lit(False))), F.desc("last_valid"), F.desc("last_observed"), F.asc("value"), F.asc("subject")])
-    entities = types.join(best.select("entity", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("name")), "entity", "left").withColumn("me", F.lit(False))
-    me = named.filter(F.col("subject") == ME).select(F.col("entity"), F.lit(True).alias("is_me"))
+    entities = types.join(best.select("entity", _text(F.col("value")).alias("name")), "entity", "left")
+    me = named.filter(F.col("subject") == ME).select("entity", F.lit(True).alias("is_me"))
     entities = entities.join(me, "entity", "left").select("entity", "name", "types", F.coalesce("is_me", F.lit(False)).alias("me"))
 
-    actions = runs.registers(of("action"), ["action"], ["observed_at", "source", "source_id", "type"], ["type", "source", "source_id", "start", "observed_at"], "earliest", "latest", "end")
-    actions = actions.withColumn("occurred_at", F.coalesce("earliest", "observed_at"))
     edges = of("edge").select("action", F.col("predicate").alias("role"), F.col("target").alias("subject")).distinct().join(named, "subject").select("action", "role", "entity").distinct()
     metrics = of("metric").select("subject", "predicate", "action", "valid_at", "observed_at", "number").distinct().join(named, "subject").drop("subject")
-    literal = properties.filter("value is not null and period_to is null").groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("value")), " ").alias("text"))
+    literal = properties.filter("value is not null and period_to is null").select("entity", "value").distinct().groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("text"))
     words = literal.select("entity", tokens(F.col("text")).alias("tokens"))
-    return Store(sourced, entities, actions, edges, properties, metrics, words, of("error").select("action", "predicate", "error"))
+
+    stated = observations(rows).filter("value like '@%'").select("action", "subject", "predicate", F.expr("substring(value, 2)").alias("t__"))
+    stated = stated.join(target, "t__").join(named.withColumnRenamed("entity", "of"), "subject").select("action", "of", "predicate", "object").distinct()
+    links = properties.filter("object is not null").select("entity", "predicate", "object").distinct()
+    meetings = met.emitted(actions, edges, stated, links, ontology.encounters, ontology.propagating)
+    return Store(sourced, entities, actions, edges, properties, metrics, words, meetings, specials(actions, edges, ontology), of("error").select("action", "predicate", "error"))
+
+
+def specials(actions: DataFrame, edges: DataFrame, ontology: Ontology) -> DataFrame:
+    """(entity, predicate, agent, period_from, period_to): states that one kind of action begins and another ends, for each object and agent; without an agent, null."""
+    role = lambda r, name: edges.filter(F.col("role") == r).select("action", F.col("entity").alias(name))
+    rows = actions.join(role("object", "entity"), "action").join(role("agent", "agent"), "action", "left").select("action", "type", "occurred_at", "entity", "agent")
+    parts = [runs.toggled(rows, ["entity", "agent"], "type", "occurred_at", a, b, "action").withColumn("predicate", F.lit(name)) for name, (a, b) in ontology.special.items()]
+    whole = parts[0]
+    for x in parts[1:]:
+        whole = whole.unionByName(x)
+    return whole.select("entity", "predicate", "agent", "period_from", "period_to")
+
+
+def fold(log: DataFrame, ontology: Ontology | None = None, **columns) -> Store:
+    """All derived tables of a log. columns: the names of its body and asserted columns, if others; a `claim` and a `kind` are used where the log has them."""
+    ontology = ontology or Ontology()
+    rows = written(facts(claims(sightings(log, **columns)), ontology))
+    actions = written(registers(rows))
+    return assembled(rows, chains(sharpened(observations(rows), actions), ontology), actions, ontology)

@@ -42,6 +42,26 @@ def written(df: DataFrame) -> DataFrame:
     return session.read.parquet(path)
 
 
+def names(session: SparkSession, path: str) -> list[str]:
+    """What lies in a folder of any storage that Spark reads, sorted; nothing if there is none."""
+    at = session._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(session._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def put(session: SparkSession, path: str, text: str) -> None:
+    """Write a small text as a file, at once: readers see it whole or not at all. The file must not be there."""
+    of = session._jvm.org.apache.hadoop.fs.Path
+    at, draft = of(path), of(f"{path}.{uuid.uuid4().hex}")
+    files = at.getFileSystem(session._jsc.hadoopConfiguration())
+    out = files.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(at) or not files.rename(draft, at):
+        files.delete(draft, False)
+        raise FileExistsError(path)
+
+
 def release(session: SparkSession) -> None:
     """Have the shuffle files of finished steps removed now: Spark's cleaner drops them once the driver's garbage is collected, which a small driver may not do for long."""
     gc.collect()
