@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from yore.functions import texts
 from yore.operators import near, project, runs, steps
-from yore.operators.summary import candidates, pinned, summary
+from yore.operators.summary import candidates, summary
 
 RNG = random.Random(12)
 
@@ -27,6 +27,31 @@ def test_spans_within_a_distance(spark):
         near.has_span_within(a, b, "s", "e", "beside", 0, 9, 50)
 
 
+def test_spans_without_an_end_or_a_key(spark):
+    rows = [(1, 0, 10, 20), (2, 0, 30, None), (3, None, 10, 20), (4, 0, None, 5), (5, 1, 10, None)]
+    anchors = [(0, 22, None), (0, None, 3), (1, 10, 12), (None, 10, 20)]
+    a, b = spark.createDataFrame(rows, "id int, k int, s long, e long"), spark.createDataFrame(anchors, "k int, s long, e long")
+    of = lambda kind, lo, hi: {r.id: r.near for r in near.has_span_within(a, b, "s", "e", kind, lo, hi, 50, ["k"]).collect()}
+    assert of("near", 0, 3) == {1: True, 2: False, 3: False, 4: False, 5: True}
+    assert of("near", 1, 9) == {1: True, 2: True, 3: False, 4: False, 5: False}
+    assert of("after", 0, 9) == {1: False, 2: True, 3: False, 4: False, 5: False} and of("before", 0, 9) == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert {r.id: r.n for r in near.count_overlapping(a, b, "s", "e", 7, ["k"], "n").collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
+def test_scans_over_bins_without_a_key(spark):
+    per_bin = spark.createDataFrame([(i * 700, i % 3 or None) for i in range(-4, 9)], "bin__ long, v long")
+    rows = [tuple(r) for r in sorted(per_bin.collect())]
+    for how, of in (("sum", sum), ("max", max), ("last", lambda x: x[-1])):
+        got = {r.bin__: r.c for r in near.carried(per_bin, [], "v", "c", how).collect()}
+        assert got == {b: of(x) if (x := [v for c, v in rows if c < b and v is not None]) else None for b, _ in rows}, how
+
+
+def test_kinds_in_time_order(spark):
+    a, b = spark.createDataFrame([(i, i * 10) for i in range(20)], "id int, occurred_at int"), spark.createDataFrame([(100 + i, i * 10 + 5) for i in range(20)], "id int, occurred_at int")
+    assert [r.id for r in steps.combined([a, b], size=3).collect()] == [119, 19, 118] and steps.combined([a, b]).count() == 40
+    assert steps.combined([a.drop("occurred_at"), b], size=30).count() == 30
+
+
 def test_runs_that_hold_at_a_rows_own_time(spark):
     rows = [(i, RNG.randint(0, 2), RNG.randint(0, 100)) for i in range(60)]
     held = [(RNG.randint(0, 2), s if (s := RNG.randint(-9, 90)) >= 0 else None, e if (e := s + RNG.randint(0, 30)) < 95 else None) for _ in range(12)]
@@ -67,12 +92,13 @@ def test_boundaries_take_what_all_sightings_agree_on(spark):
 
 def test_summaries(spark):
     assert candidates({"a": 5, "b.name": 2, "c.name": 3, "d": 9, "e": 0}, ["b.name", "c.name"], ["d"]) == ["c.name", "b.name", "a"]
-    told = [{"path": "agent", "within": [{"path": "name", "value": "X"}]}, {"path": "object", "within": [{"path": "artist", "within": [{"path": "name", "value": "Y"}]}]}, {"path": "target", "value": "@me"}, {"path": "with", "not": True, "within": [{"path": "name", "value": "Z"}]}]
-    assert pinned(told) == {"agent.name", "object.artist.name", "target.name"}
     none = spark.createDataFrame([], "t long, k string")
     assert [tuple(r) for r in summary(none, {"k": F.col("k")}, at="t").collect()] == [("total", "", 0), ("census", "k", 0)]
     one = spark.createDataFrame([(5, "x")], "t long, k string")
-    assert {r.facet for r in summary(one, {"k": F.col("k")}, at="t").collect()} == {"total", "census", "span", "time:day"}
+    assert {r.facet for r in summary(one, {"k": F.col("k")}, at="t").collect()} == {"total", "census", "span"}  # one bucket tells nothing
+    two = spark.createDataFrame([(5, "x"), (6, "y"), (86_400_000, None)], "t long, k string")
+    assert {r.facet for r in summary(two.limit(2), {"k": F.col("k")}, at="t").collect()} == {"total", "census", "span"}
+    assert {r.facet for r in summary(two, {"k": F.col("k")}, at="t").collect()} == {"total", "census", "span", "time:day"}
 
 
 def test_steps(spark):

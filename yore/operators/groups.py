@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from yore.operators.near import carried
+
 KM_PER_DEGREE = 111.0
 
 
@@ -52,16 +54,14 @@ def episodes(rows: DataFrame, start: str, end: str, gap: int, label: str, by: li
     by = by or []
     one = rows.select(*by, F.col(start).alias("s__"), F.coalesce(end, start).alias("e__"), F.col(label).alias("l__")).filter("s__ is not null").withColumn("bin__", F.floor(F.col("s__") / width))
 
-    def carried(df: DataFrame, value: Column, how) -> DataFrame:
-        per_bin = df.groupBy(*by, "bin__").agg(value.alias("v__"))
-        before = W.Window.partitionBy(*by).orderBy("bin__").rowsBetween(W.Window.unboundedPreceding, -1)
-        return per_bin.select(*by, "bin__", how("v__").over(before).alias("c__"))
+    def before(df: DataFrame, value: Column, how: str) -> DataFrame:
+        return carried(df.groupBy(*by, "bin__").agg(value.alias("v__")), by, "v__", "c__", how).drop("v__")
 
     within = W.Window.partitionBy(*by, "bin__").orderBy("s__", "e__", "l__")
-    seen = one.join(carried(one, F.max("e__"), F.max), [*by, "bin__"])
+    seen = one.join(before(one, F.max("e__"), "max"), [*by, "bin__"])
     furthest = F.greatest(F.max("e__").over(within.rowsBetween(W.Window.unboundedPreceding, -1)), F.col("c__"))
     marked = seen.withColumn("new__", F.coalesce((F.col("s__") - furthest > gap).cast("int"), F.lit(0))).drop("c__")
-    numbered = marked.join(carried(marked, F.sum("new__"), F.sum), [*by, "bin__"]).withColumn("g__", F.sum("new__").over(within.rowsBetween(W.Window.unboundedPreceding, 0)) + F.coalesce("c__", F.lit(0)))
+    numbered = marked.join(before(marked, F.sum("new__"), "sum"), [*by, "bin__"]).withColumn("g__", F.sum("new__").over(within.rowsBetween(W.Window.unboundedPreceding, 0)) + F.coalesce("c__", F.lit(0)))
     labelled = numbered.groupBy(*by, "g__", "l__").agg(F.min("s__").alias("s__"), F.max("e__").alias("e__"), F.count("*").alias("n__"))
     return labelled.groupBy(*by, "g__").agg(
         F.min("s__").alias("start"), F.max("e__").alias("end"), F.sum("n__").alias("count"), F.min_by("l__", F.struct(-F.col("n__"), F.col("l__"))).alias("label")

@@ -63,7 +63,7 @@ class Ontology:
     special: dict[str, tuple[str, str]] = field(default_factory=lambda: {"liked": ("LikeAction", "UnlikeAction"), "following": ("FollowAction", "UnfollowAction"), "bookmarked": ("BookmarkAction", "UnbookmarkAction")})
 
 
-def _range(text) -> tuple[int | None, int | None]:
+def range_of(text) -> tuple[int | None, int | None]:
     """[first, last] millisecond of a year, month, day or instant."""
     if not isinstance(text, str):
         return None, None
@@ -99,7 +99,7 @@ def _shared(dates) -> tuple[int | None, int | None]:
     """What the ranges of one or more dates have in common; where they have nothing, the last one's."""
     at: tuple[int | None, int | None] = (None, None)
     for x in dates if isinstance(dates, list) else [dates]:
-        lo, hi = _range(x)
+        lo, hi = range_of(x)
         if lo is not None:
             at = (max(at[0], lo), min(at[1], hi)) if at[0] is not None and max(at[0], lo) <= min(at[1], hi) else (lo, hi)
     return at
@@ -119,12 +119,12 @@ def shred_one(body: str, asserted_at: int, ontology: Ontology, anchored: bool =
     except ValueError as e:
         yield {"what": "error", "error": str(e)[:200]}
         return
-    observed = _range(payload.get("@assertedAt"))[0]
+    observed = range_of(payload.get("@assertedAt"))[0]
     if anchored:
         observed, payload = None, {k: v for k, v in payload.items() if k not in ("@assertedAt", "@kind")}
     observed = asserted_at if observed is None else observed
-    lower, upper = _range(payload.get("startTime") or payload.get("timestamp"))
-    end = _range(payload.get("endTime"))[1]
+    lower, upper = range_of(payload.get("startTime") or payload.get("timestamp"))
+    end = range_of(payload.get("endTime"))[1]
     action = _identity(payload)[0] or key_of(canonical(payload))
     valid = observed if lower is None else lower
     yield {

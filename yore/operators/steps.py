@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from yore.operators.pages import merge_newest
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -45,11 +47,15 @@ def downloaded(rows: DataFrame, url: str, fetch: Callable[[DataFrame], DataFrame
     return rows.join(fetch(rows.filter(F.col(url).isNotNull()).select(url).distinct()), url, "left")
 
 
-def combined(parts: list[DataFrame], at: str = "occurred_at") -> DataFrame:
-    """Several kinds as one: in time order, newest first, if all of them have a time, else one after another."""
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("part__", F.lit(i)) for i, p in enumerate(parts)])
+def combined(parts: list[DataFrame], at: str = "occurred_at", size: int = 0) -> DataFrame:
+    """Several kinds as one: in time order, newest first, if all of them have a time, else one after another. With a size, the first so many rows, for which each kind gives its own first; without one, a sort of all rows."""
     timed = all(at in p.columns for p in parts)
-    return (whole.orderBy(F.desc(at), "part__") if timed else whole.orderBy("part__")).drop("part__")
+    numbered = [p.withColumn("part__", F.lit(i)) for i, p in enumerate(parts)]
+    if size and timed:
+        return merge_newest(numbered, at, ["part__"], size).drop("part__")
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.limit(size) if size else p for p in numbered])
+    whole = whole.orderBy(F.desc(at), "part__") if timed else whole.orderBy("part__")
+    return (whole.limit(size) if size else whole).drop("part__")
 
 
 def totalled(rows: DataFrame, name: str, **tests: Column) -> tuple[DataFrame, Observation]:

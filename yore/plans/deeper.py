@@ -87,8 +87,8 @@ def identifiers_elected(spark, d):
     return runs.identifiers(found, ["handle"])
 
 
-_FACET = "SELECT '{path}' AS facet, key, count FROM (SELECT CAST({value} AS VARCHAR) AS key, count(*) AS count FROM {rows} WHERE {value} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)"
-_OTHER = "SELECT '{path}', '@other', CAST(sum(count) AS BIGINT) FROM (SELECT count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, CAST({value} AS VARCHAR)) AS rank FROM {rows} WHERE {value} IS NOT NULL GROUP BY {value}) WHERE rank > 10 HAVING count(*) > 0"
+_FACET = "SELECT '{path}' AS facet, key, count FROM (SELECT CAST({value} AS VARCHAR) AS key, count(*) AS count FROM {rows} WHERE {value} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)"
+_OTHER = "SELECT '{path}', '@other', CAST(sum(count) AS BIGINT) FROM (SELECT count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, CAST({value} AS VARCHAR)) AS rank FROM {rows} WHERE {value} IS NOT NULL GROUP BY {value}) WHERE rank > 8 HAVING count(*) > 0"
 
 
 @query(

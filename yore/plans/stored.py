@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yore.operators import encounters as met
-from yore.operators import entities, near, runs
+from yore.operators import entities, near, runs, summary
+from yore.operators.conditions import During, Either, Has, Near
+from yore.operators.conditions import actions as actions_that
+from yore.operators.conditions import entities as entities_that
 from yore.operators.intervals import millis
 from yore.plans.base import ACTIONS_SQL, DAY, actions, ms, query, table
 from yore.plans.fold import SINGLE_RUNS
@@ -103,7 +106,7 @@ def _talks(spark, d) -> DataFrame:
     """Events as reading and writing: a view reads a page by another, a click writes to a user, a purchase writes to one in a channel; other events meet no one."""
     rows = actions(spark, d)
     node = lambda kind, key, *more: F.struct(F.lit(kind).alias("@type"), key.alias("@id"), F.lit("events").alias("source"), *more)
-    user = lambda n: node("Person", F.concat(F.lit("u"), n))
+    user = lambda n: node("Person", F.concat(F.lit("u"), n), F.concat(F.lit("User "), n).alias("name"))
     other = (F.col("agent") * 7 + F.col("id")) % 50
     page = node("Article", F.concat(F.lit("p"), F.col("id") % 40), F.array(user(F.col("id") % 40 % 9)).alias("creator"))
     channel = node("Channel", F.concat(F.lit("c"), F.col("id") % 5))
@@ -139,6 +142,43 @@ def encounter_at(spark, d):
     return met.with_encounter(found, s.encounters, no=True, scope="after", lo=_TO).select("entity")
 
 
+@query("ask_entities", f"WITH {_MET} SELECT DISTINCT subject AS entity FROM m x WHERE level = 'encounter' AND through IS NULL AND \"at\" >= {_FROM} AND \"at\" < {_TO} AND who IN ('u1', 'u2') AND (CAST(substr(subject, 2) AS INT) % 9 IN (3, 4) OR subject IN (SELECT subject FROM m GROUP BY 1 HAVING min(\"at\") > {ms(2024, 1, 3) - 1}))")
+def ask_entities(spark, d):
+    """Articles that one of two users met in two weeks, and that two others made or no one had met in the first two days."""
+    s = fold(_talks(spark, d))
+    ids = lambda *names: Either(tuple((Has("id", "=", n),) for n in names))
+    asked = [
+        Has("type", "=", "Article"), During("during", _FROM, _TO, (Has("encountered", within=(ids("u1", "u2"),)),)),
+        Either(((Has("creator", within=(ids("u3", "u4"),)),), (During("before", ms(2024, 1, 3), None, (Has("encountered", no=True),)),))),
+    ]
+    return entities_that(s, asked).select("entity")
+
+
+_HOUR = 3_600_000
+
+
+@query("ask_actions", f"WITH {ACTIONS_SQL} SELECT 'e' || id AS action FROM actions r WHERE type IN ('click', 'purchase') AND (agent * 7 + id) % 50 <> 7 AND EXISTS (SELECT 1 FROM actions a WHERE a.type = 'view' AND a.agent = r.agent AND a.t < r.t AND r.t - a.t <= {6 * _HOUR}) AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.type = 'purchase' AND a.id <> r.id AND abs(a.t - r.t) <= {_HOUR // 6})")
+def ask_actions(spark, d):
+    """Messages, not to one user, within six hours after their writer read something, and without anyone's purchase within ten minutes."""
+    s = fold(_talks(spark, d))
+    asked = [Has("type", "=", "MessageAction"), Has("recipient", within=(Has("id", "=", "u7"),), no=True), Near("after", (Has("type", "=", "ReadAction"),), hi=6 * _HOUR)]
+    bought = (Has("type", "=", "MessageAction"), Has("object", within=(Has("isPartOf"),)))
+    return actions_that(s, [*asked, Near("near", bought, hi=_HOUR // 6, anyone=True, no=True)]).select("action")
+
+
+_TOPS = "SELECT '{path}' AS facet, key, count FROM (SELECT {key} AS key, count(*) AS count FROM {rows} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8) UNION ALL SELECT '{path}', '@other', CAST(sum(count) AS BIGINT) FROM (SELECT count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, {key}) AS rank FROM {rows} GROUP BY {key}) WHERE rank > 8 HAVING count(*) > 0"
+
+
+@query(
+    "summary_store",
+    f"WITH {ACTIONS_SQL}, v AS (SELECT * FROM actions WHERE type = 'view') SELECT 'total' AS facet, '' AS key, count(*) AS count FROM v UNION ALL SELECT 'census', unnest(['timestamp', 'startTime', 'agent', 'object', 'object.creator']), count(*) FROM v "
+    "UNION ALL SELECT 'census', unnest(['endTime', 'result', 'instrument', 'target', 'location', 'object.attachment']), 0 UNION ALL SELECT 'span', 'first', min(t) FROM v UNION ALL SELECT 'span', 'last', max(t) FROM v UNION ALL SELECT 'time:day', strftime(make_timestamp(t * 1000), '%Y-%m-%d'), count(*) FROM v GROUP BY 2 UNION ALL ("
+    + _TOPS.format(path="agent.name", key="'User ' || agent", rows="v") + ") UNION ALL (" + _TOPS.format(path="object.creator.name", key="'User ' || (id % 40 % 9)", rows="v") + ")",
+)
+def summary_store(spark, d):
+    return summary.of_actions(fold(_talks(spark, d)), [Has("type", "=", "ReadAction")])
+
+
 @query("snapshot_absence", """WITH s AS (SELECT l_suppkey % 3 AS source, date_trunc('month', l_shipdate) AS ts, l_orderkey % 20 AS subject, l_returnflag || l_linenumber AS value FROM lineitem),
 t AS (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) AS next FROM (SELECT DISTINCT source, ts FROM s)),
 v AS (SELECT DISTINCT source || '-' || subject AS subject, value, epoch_us(s.ts) // 1000 AS ts, epoch_us(next) // 1000 AS next FROM s JOIN t USING (source, ts)),
