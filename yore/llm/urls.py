@@ -25,6 +25,8 @@ from yore.llm.common import ascii_lower, cut, table
 #: (host, path, verdict) of the query; fixed values.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 DAMPING, TOLERANCE, EVERY, DOMAIN, FLOOR, MARGIN = 0.85, 1e-3, 6, 0.1, 0.1, 0.2
+#: Edges that a task of a step of ranks takes.
+TASK = 200_000
 #: A host that HTML names: after http(s)://, after // where an attribute or a word begins, or a name in www.
 LINK = r"""(?i)(?:(?<![a-z0-9])https?://|(?<=["'\s=(>])//|(?<![a-z0-9_.@/-])(?=www\.))([^/?#"'\s<>()\[\],;@\\]++)"""
 
@@ -81,13 +83,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     both = edges.select("src", "dst", "weight", F.lit("trust").alias("kind")).union(edges.select("dst", "src", "weight", F.lit("distrust")))
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
     flow = cut(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("all") * damping).alias("part")))
-    seeds = cut(seeds.select("host", "kind", "share"))
+    # as many tasks as the edges ask for: a small graph need not leave a file of every step for each shuffle partition
+    tasks = 1 + flow.count() // TASK
+    flow = flow.coalesce(tasks)
+    seeds = cut(seeds.select("host", "kind", "share").coalesce(tasks)).coalesce(tasks)
     rank, left = seeds, 1.0
     while left > tolerance:
         new = rank
         for _ in range(every):
             sent = new.withColumnRenamed("host", "src").join(flow, ["kind", "src"]).select(F.col("dst").alias("host"), "kind", (F.col("share") * F.col("part")).alias("share"))
-            new = sent.unionByName(seeds.withColumn("share", F.col("share") * (1 - damping))).groupBy("host", "kind").agg(F.sum("share").alias("share"))
+            new = sent.unionByName(seeds.withColumn("share", F.col("share") * (1 - damping))).groupBy("host", "kind").agg(F.sum("share").alias("share")).coalesce(tasks)
         new = cut(new)
         change = new.union(rank.withColumn("share", -F.col("share"))).groupBy("host", "kind").agg(F.abs(F.sum("share")).alias("change")).groupBy("kind").agg(F.sum("change").alias("change"))
         # each further step moves at most `damping` of what the one before moved
