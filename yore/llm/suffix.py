@@ -11,8 +11,8 @@ the same scan over what comes before gives the groups that agree to the left; gr
 byte on both sides are the maximal repeats, with all their occurrences. What lies in a repeat of LENGTH bytes or more is
 covered.
 
-Groups of more than MOST distinct contexts do not come together: their windows are counted one by one, which is linear
-in the number of contexts and splits over any number of tasks. Places that follow each other with equal k-grams and
+A group of MOST distinct contexts has some 5 MB of bytes and takes a task seconds. Groups of more do not come together:
+their windows are counted one by one, some 160 rows a context, which splits over any number of tasks. Places that follow each other with equal k-grams and
 contexts, as in a ruled line, are one row. Texts are identified by 128 bits of hash, so copies are
 compared once and share their result. Null texts are empty, and texts of fewer than LENGTH bytes keep all; repeated
 rows cover each other like any copies; ties do not matter; an empty table gives an empty table. Very long texts are
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from yore.llm.common import release, table, written
 
-LENGTH, GRAM, MOST = 200, 40, 1000
+LENGTH, GRAM, MOST = 200, 40, 1 << 14
 #: Bytes that are hashed at a time; longer texts go in overlapping pieces.
 CHUNK = 1 << 20
 _STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
