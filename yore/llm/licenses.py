@@ -14,6 +14,7 @@ read whole; positions are running sums, so that very many places in one text tak
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -261,9 +262,10 @@ def _suppress(found: Column) -> Column:
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, base (array of start, end, label, in the order of the text) and detections (array of start, end, priority, rule, label). Columns of these names are replaced."""
     table_of = rules()
-    # the long words say most: a rule's gate is its rarest keywords; all are checked
-    signed = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.array(*map(F.lit, words)).alias("words"), F.array(*map(F.lit, some)).cast("array<string>").alias("some"), F.lit(pattern).alias("pattern")) for i, (label, p, words, some, pattern) in enumerate(table_of)])
-    keys = F.array(*[F.lit(w) for w in sorted({w for _, _, words, some, _ in table_of for w in words + some})])
+    # as one text each, which Spark reads once: a literal for every word of every rule takes a driver 20 s
+    told = [{"rule": i, "label": label, "priority": p, "words": words, "some": some, "pattern": pattern} for i, (label, p, words, some, pattern) in enumerate(table_of)]
+    signed = F.from_json(F.lit(json.dumps(told)), "array<struct<rule:int,label:string,priority:int,words:array<string>,some:array<string>,pattern:string>>")
+    keys = F.split(F.lit(" ".join(sorted({w for _, _, words, some, _ in table_of for w in words + some}))), " ")
 
     def per_rule(said: Column) -> Column:
         def tried(present: Column) -> Column:
