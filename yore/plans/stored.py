@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yore.operators import encounters as met
-from yore.operators import entities, near, runs, summary
+from yore.operators import entities, near, places, runs, summary
 from yore.operators.conditions import During, Either, Has, Near
 from yore.operators.conditions import actions as actions_that
 from yore.operators.conditions import entities as entities_that
@@ -17,6 +17,7 @@ from yore.plans.base import ACTIONS_SQL, DAY, actions, ms, query, table
 from yore.plans.fold import SINGLE_RUNS
 from yore.plans.ledger import Ledger
 from yore.plans.store import fold
+from yore.sources import attachments
 from yore.sources.shared import folder
 
 _KEY = F.array(F.lit("source"), F.lit("sourceId"))
@@ -192,3 +193,38 @@ def snapshot_absence(spark, d):
     observed = rows.select("source", F.concat_ws("-", "source", "s").alias("subject"), "valid_at", F.col("valid_at").alias("observed_at"), "value", F.concat_ws(":", "source", "valid_at").alias("action"), F.lit(0).alias("grade"))
     whole = observed.drop("source").unionByName(runs.absences(observed, ["subject"], "source"))
     return runs.runs(whole, ["subject"], many=True).select("subject", "value", "first_valid", "last_valid", "period_to")
+
+
+@query("attachment_refs", "SELECT doc_id, sha256(text) AS cid, 'text/plain' AS mime, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL")
+def attachment_refs(spark, d):
+    """Documents as payloads that carry their text inline; every node gets the hash of its content, every content is there once."""
+    node = F.struct(F.lit("Document").alias("@type"), F.concat(F.lit("d"), "doc_id").alias("@id"), F.concat(F.lit("data:text/plain;charset=utf-8;base64,"), F.replace(F.base64(F.encode("text", "utf-8")), F.lit("\r\n"), F.lit(""))).alias("contentData"))
+    log = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.lit("AddAction").alias("@type"), node.alias("object"))).alias("body"))
+    kept, blobs, _ = attachments.extracted(log)
+    of = kept.select("doc_id", F.get_json_object("body", "$.object.attachmentCid").alias("cid"), F.get_json_object("body", "$.object.mimeType").alias("mime")).filter("cid is not null")
+    return of.join(blobs.select("cid", F.octet_length("content").cast("long").alias("size")), "cid").select("doc_id", "cid", "mime", "size")
+
+
+@query("page_with_places", "WITH o AS (SELECT c_custkey, c_nationkey, max(epoch_us(o_orderdate) // 1000) AS recent FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), u AS (SELECT 'entity' AS kind, CAST(c_custkey AS VARCHAR) AS key, 'Customer ' || c_custkey AS label, recent FROM o UNION ALL SELECT 'place', CAST(n_nationkey AS VARCHAR), any_value(n_name), max(recent) FROM o JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey) SELECT * FROM u WHERE recent < 901900000000 ORDER BY recent DESC, kind, key LIMIT 101")
+def page_with_places(spark, d):
+    """Customers and their nations' places in one page, by when they were last met, after a cursor."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), millis("o_orderdate").alias("t")).groupBy("key").agg(F.max("t").alias("recent"))
+    met_at = orders.join(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("n")), "key")
+    of_places = met_at.groupBy(F.col("n").alias("key")).agg(F.max("recent").alias("recent")).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("label")), "key")
+    return places.united_page(met_at.withColumn("label", F.concat(F.lit("Customer "), "key")), of_places, "recent", 100, (901_900_000_000, "place", "~"))
+
+
+@query("geo_object_location", """WITH h AS (SELECT c_custkey AS k, c_nationkey * 2.0 + (c_custkey % 10) / 100.0 AS lat, c_nationkey * 3.0 AS lon FROM customer WHERE c_custkey % 4 <> 0),
+m AS (SELECT o_orderstatus AS l, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 50) / 1.0 ELSE lat END AS lat, CASE WHEN o_orderkey % 3 = 0 THEN 10.0 ELSE lon END AS lon FROM orders LEFT JOIN h ON k = o_custkey),
+c AS (SELECT CAST(round(lat / (25 / 111.0)) AS BIGINT) AS cell_lat, CAST(round(lon / (25 / 111.0)) AS BIGINT) AS cell_lon, l, avg(lat) AS lat, avg(lon) AS lon, count(*) AS n FROM m WHERE lat IS NOT NULL GROUP BY 1, 2, 3)
+SELECT cell_lat, cell_lon, round(arg_min(lat, (-n, l)), 6) AS lat, round(arg_min(lon, (-n, l)), 6) AS lon, CAST(sum(n) AS BIGINT) AS count, arg_min(l, (-n, l)) AS label FROM c GROUP BY 1, 2""")
+def geo_object_location(spark, d):
+    """Orders on a grid: a third have a point, the others are where their customer is now, if anywhere."""
+    at = lambda c: F.when(F.col("o_orderkey") % 3 == 0, c)
+    acts = table(spark, d, "orders").select(F.col("o_custkey").alias("object"), F.col("o_orderstatus").alias("label"), at((F.col("o_orderkey") % 50) / 1.0).alias("lat"), at(F.lit(10.0)).alias("lon"))
+    held = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("entity"), F.when(F.col("c_custkey") % 4 == 0, 1).alias("period_to"), F.col("c_nationkey").cast("string").alias("place"),
+        (F.col("c_nationkey") * 2.0 + (F.col("c_custkey") % 10) / 100.0).cast("double").alias("lat"), (F.col("c_nationkey") * 3.0).cast("double").alias("lon"),
+    )
+    found = places.grid(acts, held, 25, "label")
+    return found.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
