@@ -124,3 +124,15 @@ def test_inverse_predicates_and_lookup_by_any_key(spark):
     assert ids(E.with_any(entities, runs, "hasPart", no=True)) == ["c"] and ids(E.with_any(entities, runs, "isPartOf")) == ["b", "c"]
     records = spark.createDataFrame([("k1", "a"), ("k2", "a"), ("k3", "b")], "subject string, entity string")
     assert ids(E.by_key(entities, records, "k2")) == ["a"] and ids(E.by_key(entities, records, "zz")) == []
+
+
+def test_a_batch_looks_only_into_its_buckets(spark, tmp_path):
+    log = str(tmp_path / "log")
+    schema = "cid string, claim string, asserted_at int"
+    fold.append_new(spark.createDataFrame([(f"c{i}", f"k{i}", i) for i in range(60)], schema), log)
+    before = sorted(p.name for p in (tmp_path / "log").rglob("*.parquet"))
+    (tmp_path / "log/bucket=0").rename(tmp_path / "aside") if (tmp_path / "log/bucket=0").exists() else None
+    fold.append_new(spark.createDataFrame([("c5", "k5", 5), ("new", "k5", 99)], schema), log)  # one bucket
+    rows = {r.cid: (r.kind, r.bucket) for r in spark.read.parquet(log).collect()}
+    assert rows["new"] == ("confirm", rows["c5"][1]) and rows["c5"][0] == "assert"
+    assert len([p for p in (tmp_path / "log").rglob("*.parquet") if p.name not in before]) == 1

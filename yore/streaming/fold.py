@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from yore.operators.runs import gate
+from yore.sources.shared import names, written
+
+
+#: Buckets of a log, by the hash of the claim.
+BUCKETS = 64
 
 
 def append_new(batch: DataFrame, log: str, cid: str = "cid", claim: str = "claim", asserted: str = "asserted_at") -> None:
-    """Append what the log does not have: equal ids are one row, a claim that the log knows is a confirm."""
+    """Append what the log does not have: equal ids are one row, a claim that the log knows is a confirm.
+
+    The log is parted by claim into BUCKETS, of which only those that the batch falls into are looked at, and of these
+    only ids and claims; so a claim's rows must keep one id each, as content ids do.
+    """
     spark = batch.sparkSession
-    fresh = gate(batch, cid, claim, asserted)
-    try:
-        known = spark.read.parquet(log)
-    except Exception as e:  # no log yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        known = None
-    if known is not None:
+    fresh = written(gate(batch, cid, claim, asserted).withColumn("bucket", F.pmod(F.xxhash64(claim), F.lit(BUCKETS)).cast("int")))
+    touched = {f"bucket={r[0]}" for r in fresh.select("bucket").distinct().collect()}  # BUCKETS at most
+    there = [f"{log}/{x}" for x in names(spark, log) if x in touched]
+    if there:
+        schema = ", ".join(f"`{c}` {fresh.schema[c].dataType.simpleString()}" for c in (cid, claim))
+        known = spark.read.schema(schema).parquet(*there)
         fresh = fresh.join(known.select(cid), cid, "left_anti")
         claims = known.select(claim).distinct().withColumn("known__", F.lit(True))
         fresh = fresh.join(claims, claim, "left").withColumn("kind", F.when(F.col("known__"), "confirm").otherwise(F.col("kind"))).drop("known__")
-    fresh.write.mode("append").parquet(log)
+    written(fresh).write.mode("append").partitionBy("bucket").parquet(log)
 
 
 def ingest(stream: DataFrame, log: str, checkpoint: str, **columns) -> StreamingQuery:
