@@ -97,3 +97,20 @@ def test_projections(made):
     assert project.hydrated(book.unionByName(made.entities.filter("name = 'Ann'")), made.properties, ["author", "author.memberOf"]).filter("name = 'New Title'").first()["author"] == ["Ann"]
     assert len(project.sources(made.sourced).filter(F.col("entity") == jane).first().records) == 2
     assert project.backlinks(made.properties, made.entities.filter("name = 'Ann'").first().entity).count() == 1
+
+
+def test_shapes(spark):
+    from yore.operators import project
+
+    entities = spark.createDataFrame([(k, k.upper(), None) for k in "abcd"], "entity string, name string, types array<string>")
+    rows = [("a", "to", None, "b", None), ("b", "to", None, "c", None), ("c", "to", None, "a", None), ("a", "says", '"x"', None, None), ("a", "says", '"y"', None, None), ("a", "says", '"old"', None, 9), ("b", "of", None, "d", None), ("d", "says", "1", None, None)]
+    properties = spark.createDataFrame([(*r[:4], None, r[4]) for r in rows], "entity string, predicate string, value string, object string, period_from long, period_to long")
+    of = lambda shape, *keys: {r.entity: json.loads(r.json) for r in project.shaped(entities, properties, entities.filter(F.col("entity").isin(*keys)), shape).collect()}
+    assert of({"says": None}, "a", "b") == {"a": {"@id": "a", "name": "A", "says": ["x", "y"]}, "b": {"@id": "b", "name": "B"}}
+    assert of({"says": None, "history": True}, "a")["a"]["says"] == [{"value": "old", "from": None, "to": 9}, {"value": "x", "from": None, "to": None}, {"value": "y", "from": None, "to": None}]
+    assert of(project.deep(1), "a")["a"] == {"@id": "a", "name": "A", "says": ["x", "y"], "to": [{"@id": "b", "name": "B"}]}
+    whole = of(project.deep(4), "a")["a"]["to"][0]
+    assert whole["of"] == [{"@id": "d", "name": "D", "says": [1]}] and whole["to"][0]["to"] == [{"@id": "a", "name": "A"}]  # the circle ends where it began
+    assert of({"to": {"to": None, "*": {"says": None}}}, "a")["a"]["to"][0] == {"@id": "b", "name": "B", "of": [{"@id": "d", "name": "D", "says": [1]}], "to": [{"@id": "c", "name": "C"}]}
+    assert project.paths_of({"a": {"b": None, "c": {"d": None}}, "*": None, "history": True}) == ["*", "a.b", "a.c.d"]
+    assert of({"to": None}, "none") == {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,69 @@ def referenced(node: str | dict) -> dict:
             v = node[head]
             out[head] = referenced(v) if is_node(v) else [referenced(x) if is_node(x) else x for x in v] if isinstance(v, list) else v
     return out
+
+
+def deep(levels: int) -> dict:
+    """The shape of everything that holds, over so many links."""
+    return {"*": deep(levels - 1)} if levels > 1 else {"*": None}
+
+
+def paths_of(shape: dict, under: str = "") -> list[str]:
+    """The dotted paths that a shape follows, sorted; of a path's beginnings only the longest is told."""
+    found = []
+    for name, inner in shape.items():
+        if name != "history":
+            at = f"{under}.{name}" if under else name
+            found += paths_of(inner, at) if inner else [at]
+    return sorted(found)
+
+
+def shaped(entities: DataFrame, properties: DataFrame, roots: DataFrame, shape: dict) -> DataFrame:
+    """(entity, json) of roots (entity): what a shape asks of each, as one JSON text with predicates in order and values sorted.
+
+    shape: predicate -> None (its values; of a link the key and name of what it leads to) or the shape of what it leads
+    to; the name * stands for all predicates that have no shape of their own, and "history": True for all runs with
+    their periods, not only those that hold. What would lead back to something on the way there is only named, so a
+    shape ends on any circle. Each level is a join and two groupings of the level above; only what is asked for is read.
+    """
+    named = entities.select(F.col("entity").alias("n__"), "name", "types")
+    at = roots.select("entity").distinct().select(F.col("entity").alias("rid__"), F.array("entity").alias("way__"), "entity")
+    return _level(named, properties, at, shape).select(F.col("rid__").alias("entity"), "json")
+
+
+def _quoted(x: Column) -> Column:
+    told = F.to_json(F.struct(x.alias("v")))
+    return F.when(x.isNotNull(), F.substring(told, F.lit(6), F.length(told) - 6))
+
+
+def _head(key: Column, name: Column) -> Column:
+    """The first members of an entity's JSON."""
+    return F.concat(F.lit('"@id":'), _quoted(key), F.coalesce(F.concat(F.lit(',"name":'), _quoted(name)), F.lit("")))
+
+
+def _level(named: DataFrame, properties: DataFrame, at: DataFrame, shape: dict) -> DataFrame:
+    """(rid__, json) of the entities at one node of a shape. at: rid__ (which place in the answer), way__ (the entities on the way there), entity."""
+    own = [p for p in shape if p not in ("*", "history")]
+    runs = properties if shape.get("history") else properties.filter("period_to is null")
+    runs = runs if "*" in shape else runs.filter(F.col("predicate").isin(own))
+    rows = at.join(runs.select("entity", "predicate", "value", "object", "period_from", "period_to").distinct(), "entity")
+    rows = rows.join(named.select(F.col("n__").alias("object"), F.col("name").alias("o__")), "object", "left")
+    short = F.concat(F.lit("{"), _head(F.col("object"), F.col("o__")), F.lit("}"))
+    rows = rows.withColumn("v__", F.when(F.col("object").isNotNull(), short).otherwise(F.col("value")))
+    back = F.array_contains("way__", F.col("object"))
+    for name, inner in shape.items():
+        if inner and name != "history":
+            asked = F.col("object").isNotNull() & ~back & (~F.col("predicate").isin(own) if name == "*" else F.col("predicate") == name)
+            rid = F.when(asked, F.concat_ws("/", "rid__", "predicate", "object"))
+            rows = rows.withColumn("c__", rid)
+            below = rows.filter("c__ is not null").select(F.col("c__").alias("rid__"), F.concat("way__", F.array("object")).alias("way__"), F.col("object").alias("entity")).dropDuplicates(["rid__"])
+            found = _level(named, properties, below, inner)
+            rows = rows.join(found.select(F.col("rid__").alias("c__"), F.col("json").alias("j__")), "c__", "left").withColumn("v__", F.coalesce("j__", "v__")).drop("c__", "j__")
+    if shape.get("history"):
+        period = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+        rows = rows.withColumn("v__", F.concat(F.lit('{"value":'), "v__", F.lit(',"from":'), period("period_from"), F.lit(',"to":'), period("period_to"), F.lit("}")))
+    each = rows.groupBy("rid__", "predicate").agg(F.array_join(F.array_sort(F.collect_set("v__")), ",").alias("v__"))
+    members = each.select("rid__", F.concat(_quoted(F.col("predicate")), F.lit(":["), "v__", F.lit("]")).alias("m__"))
+    whole = members.groupBy("rid__").agg(F.array_join(F.array_sort(F.collect_list("m__")), ",").alias("m__"))
+    head = at.select("rid__", "entity").join(named, F.col("entity") == F.col("n__"), "left").join(whole, "rid__", "left")
+    return head.select("rid__", F.concat(F.lit("{"), _head(F.col("entity"), F.col("name")), F.coalesce(F.concat(F.lit(","), "m__"), F.lit("")), F.lit("}")).alias("json"))

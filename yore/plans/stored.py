@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yore.operators import encounters as met
-from yore.operators import entities, near, places, runs, summary
+from yore.operators import entities, near, places, project, runs, summary
 from yore.operators.conditions import During, Either, Has, Near
 from yore.operators.conditions import actions as actions_that
 from yore.operators.conditions import entities as entities_that
@@ -205,13 +205,13 @@ def attachment_refs(spark, d):
     return of.join(blobs.select("cid", F.octet_length("content").cast("long").alias("size")), "cid").select("doc_id", "cid", "mime", "size")
 
 
-@query("page_with_places", "WITH o AS (SELECT c_custkey, c_nationkey, max(epoch_us(o_orderdate) // 1000) AS recent FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), u AS (SELECT 'entity' AS kind, CAST(c_custkey AS VARCHAR) AS key, 'Customer ' || c_custkey AS label, recent FROM o UNION ALL SELECT 'place', CAST(n_nationkey AS VARCHAR), any_value(n_name), max(recent) FROM o JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey) SELECT * FROM u WHERE recent < 901900000000 ORDER BY recent DESC, kind, key LIMIT 101")
+@query("page_with_places", "WITH o AS (SELECT c_custkey, c_nationkey, max(epoch_us(o_orderdate) // 1000) AS recent FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), u AS (SELECT 'entity' AS kind, CAST(c_custkey AS VARCHAR) AS key, 'Customer ' || c_custkey AS label, recent FROM o UNION ALL SELECT 'place', CAST(n_nationkey AS VARCHAR), any_value(n_name), max(recent) FROM o JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey) SELECT * FROM u WHERE recent < 1000000000000 ORDER BY recent DESC, kind, key LIMIT 101")
 def page_with_places(spark, d):
     """Customers and their nations' places in one page, by when they were last met, after a cursor."""
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), millis("o_orderdate").alias("t")).groupBy("key").agg(F.max("t").alias("recent"))
     met_at = orders.join(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("n")), "key")
     of_places = met_at.groupBy(F.col("n").alias("key")).agg(F.max("recent").alias("recent")).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("label")), "key")
-    return places.united_page(met_at.withColumn("label", F.concat(F.lit("Customer "), "key")), of_places, "recent", 100, (901_900_000_000, "place", "~"))
+    return places.united_page(met_at.withColumn("label", F.concat(F.lit("Customer "), "key")), of_places, "recent", 100, (1_000_000_000_000, "place", "~"))
 
 
 @query("geo_object_location", """WITH h AS (SELECT c_custkey AS k, c_nationkey * 2.0 + (c_custkey % 10) / 100.0 AS lat, c_nationkey * 3.0 AS lon FROM customer WHERE c_custkey % 4 <> 0),
@@ -228,3 +228,19 @@ def geo_object_location(spark, d):
     )
     found = places.grid(acts, held, 25, "label")
     return found.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+
+
+@query("shaped_json", """SELECT 'c' || c_custkey AS entity, '{"@id":"c' || c_custkey || '","name":"C ' || c_custkey || '","nation":[{"@id":"n' || n_nationkey || '","name":"' || n_name || '","customers":' || k.l || ',"region":[{"@id":"r' || r_regionkey || '","name":"' || r_name || '"}]}],"segment":["' || c_mktsegment || '"]}' AS json
+FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN (SELECT c_nationkey AS n, c_custkey % 2 AS odd, '[' || string_agg('{"@id":"c' || c_custkey || '","name":"C ' || c_custkey || '"}', ',' ORDER BY '{"@id":"c' || c_custkey || '","name":"C ' || c_custkey || '"}') || ']' AS l FROM (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey) GROUP BY ALL) k ON k.n = c_nationkey""")
+def shaped_json(spark, d):
+    """Customers with their nation, its region and its first customer, as JSON: what leads back is only named."""
+    who, lands, parts = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
+    cid, nid, rid = (F.concat(F.lit(p), c) for p, c in (("c", "c_custkey"), ("n", "c_nationkey"), ("r", "n_regionkey")))
+    none = lambda kind: F.lit(None).cast(kind)
+    thing = lambda df, key, name: df.select(key.alias("entity"), name.alias("name"), none("array<string>").alias("types"))
+    lands = lands.withColumn("c_nationkey", F.col("n_nationkey"))
+    entities = thing(who, cid, F.concat(F.lit("C "), "c_custkey")).unionByName(thing(lands, nid, F.col("n_name"))).unionByName(thing(parts, F.concat(F.lit("r"), "r_regionkey"), F.col("r_name")))
+    said = lambda df, e, p, v=None, o=None: df.select(e.alias("entity"), F.lit(p).alias("predicate"), (v if v is not None else none("string")).alias("value"), (o if o is not None else none("string")).alias("object"), none("long").alias("period_from"), none("long").alias("period_to"))
+    first = who.groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey"))
+    properties = said(who, cid, "segment", F.concat(F.lit('"'), "c_mktsegment", F.lit('"'))).unionByName(said(who, cid, "nation", o=nid)).unionByName(said(lands, nid, "region", o=rid)).unionByName(said(first, nid, "customers", o=cid))
+    return project.shaped(entities, properties, thing(who, cid, cid), {"segment": None, "nation": {"region": None, "customers": None}})
