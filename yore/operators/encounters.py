@@ -16,8 +16,8 @@ SCOPES = ("ever", "current", "past", "at", "during", "throughout", "before", "af
 def emitted(actions: DataFrame, edges: DataFrame, stated: DataFrame, related: DataFrame, kinds: dict[str, str], propagating: tuple[str, ...]) -> DataFrame:
     """(action, at, who, subject, level, through): one row for each action of a kind that meets someone, and one for each thing that what it met is related to.
 
-    Of an action of kind `object`, its object is met. Of a `message`, the channel that the object is stated to be part of
-    there, else its recipient. Of several, that with the least key; the agent is met by no one and may be null. Things
+    Of an action of kind `object`, its object is met. Of a `message`, the channel that the object (or, without
+    one, the result) is stated to be part of there, else its recipient. Of several, that with the least key; the agent is met by no one and may be null. Things
     met are followed over one link of `propagating`, with `through` as the thing that led there; messages are not.
 
     actions: action, type, occurred_at; edges: action, role, entity; stated: action, of, predicate, object (links that
@@ -26,7 +26,9 @@ def emitted(actions: DataFrame, edges: DataFrame, stated: DataFrame, related: Da
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("type"))
     role = lambda r, name: edges.filter(F.col("role") == r).groupBy("action").agg(F.min("entity").alias(name))
     rows = actions.filter(F.col("type").isin(list(kinds))).select("action", F.col("occurred_at").alias("at"), kind.alias("kind"))
-    rows = rows.join(role("object", "object"), "action").join(role("agent", "who"), "action", "left").join(role("recipient", "recipient"), "action", "left")
+    rows = rows.join(role("object", "o__"), "action", "left").join(role("result", "r__"), "action", "left").join(role("agent", "who"), "action", "left").join(role("recipient", "recipient"), "action", "left")
+    made = F.when(F.col("kind") == "message", F.coalesce("o__", "r__")).otherwise(F.col("o__"))  # sending a message may also make it
+    rows = rows.withColumn("object", made).drop("o__", "r__").filter("object is not null")
     channel = stated.filter("predicate = 'isPartOf'").groupBy("action", F.col("of").alias("object")).agg(F.min(stated["object"]).alias("channel"))
     rows = rows.join(channel, ["action", "object"], "left")
     subject = F.when(F.col("kind") == "object", F.col("object")).otherwise(F.coalesce("channel", "recipient"))

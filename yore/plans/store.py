@@ -132,7 +132,7 @@ def assembled(rows: DataFrame, found: DataFrame, actions: DataFrame, ontology: O
     is_name = properties.filter("predicate = 'name' and period_to is null").join(sourced.select("subject", "source"), "subject")
     best = runs.elect(is_name, ["entity"], [F.asc(F.coalesce(F.col("source") == "url", F.lit(False))), F.desc("last_valid"), F.desc("last_observed"), F.asc("value"), F.asc("subject")])
     entities = types.join(best.select("entity", _text(F.col("value")).alias("name")), "entity", "left")
-    me = named.filter(F.col("subject") == ME).select("entity", F.lit(True).alias("is_me"))
+    me = keys.filter(F.array_contains("keys", ME)).join(named, "subject").select("entity", F.lit(True).alias("is_me")).distinct()  # named by any record
     entities = entities.join(me, "entity", "left").select("entity", "name", "types", F.coalesce("is_me", F.lit(False)).alias("me"))
 
     edges = of("edge").select("action", F.col("predicate").alias("role"), F.col("target").alias("subject")).distinct().join(named, "subject").select("action", "role", "entity").distinct()

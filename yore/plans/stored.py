@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yore.operators import encounters as met
-from yore.operators import entities, near, places, project, runs, summary
+from yore.operators import entities, near, payloads, places, project, runs, summary
 from yore.operators.conditions import During, Either, Has, Near
 from yore.operators.conditions import actions as actions_that
 from yore.operators.conditions import entities as entities_that
@@ -244,3 +244,23 @@ def shaped_json(spark, d):
     first = who.groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey"))
     properties = said(who, cid, "segment", F.concat(F.lit('"'), "c_mktsegment", F.lit('"'))).unionByName(said(who, cid, "nation", o=nid)).unionByName(said(lands, nid, "region", o=rid)).unionByName(said(first, nid, "customers", o=cid))
     return project.shaped(entities, properties, thing(who, cid, cid), {"segment": None, "nation": {"region": None, "customers": None}})
+
+
+@query("mails_folded", "SELECT 'bot' || conv_id % 7 || '@x.org' AS handle, count(*) AS exchanged, min(1700000000000 + conv_id * 1000000 + turn * 1000) AS first FROM conversations GROUP BY 1")
+def mails_folded(spark, d):
+    """Turns as mails between their owner and one of seven others, as payloads folded: with whom how much was exchanged."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    one = lambda address, name: F.struct(address.alias("address"), name.alias("name"))
+    me, bot = one(F.lit("Me@x.org"), F.lit("I")), one(F.concat(F.lit("Bot"), F.col("conv_id") % 7, F.lit("@x.org")), F.lit(None).cast("string"))
+    asks = F.col("role") == "user"
+    mid = lambda turn: F.concat(F.lit("<"), "conv_id", F.lit("."), turn, F.lit("@x.org>"))
+    mail = rows.select(
+        mid(F.col("turn")).alias("message_id"), (F.lit(1_700_000_000_000) + F.col("conv_id") * 1_000_000 + F.col("turn") * 1000).alias("at"), F.when(asks, me).otherwise(bot).alias("sender"), F.array(F.when(asks, bot).otherwise(me), F.when(asks, bot).otherwise(me)).alias("recipients"),
+        F.concat(F.lit("Re "), "conv_id").alias("subject"), F.col("text"), F.when(F.col("turn") > 0, mid(F.col("turn") - 1)).alias("reply_to"), F.array().cast("array<string>").alias("tags"),
+    )
+    log = payloads.mails(mail, ["me@x.org"]).select(payloads.asserted(F.col("payload"), snapshot=False).alias("body"), F.lit(0).cast("long").alias("asserted_at"))
+    s = fold(log)
+    own = s.entities.filter("me").select("entity")
+    each = met.sides(s.encounters, met.EXCHANGED).join(own, "entity").groupBy(F.col("other").alias("entity")).agg(F.count("*").alias("exchanged"), F.min("at").alias("first"))
+    seen = s.properties.filter("predicate = 'handle' and period_to is null").groupBy("entity").agg(F.min(F.expr("substring(value, 2, length(value) - 2)")).alias("handle"))
+    return each.join(seen, "entity").select("handle", "exchanged", "first")
