@@ -20,20 +20,30 @@ def visible(text: Column) -> Column:
     return F.regexp_replace(text, INVISIBLE, "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once a row even where body is a lambda's inner part."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replaced(text: Column, pattern: str, new) -> Column:
     """text with each match of pattern replaced by new(match)."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    whole = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(new(F.get(found, i)), F.lit("")))), "")
-    return F.when(text.rlike(pattern), whole).otherwise(text)
+
+    def joined(t: Column, found: Column) -> Column:
+        put = lambda x, i: F.concat(x, F.coalesce(_let(F.get(found, i), new), F.lit("")))
+        return F.array_join(F.transform(F.split(t, pattern), put), "")
+
+    return _let(text, lambda t: F.when(t.rlike(pattern), _let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: joined(t, found))).otherwise(t))
 
 
 def untracked(url: Column) -> Column:
     """A url without its tracking parameters: cut at every &, parameters with such a name emptied, empty ones left out, and no ? or & at the end."""
     emptied = lambda x, first: F.regexp_replace(x, rf"(?i)({first}\?){TRACKING}=[^#\s)\]]*", "$1")
-    parts = F.split(url, "&")
-    rest = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: emptied(x, "^|")), lambda x: x != "")
-    joined = F.array_join(F.concat(F.array(emptied(F.get(parts, F.lit(0)), "")), rest), "&")
-    return F.rtrim(F.replace(joined, F.lit("?&"), F.lit("?")), F.lit("?&"))
+
+    def kept(parts: Column) -> Column:
+        rest = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: emptied(x, "^|")), lambda x: x != "")
+        return F.array_join(F.concat(F.array(emptied(F.get(parts, F.lit(0)), "")), rest), "&")
+
+    return F.rtrim(F.replace(_let(F.split(url, "&"), kept), F.lit("?&"), F.lit("?")), F.lit("?&"))
 
 
 def tidy(text: Column, bulk: bool = False) -> Column:
@@ -45,9 +55,8 @@ def tidy(text: Column, bulk: bool = False) -> Column:
     if bulk:
         worded = F.regexp_replace(text, rf"\[([^\]]*)\]\([^)\s]{{{LONG},}}\)", "$1")
         text = replaced(worded, ADDRESS, lambda url: F.when(F.length(url) < LONG, url))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\s+\z", ""))
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(lines, i - 1) == "", F.lit(True)).alias("after"))), lambda x: (x["x"] != "") | ~x["after"])
-    return F.regexp_replace(F.array_join(kept["x"], "\n"), r"^\s+|\s+\z", "")
+    parts = F.transform(F.split(text, r"(?:[^\S\n]*+\n){2,}"), lambda x: F.regexp_replace(x, r"[^\S\n]+(?=\n|\z)", ""))
+    return F.regexp_replace(F.array_join(parts, "\n\n"), r"^\s+|\s+\z", "")
 
 
 def _bare_letters() -> tuple[str, str]:

@@ -185,7 +185,7 @@ t AS (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) AS next
 v AS (SELECT DISTINCT source || '-' || subject AS subject, value, epoch_us(s.ts) // 1000 AS ts, epoch_us(next) // 1000 AS next FROM s JOIN t USING (source, ts)),
 k AS (SELECT *, coalesce(lag(next) OVER (PARTITION BY subject, value ORDER BY ts) = ts, false) AS goes_on FROM v),
 r AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY subject, value ORDER BY ts) AS run FROM k)
-SELECT subject, value, min(ts) AS first_valid, max(ts) AS last_valid, arg_max(next, ts) AS period_to FROM r GROUP BY subject, value, run""")
+SELECT subject, value, min(ts) AS first_valid, max(ts) AS last_valid, arg_max_null(next, ts) AS period_to FROM r GROUP BY subject, value, run""")
 def snapshot_absence(spark, d):
     """Monthly snapshots of three sources: a value ends at the first snapshot of its source without it."""
     at = millis(F.date_trunc("month", F.col("l_shipdate").cast("timestamp")))
