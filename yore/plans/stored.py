@@ -20,8 +20,6 @@ from yore.plans.store import fold
 from yore.sources import attachments
 from yore.sources.shared import folder
 
-_KEY = F.array(F.lit("source"), F.lit("sourceId"))
-
 
 def _iso(ms):
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
