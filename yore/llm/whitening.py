@@ -39,12 +39,14 @@ _TILES = "a int, b int, data binary"
 
 def whole(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     """(key, x array<long>) of the rows that count, and the number of dimensions."""
-    c = lambda v: F.transform(v, lambda e: F.floor(SCALE * e.cast("double")))
-    fits = F.forall(vector, lambda e: F.coalesce(F.abs(e.cast("double")) < 2.0**31 / SCALE, F.lit(False)))  # a NaN is greater than all numbers
+    small = lambda e: F.coalesce(F.abs(e.cast("double")) < 2.0**31 / SCALE, F.lit(False))  # noqa: E731  a NaN is greater than all numbers
+    # Spark may compute x before it drops a row, so x must exist for any entry
+    x = F.transform(vector, lambda e: F.when(small(e), F.floor(SCALE * e.cast("double")) + BASE))
+    fits = F.forall(vector, small)
     sound = df.select(key, vector).filter(F.col(vector).isNotNull() & fits)
     most = sound.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     d = most.d if most else 0
-    return sound.filter(F.size(vector) == d).select(key, F.transform(c(F.col(vector)), lambda e: e + BASE).alias("x")), d
+    return sound.filter(F.size(vector) == d).select(key, x.alias("x")), d
 
 
 def sums(rows: DataFrame, column: str) -> tuple[int, list]:
