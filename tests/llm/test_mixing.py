@@ -87,3 +87,9 @@ def test_none_and_nothing(spark):
     same = [(1, "a b c", "s")] * 50 + [(2, "d", "t")]
     got = mixing.mix(spark.createDataFrame(same, schema)).collect()
     assert sorted((r.doc_id, r.copies) for r in got) == sorted((i, t // n) for i, n, _, _, t in plain_mix(same))
+
+
+def test_targets_of_more_words_than_an_int_holds(spark):
+    sizes = {"a": 900_000_000, "b": 500_000_000, "c": 300_000_000}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    assert {r.source: r.target for r in got.collect()} == {s: pytest.approx(float(t)) for s, t in plain_targets(sizes).items()}

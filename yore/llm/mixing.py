@@ -68,7 +68,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float =
         if r[0] == n or not r[3]:
             break
         n, left, share = r[0], total - r[2], r[3]
-        level = F.col("weight") * F.lit(left) / F.lit(share).cast("double")
+        level = F.col("weight") * F.lit(left).cast("long") / F.lit(share).cast("double")  # from 2^31 / 3 words on the product is no int
         held = cap * F.col("source_size") < level
     return found.select("source", "source_size", F.when(held, cap * F.col("source_size")).otherwise(level).cast("double").alias("target"))
 
