@@ -55,3 +55,8 @@ def test_markup(spark):
 def test_content_keys_ignore_the_order_of_names(spark):
     a, b, c, d = values(spark, identity.content_key, ['{"a":1,"b":[1,{"d":2,"c":3}]}', '{"b":[1.0,{"c":3,"d":2}], "a":1}', '{"a":2}', "not json"])
     assert a == b != c and len(a) == 52 and d
+
+
+def test_references_without_their_semicolon_stay(spark):
+    said = ["a &amp; b&middot;&quot;", "cut at &amp", "cut at &am", "&ampx; &copy2024 &frob;", "&#233;&#xe9; &#233", "&amp;copy;", None]
+    assert values(spark, markup.unescape, said) == ['a & b·"', "cut at &amp", "cut at &am", "&ampx; &copy2024 &frob;", "éé &#233", "&copy;", None]
