@@ -60,3 +60,18 @@ def test_content_keys_ignore_the_order_of_names(spark):
 def test_references_without_their_semicolon_stay(spark):
     said = ["a &amp; b&middot;&quot;", "cut at &amp", "cut at &am", "&ampx; &copy2024 &frob;", "&#233;&#xe9; &#233", "&amp;copy;", None]
     assert values(spark, markup.unescape, said) == ['a & b·"', "cut at &amp", "cut at &am", "&ampx; &copy2024 &frob;", "éé &#233", "&copy;", None]
+
+
+def test_pages_are_read_some_at_a_time():
+    import pyarrow as pa
+
+    held, said = [], [None if i % 7 == 0 else f"<p>{i}" for i in range(2 * markup.PAGES + 5)]
+
+    class Watched:
+        def __init__(self, rows): self.rows = rows
+        def __len__(self): return len(self.rows)
+        def slice(self, at, n): return Watched(self.rows.slice(at, n))
+        def to_pylist(self): held.append(len(self.rows)); return self.rows.to_pylist()
+
+    got = markup._each(Watched(pa.array(said)), lambda x: markup.read(x, True))
+    assert got.to_pylist() == [x and x[3:] for x in said] and max(held) == markup.PAGES and len(held) == 3
