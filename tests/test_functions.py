@@ -75,3 +75,10 @@ def test_pages_are_read_some_at_a_time():
 
     got = markup._each(Watched(pa.array(said)), lambda x: markup.read(x, True))
     assert got.to_pylist() == [x and x[3:] for x in said] and max(held) == markup.PAGES and len(held) == 3
+
+
+def test_a_label_computes_its_node_once(spark):
+    df = spark.range(3).select(texts.node_label(F.concat(F.lit('{"object":{"title":"'), F.hex("id"), F.lit('"}}'))).alias("l"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("hex(") == 1
+    assert [r.l for r in df.collect()] == ["0", "1", "2"]
+    assert values(spark, texts.node_label, ['{"object":"{\\"name\\":\\"x\\"}"}', '{"object":[{"name":"x"}]}', '{"result":{"object":{"url":"u"}}}', "none", None]) == [None, None, "u", None, None]

@@ -185,13 +185,15 @@ LABELS = ["name", "title", "headline", "handle", "text", "body", "url"]
 def node_label(node: Column, depth: int = 4) -> Column:
     """What names a JSON node: its first naming text, else the label of its object, else that of its result, down to `depth` nodes."""
 
-    def at(path: str, left: int) -> Column:
-        named = [F.nullif(F.get_json_object(node, f"${path}.{k}"), F.lit("")) for k in LABELS]
-        # only texts name: numbers and nodes do not
-        named = [F.when(F.get_json_object(node, f"${path}").rlike(rf'"{k}"\s*:\s*"'), x) for k, x in zip(LABELS, named, strict=True)]
-        return F.coalesce(*named, *([at(f"{path}.object", left - 1), at(f"{path}.result", left - 1)] if left > 1 else []))
+    def at(whole: Column, path: str, left: int) -> Column:
+        def label(said: Column) -> Column:
+            # only texts name: numbers and nodes do not
+            named = [F.when(said.rlike(rf'"{k}"\s*:\s*"'), F.nullif(F.get_json_object(whole, f"${path}.{k}"), F.lit(""))) for k in LABELS]
+            return F.when(said.isNotNull(), F.coalesce(*named, *([at(whole, f"{path}.object", left - 1), at(whole, f"{path}.result", left - 1)] if left > 1 else [])))
 
-    return at("", depth)
+        return _let(F.get_json_object(whole, f"${path}"), label)  # what is not there is not looked into
+
+    return _let(node, lambda whole: at(whole, "", depth))
 
 
 def record_label(node: Column, kind: Column | None = None) -> Column:
