@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_SORTED = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def canonical(value) -> str:
     """JSON with sorted keys at every level and without spaces; arrays keep their order, and a whole float is an integer."""
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _SORTED.encode(_plain(value))
 
 
 def _plain(value):

@@ -16,7 +16,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,9 @@ COLUMNS = {
     "what": "string", "action": "string", "subject": "string", "keys": "array<string>", "type": "string", "source": "string", "source_id": "string", "predicate": "string",
     "value": "string", "target": "string", "number": "double", "valid_at": "long", "observed_at": "long", "start": "long", "end": "long", "earliest": "long", "latest": "long", "error": "string",
 }
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
+#: Payloads whose rows a task holds at a time.
+PAYLOADS = 1000
 
 
 @dataclass
@@ -176,7 +179,8 @@ def shred_one(body: str, asserted_at: int, ontology: Ontology, anchored: bool =
                 yield {"what": "action", "action": happened, "type": kind, "source": node.get("source"), "valid_at": first, "observed_at": observed, "start": first, "earliest": first, "latest": last}
                 yield {"what": "edge", "action": happened, "predicate": "object", "target": key, "valid_at": first, "observed_at": observed, "start": first}
         asserts = set(node.get("@asserts") or ())
-        for predicate, (many, kind) in ontology.predicates.items():
+        for predicate in [p for p in ontology.predicates if p in node or p in asserts]:
+            many, kind = ontology.predicates[predicate]
             found = node.get(predicate)
             values = found if isinstance(found, list) else [found] if found is not None else []
             for v in values:
@@ -201,14 +205,17 @@ def shred(log: DataFrame, body: str = "body", asserted: str = "asserted_at", ont
     columns = COLUMNS | keep
     schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{**r, **dict(zip(keep, more, strict=True))} for b, t, *more in frame.itertuples(index=False, name=None) for r in shred_one(b, int(t), ontology, anchored)]
-            out = pd.DataFrame(rows, columns=list(columns))
-            for c, t in columns.items():
-                out[c] = out[c].astype("Int64" if t == "long" else "float64" if t == "double" else object)
-                if t not in ("long", "double"):
-                    out[c] = out[c].where(out[c].notna(), None)
-            yield out
-
-    return log.select(F.coalesce(body, F.lit("")), F.col(asserted).cast("long"), *keep).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, _ARROW[t], from_pandas=True) for x, t in zip(out, columns.values(), strict=True)], names=list(columns))
+
+        for batch in batches:
+            for at in range(0, len(batch), PAYLOADS):
+                out: list[list] = [[] for _ in columns]
+                for b, t, *more in zip(*(c.to_pylist() for c in batch.slice(at, PAYLOADS).columns), strict=True):
+                    for r in shred_one(b, t, ontology, anchored):
+                        for c, x in zip(out, (*map(r.get, COLUMNS), *more), strict=True):
+                            c.append(x)
+                yield told(out)
+
+    return log.select(F.coalesce(body, F.lit("")), F.col(asserted).cast("long"), *keep).mapInArrow(run, schema)
