@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from yore.llm import decontaminate, jaccard, langid, packing, pii
+from yore.llm import decontaminate, jaccard, langid, packing, pii, simhash
 from yore.llm.common import table
 from yore.sources.shared import folder
 
@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 or more of their five-word shingles in common): the one with the smallest id. Null and empty texts are copies of each other, a null id is the last choice, of repeated rows one stays."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of near copies (SimHash fingerprints that differ in two bits or fewer, as in op4_simhash, or 0.8 or more of their five-word shingles in common): the one with the smallest id. Null and empty texts are copies of each other, a null id is the last choice, of repeated rows one stays."""
+    return jaccard.one_of_each(docs, tau=simhash.TAU)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,24 @@ def test_the_ring_prunes_no_row_within_the_quota():
         bits = np.bitwise_count(diff).sum(axis=1)
         quota = rng.integers(0, int(bits.max()) + 2, 400).astype(float)
         assert (ring_holds(diff, quota, 8) == (bits <= quota)).all()
+
+
+def test_pipeline_stage_links_close_fingerprints(spark):
+    """Fingerprints within two bits link, as in op4_simhash, whatever the sets of shingles; one class may have several fingerprints."""
+    rng = random.Random(6)
+    tail = lambda n: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, "one two three " * 60 + tail(12 + i)) for i in range(8)]  # the repeated words set the fingerprint
+    rows += [(100 + i, "four five six seven eight " * (2 + i) + "four five six seven") for i in range(6)]  # one set of shingles
+    rows += [(200 + i, t) for i, t in enumerate([None, "", " \t"])] + [(300 + i, t) for i, (_, t, *_) in enumerate(near(rng, 60))]
+    prints = [J.fingerprint(t) for _, t in rows]
+    groups = [set(g) for g in brute(rows)]
+    only = len(groups)
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = (next(g for g in groups if rows[k] in g) for k in (i, j))
+                if a is not b:
+                    groups = [g for g in groups if g is not a and g is not b] + [a | b]
+    assert len(groups) <= only - 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()} == {min(i for i, _ in g) for g in groups}

@@ -13,8 +13,10 @@ pigeonring filter and the full Hamming check of simhash.ring_holds() part a bloc
 part the overlaps of all sets are counted. A block of over BLOCK classes is cut into pieces that meet in pairs, so that a
 task holds two pieces at a time and no pair is left out.
 
-A radius of the 64 bits that op4_simhash compares would not do: texts with a similarity of 0.8 differ in some 10 of
-them, often in more, and at such a radius no part of a fingerprint that must agree is long enough to be a key.
+A radius of the 64 bits that op4_simhash compares would not do alone: texts with a similarity of 0.8 differ in some 10 of
+them, often in more, and at such a radius no part of a fingerprint that must agree is long enough to be a key. With a
+radius for them given, texts whose fingerprints of op4_simhash are that close are linked as well, by the same exact
+search as there: fingerprints link as they do in op4, and each stands for all classes that have it.
 
 Null texts are empty; a text of fewer words than a shingle has one of all its words, so all texts without words are one
 class. Very long texts are read whole and have long fingerprints. Repeated rows are copies; an empty table gives an
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yore.llm.common import row_key, written
-from yore.llm.simhash import _FOLD, _elected, _election, _only_rows, ring_holds
+from yore.llm.simhash import _FOLD, _elected, _election, _only_rows, fingerprint, fingerprint_links, ring_holds
 from yore.operators.components import connected_components
 
 SHINGLE, BUCKETS, BLOCK, LEAST_BITS, RING = 5, 1 << 18, 1024, 64, 8
@@ -306,37 +308,49 @@ def links(members: DataFrame) -> DataFrame:
     return members.repartition("block").sortWithinPartitions("block").select("block", "node", "shingles").mapInArrow(run, "u long, v long")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row of each group of documents that links of a Jaccard similarity of 4/5 or more connect, with the columns of docs: that with the least key, nulls last, then with the least hash of the text."""
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, block: int = BLOCK, tau: int | None = None) -> DataFrame:
+    """One row of each group of documents that links of a Jaccard similarity of 4/5 or more connect, with the columns of docs: that with the least key, nulls last, then with the least hash of the text. With tau, SimHash fingerprints that differ in at most tau bits link too."""
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, text, size))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, sizes, bits, firsts = [], [], [], []
+            nodes, sizes, bits, firsts, prints = [], [], [], [], []
             for x in batch.column(3).to_pylist():
+                prints.append(0 if tau is None else fingerprint(x))
                 said = shingles(x, size)
                 nodes.append(xxhash.xxh64_intdigest(said.tobytes(), 1))
                 sizes.append(len(said))
                 bits.append(parity(said))
                 order = np.lexsort((said, counts.value[(said % BUCKETS).astype(np.int64)]))
                 firsts.append(said[order[: len(said) - (4 * len(said) + 4) // 5 + 1]].view("<i8"))
-            arrays = [pa.array(np.array(nodes, dtype="<u8").view("<i8")), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=["k_id", "k_a", "k_b", "node", "n", "bits", "first"])
+            arrays = [pa.array(np.array(nodes, dtype="<u8").view("<i8")), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(np.array(prints, dtype="<u8").view("<i8"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=["k_id", "k_a", "k_b", "node", "n", "bits", "first", "fp"])
 
     rows = docs.select(*row_key(key, text), F.col(text).alias("text__"))
-    marked = rows.mapInArrow(mark, f"k_id {docs.schema[key].dataType.simpleString()}, k_a long, k_b long, node long, n long, bits binary, first array<long>")
-    # all rows of a class agree in what is taken from the first
-    classes = written(marked.groupBy("node").agg(_election().alias("e"), *[F.first(c).alias(c) for c in ("n", "bits", "first")]))
+    marked = rows.mapInArrow(mark, f"k_id {docs.schema[key].dataType.simpleString()}, k_a long, k_b long, node long, n long, bits binary, first array<long>, fp long")
+    # all rows of a class agree in what is taken from the first; texts that only repeat its shingles may have a fingerprint each
+    classes = written(marked.groupBy("node").agg(_election().alias("e"), F.collect_set("fp").alias("fps"), *[F.first(c).alias(c) for c in ("n", "bits", "first")]))
     found = written(blocks(classes.select(F.explode("first").alias("h"), size_class(F.col("n")).alias("size"), "node"), block))
     groups = written(parts(found.join(classes.select("node", "n", "bits"), "node")))
     # the sets of the classes that any part holds, by one row of each
     asked = written(classes.select("node", "e").join(groups.select("node").distinct(), "node", "left_semi"))
     linked = _linked(groups, written(_sets_of(docs, asked, key, text, size)))
+    if tau is not None:
+        linked = linked.union(_of_prints(classes.select("node", F.explode("fps").alias("fp")), tau))
     return _only_rows(docs, written(_elected(classes.select("node", "e"), linked)), key, text)
 
 
+def _of_prints(prints: DataFrame, tau: int) -> DataFrame:
+    """(u, v) links of classes whose fingerprints differ in at most tau bits, from (node, fp): the least class of a fingerprint stands for it."""
+    least = written(prints.groupBy("fp").agg(F.min("node").alias("least")))
+    same = prints.join(least, "fp").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}__"))
+    near = fingerprint_links(least.select("fp"), tau).join(of("u"), "u").join(of("v"), "v")
+    return same.union(near.select("u__", "v__")).filter("u <> v")
+
+
 def _sets_of(docs: DataFrame, asked: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(node, shingles) of the asked classes."""
 
