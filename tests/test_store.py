@@ -114,3 +114,27 @@ def test_shapes(spark):
     assert of({"to": {"to": None, "*": {"says": None}}}, "a")["a"]["to"][0] == {"@id": "b", "name": "B", "of": [{"@id": "d", "name": "D", "says": [1]}], "to": [{"@id": "c", "name": "C"}]}
     assert project.paths_of({"a": {"b": None, "c": {"d": None}}, "*": None, "history": True}) == ["*", "a.b", "a.c.d"]
     assert of({"to": None}, "none") == {}
+
+
+def test_chains_that_nothing_ends_are_summed_up_as_runs_says(spark):
+    """Chains of one value, of many values, with markers and with changes: apart or not, the runs are the same, and only those that change are put in order."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from yore.operators import runs
+    from yore.operators.shred import Ontology
+    from yore.plans import store
+
+    rng, rows = random.Random(9), []
+    for i in range(400):
+        subject, predicate = f"s{rng.randrange(30)}", rng.choice(["name", "mood", "genre", "author"])
+        values = [f'"{subject}"'] if predicate == "name" and subject < "s2" else ['"a"', '"b"'] + [None] * (subject > "s15")
+        at = rng.randrange(40)
+        seen = at + rng.choice([0, 0, 5])
+        rows.append((subject, predicate, at, seen, seen + rng.randrange(9), rng.choice(values), f"e{rng.randrange(300)}", 0, f"c{i}"))
+    observed = spark.createDataFrame(rows, "subject string, predicate string, valid_at long, observed_at long, confirmed_at long, value string, action string, grade int, claim string")
+    told = lambda df: sorted(map(str, df.select("subject", "predicate", "value", "period_from", "period_to", "first_valid", "last_valid", "last_observed", "n", "grade").collect()))
+    assert told(store.chains(observed, Ontology(), apart=True)) == told(store.chains(observed, Ontology()))
+    whole, changing = runs.lasting(observed, ["subject", "predicate"], F.col("predicate").isin("genre", "author"))
+    assert 0 < changing.count() < observed.select("subject", "predicate").distinct().count() and whole.count() > 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from yore.operators.near import as_of
+from yore.sources.shared import written
 
 #: Milliseconds of the bins that markers are ordered in.
 WIDTH = 400 * 86_400_000
@@ -79,6 +80,22 @@ def _of_values(observed: DataFrame, chain: list[str]) -> DataFrame:
     )
 
 
+def lasting(observed: DataFrame, chain: list[str], many: Column) -> tuple[DataFrame, DataFrame]:
+    """(runs of the chains that nothing ends, the other chains' columns): a chain without a marker that has one value, or is of `many`, has one run for each value, as runs() would say, and takes no order, only sums. observed: as for runs(), with confirmed_at."""
+    each = observed.groupBy(*chain, "value").agg(
+        F.min(F.struct("valid_at", "observed_at", "action", "grade")).alias("f__"), F.max("valid_at").alias("last_valid"),
+        F.max(F.greatest("observed_at", "confirmed_at")).alias("last_observed"), F.count("*").alias("n"), F.max("grade").alias("grade"),
+    )
+    each = written(each)
+    ended = F.max(F.col("value").isNull()) | ((F.count("*") > 1) & ~F.first(many))
+    changing = each.groupBy(*chain).agg(ended.alias("e__")).filter("e__").select(*chain)
+    known = (F.col("f__.grade") == 1) | (F.col("f__.valid_at") != F.col("f__.observed_at"))
+    whole = each.join(changing, chain, "left_anti").select(
+        *chain, "value", F.when(known, F.col("f__.valid_at")).alias("period_from"), F.lit(None).cast("long").alias("period_to"), F.col("f__.valid_at").alias("first_valid"), "last_valid", "last_observed", "n", "grade",
+    )
+    return whole, changing
+
+
 def refolded(old: DataFrame, observed: DataFrame, touched: DataFrame, chain: list[str], many: bool = False) -> DataFrame:
     """All runs after a batch, of which only the chains that it touches are folded again; the others stay as they were. observed: all observations, the batch's too."""
     touched = touched.select(*chain).distinct()

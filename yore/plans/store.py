@@ -100,11 +100,20 @@ def sharpened(observed: DataFrame, actions: DataFrame) -> DataFrame:
     return observed.join(known, "action", "left").withColumn("valid_at", at).drop("e__")
 
 
-def chains(observed: DataFrame, ontology: Ontology) -> DataFrame:
-    """Validity runs of all (subject, predicate). Sightings that differ in their claims alone count once."""
+def chains(observed: DataFrame, ontology: Ontology, apart: bool = False) -> DataFrame:
+    """Validity runs of all (subject, predicate). Sightings that differ in their claims alone count once.
+
+    apart: sightings are written once and chains that nothing ever ends are added up apart (see runs.lasting), as most
+    names are, so that neither all sightings of a thing come together nor the others' windows wait for them.
+    """
     many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p, (m, _) in ontology.predicates.items() for x in (p, m)]), F.col("predicate")), F.lit(False))
     same = ["subject", "predicate", "valid_at", "observed_at", "value", "action", "grade"]
     once = observed.groupBy(*same).agg(F.max("confirmed_at").alias("confirmed_at"))
+    if apart:
+        once = written(once)
+        whole, changing = runs.lasting(once, ["subject", "predicate"], many)
+        once = written(once.join(changing, ["subject", "predicate"], "left_semi"))
+        return whole.unionByName(chains(once, ontology))
     return runs.runs(once.filter(~many), ["subject", "predicate"]).unionByName(runs.runs(once.filter(many), ["subject", "predicate"], many=True))
 
 
@@ -163,4 +172,4 @@ def fold(log: DataFrame, ontology: Ontology | None = None, **columns) -> Store:
     ontology = ontology or Ontology()
     rows = written(facts(claims(sightings(log, **columns)), ontology))
     actions = written(registers(rows))
-    return assembled(rows, chains(sharpened(observations(rows), actions), ontology), actions, ontology)
+    return assembled(rows, chains(sharpened(observations(rows), actions), ontology, apart=True), actions, ontology)
