@@ -89,3 +89,35 @@ def test_what_a_mail_says(spark):
     bulk = spark.createDataFrame([(letter, None), ("how to unsubscribe\n" + "long text\n" * 30, None)], "t string, h string").coalesce(1)
     bulk = mail.bodies(bulk, "t", "h", bulk=True).select("body").collect()
     assert bulk[0][0].endswith("News\n\nread") and bulk[1][0].startswith("how to unsubscribe") and bulk[1][0].endswith("long text")
+
+
+def test_a_node_is_identified_once_and_its_text_compared_only_with_its_like(monkeypatch):
+    from yore.operators import shred
+
+    calls = {"identity": 0, "canonical": 0}
+
+    def counted(name, f):
+        def g(*a):
+            calls[name] += 1
+            return f(*a)
+
+        return g
+
+    monkeypatch.setattr(shred, "_identity", counted("identity", shred._identity))
+    monkeypatch.setattr(shred, "canonical", counted("canonical", shred.canonical))
+    node = lambda i, **more: {"@type": "Book", "@id": i, **more}
+    body = json.dumps(node("a", agent=node("x"), object=node("y", creator=[node("x"), node("z"), node("z", genre=[1.0])])) | {"@type": "ReadAction"})
+    rows = list(shred_one(body, 0, Ontology()))
+    assert calls["identity"] == 6  # the action and five nodes
+    assert calls["canonical"] == 5  # x and z are named twice: four nodes, and the value of z
+    assert sorted((r["subject"], r["type"]) for r in rows if r["what"] == "entity") == [("x", "Book"), ("y", "Book"), ("z", "Book"), ("z", "Book")]
+    assert [r["value"] for r in rows if r.get("value")] == ["1"]
+
+
+def test_claims_do_not_depend_on_how_a_number_is_written():
+    from yore.functions.identity import canonical, canonical_text, key_of
+
+    for text in ('{"b": 1.0, "a": [2.50, -0.0, 1e2, 1e400, NaN], "@kind": "confirm"}', '{"b": {"é": "\\u00e9", "x": 1E-2}, "a": true}'):
+        said = {k: v for k, v in json.loads(text).items() if k != "@kind"}
+        assert canonical_text(text, ("@kind",)) == canonical(said)
+    assert key_of("x") == "fvyrmqvxe2yeialcpsu7xlbs6xefgd5rsa6mjwycewdrpeq2jcaq"

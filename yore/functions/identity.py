@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 
@@ -14,9 +13,25 @@ from pyspark.sql import types as T
 _SORTED = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+#: Two digits of base32 for each ten bits.
+_DIGITS = [a + b for a in "abcdefghijklmnopqrstuvwxyz234567" for b in "abcdefghijklmnopqrstuvwxyz234567"]
+
+
 def canonical(value) -> str:
     """JSON with sorted keys at every level and without spaces; arrays keep their order, and a whole float is an integer."""
-    return _SORTED.encode(_plain(value))
+    return _SORTED.encode(value if isinstance(value, str) else _plain(value))
+
+
+def canonical_text(text: str, leave: tuple[str, ...] = ()) -> str:
+    """canonical() of a JSON text's object, without the fields in `leave`; a ValueError if it is none."""
+    said = json.loads(text, parse_float=_number)
+    if not isinstance(said, dict):
+        raise ValueError("no object")
+    return _SORTED.encode({k: v for k, v in said.items() if k not in leave})
+
+
+def _number(text: str):
+    return _plain(float(text))
 
 
 def _plain(value):
@@ -29,7 +44,8 @@ def _plain(value):
 
 def key_of(text: str) -> str:
     """Lower-case base32 without padding of the text's SHA-256."""
-    return base64.b32encode(hashlib.sha256(text.encode()).digest()).decode().rstrip("=").lower()
+    n = int.from_bytes(hashlib.sha256(text.encode()).digest()) << 4  # 260 bits: 52 digits
+    return "".join([_DIGITS[n >> at & 1023] for at in range(250, -1, -10)])
 
 
 @F.pandas_udf(T.StringType())

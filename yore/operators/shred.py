@@ -15,6 +15,7 @@ import datetime as dt
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +31,10 @@ COLUMNS = {
     "value": "string", "target": "string", "number": "double", "valid_at": "long", "observed_at": "long", "start": "long", "end": "long", "earliest": "long", "latest": "long", "error": "string",
 }
 _ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
-#: Payloads whose rows a task holds at a time.
-PAYLOADS = 1000
+#: Keys of nodes, of which most come again.
+_key_of = lru_cache(4096)(key_of)
+#: Payloads that a task holds as Python's texts, with their rows, at a time.
+PAYLOADS = 256
 
 
 @dataclass
@@ -68,8 +71,11 @@ class Ontology:
 
 def range_of(text) -> tuple[int | None, int | None]:
     """[first, last] millisecond of a year, month, day or instant."""
-    if not isinstance(text, str):
-        return None, None
+    return _range_of(text) if isinstance(text, str) else (None, None)
+
+
+@lru_cache(4096)
+def _range_of(text: str) -> tuple[int | None, int | None]:
     try:
         parts = [int(x) for x in text.split("-")] if len(text) <= 10 else []
         if parts:
@@ -89,12 +95,12 @@ def _identity(node: dict) -> tuple[str | None, list[str]]:
     fields = {f: node[f] for f in node.get("@key") or () if isinstance(f, str) and node.get(f) is not None}
     if set(fields) == {"url"}:
         fields = {"source": "url", **fields}
-    key = node.get("@id") or (key_of(canonical(fields)) if fields else None)
+    key = node.get("@id") or (_key_of(canonical(fields)) if fields else None)
     keys = [key] if key else []
     if isinstance(node.get("url"), str):
-        keys.append(key_of(canonical({"source": "url", "url": node["url"]})))
+        keys.append(_key_of(canonical({"source": "url", "url": node["url"]})))
     for other in node.get("sameAs") or ():
-        keys += [ME] if other == "@me" else _identity(other)[1] if isinstance(other, dict) else [key_of(canonical({"source": "url", "url": other}))]
+        keys += [ME] if other == "@me" else _identity(other)[1] if isinstance(other, dict) else [_key_of(canonical({"source": "url", "url": other}))]
     return key or (keys[0] if keys else None), sorted(set(keys))
 
 
@@ -134,21 +140,22 @@ def shred_one(body: str, asserted_at: int, ontology: Ontology, anchored: bool =
         "what": "action", "action": action, "type": payload["@type"], "source": payload.get("source"), "source_id": payload.get("sourceId"), "valid_at": valid, "observed_at": observed,
         "start": lower, "end": end, "earliest": lower, "latest": upper if upper is not None else observed,
     }
-    todo: list[dict] = []
+    todo: list[tuple[dict, str, list[str]]] = []
 
     def met(node) -> str | None:
         if node == "@me":
             node = {"@type": "Person", "@id": ME}
         if not isinstance(node, dict):
             return None
-        key = _identity(node)[0]
+        key, keys = _identity(node)
         if key:
-            todo.append(node)
+            todo.append((node, key, keys))
         return key
 
-    whole = payload.get("object")
+    said, facet = ontology.facets.get(payload["@type"], (None, None))
+    whole = payload.get("object") if said else None
     whole = next((k for k in map(_key, whole if isinstance(whole, list) else [whole]) if k), None)
-    said, facet = ontology.facets.get(payload["@type"], (None, None)) if whole else (None, None)
+    said = said if whole else None
     for role in ROLES + MANY_ROLES:
         found = payload.get(role)
         for node in found if isinstance(found, list) else [found] if found is not None else []:
@@ -159,17 +166,21 @@ def shred_one(body: str, asserted_at: int, ontology: Ontology, anchored: bool =
                 yield {"what": "edge", "action": action, "predicate": role, "target": key, "valid_at": valid, "observed_at": observed, "start": lower}
             else:
                 yield {"what": "error", "action": action, "predicate": role, "error": "a role without an identity"}
-    seen = set()
+    seen: dict[str, dict | set[str]] = {}
     while todo:
-        node = todo.pop()
-        key, keys = _identity(node)
-        mark = canonical(node)
-        if mark in seen:
-            continue
-        seen.add(mark)
+        node, key, keys = todo.pop()
+        marks = seen.get(key)
+        if marks is None:
+            seen[key] = node  # equal nodes have one key, so that what it says is only compared if another has it
+        else:
+            marks = seen[key] = {canonical(marks)} if isinstance(marks, dict) else marks
+            mark = canonical(node)
+            if mark in marks:
+                continue
+            marks.add(mark)
         base = {"action": action, "subject": key, "source": node.get("source"), "valid_at": valid, "observed_at": observed, "start": lower}
         yield {"what": "entity", "keys": keys, "type": node.get("@type"), "source_id": node.get("sourceId"), **base}
-        for predicate, kind in ontology.lifecycle.items():
+        for predicate, kind in () if ontology.lifecycle.keys().isdisjoint(node) else ontology.lifecycle.items():
             if node.get(predicate) is not None:
                 first, last = _shared(node[predicate])
                 if first is None:
@@ -179,7 +190,8 @@ def shred_one(body: str, asserted_at: int, ontology: Ontology, anchored: bool =
                 yield {"what": "action", "action": happened, "type": kind, "source": node.get("source"), "valid_at": first, "observed_at": observed, "start": first, "earliest": first, "latest": last}
                 yield {"what": "edge", "action": happened, "predicate": "object", "target": key, "valid_at": first, "observed_at": observed, "start": first}
         asserts = set(node.get("@asserts") or ())
-        for predicate in [p for p in ontology.predicates if p in node or p in asserts]:
+        named = node.keys() | asserts if asserts else node
+        for predicate in [p for p in ontology.predicates if p in named]:
             many, kind = ontology.predicates[predicate]
             found = node.get(predicate)
             values = found if isinstance(found, list) else [found] if found is not None else []
@@ -206,16 +218,16 @@ def shred(log: DataFrame, body: str = "body", asserted: str = "asserted_at", ont
     schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(out: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, _ARROW[t], from_pandas=True) for x, t in zip(out, columns.values(), strict=True)], names=list(columns))
+        def told(out: list[list], kept: list[pa.Array]) -> pa.RecordBatch:
+            told = [pa.array(x, _ARROW[t], from_pandas=True) for x, t in zip(out, COLUMNS.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([*told, *(x.cast(_ARROW[t]) for x, t in zip(kept, keep.values(), strict=True))], names=list(columns))
 
         for batch in batches:
             for at in range(0, len(batch), PAYLOADS):
-                out: list[list] = [[] for _ in columns]
-                for b, t, *more in zip(*(c.to_pylist() for c in batch.slice(at, PAYLOADS).columns), strict=True):
-                    for r in shred_one(b, t, ontology, anchored):
-                        for c, x in zip(out, (*map(r.get, COLUMNS), *more), strict=True):
-                            c.append(x)
-                yield told(out)
+                rows, of = [], []
+                for i, (b, t) in enumerate(zip(*(c.to_pylist() for c in batch.slice(at, PAYLOADS).columns[:2]), strict=True)):
+                    rows += shred_one(b, t, ontology, anchored)
+                    of += [at + i] * (len(rows) - len(of))
+                yield told([[r.get(c) for r in rows] for c in COLUMNS], [c.take(pa.array(of, pa.int64())) for c in batch.columns[2:]])
 
     return log.select(F.coalesce(body, F.lit("")), F.col(asserted).cast("long"), *keep).mapInArrow(run, schema)

@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yore.functions.identity import canonical, key_of
+from yore.functions.identity import canonical_text, key_of
 from yore.functions.texts import tokens
 from yore.functions.times import date_range
 from yore.operators import encounters as met
 from yore.operators import runs
 from yore.operators.components import resolve
-from yore.operators.shred import ME, Ontology, shred
+from yore.operators.shred import ME, PAYLOADS, Ontology, shred
 from yore.sources.shared import written
 
 #: What a source record can be renamed in.
@@ -42,19 +42,17 @@ class Store:
     errors: DataFrame
 
 
-@F.pandas_udf(T.StringType())
-def claim_of(bodies: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def claim_of(bodies: pa.Array) -> pa.Array:
     """The key of what a payload claims, whenever and however it was asserted; of a text that is no JSON object, of the text."""
-    import json
 
-    def one(body: str) -> str:
+    def one(body: str | None) -> str:
         try:
-            said = json.loads(body)
-            return key_of(canonical({k: v for k, v in said.items() if k not in ("@assertedAt", "@kind")}))
-        except (ValueError, AttributeError):
-            return key_of(body)
+            return key_of(canonical_text(body or "", ("@assertedAt", "@kind")))
+        except ValueError:
+            return key_of(body or "")
 
-    return bodies.fillna("").map(one)
+    return pa.array([one(x) for at in range(0, len(bodies), PAYLOADS) for x in bodies.slice(at, PAYLOADS).to_pylist()], pa.string())
 
 
 def sightings(log: DataFrame, body: str = "body", asserted: str = "asserted_at") -> DataFrame:
