@@ -155,3 +155,17 @@ def test_suggestions_miss_no_close_name(spark):
     found = texts.suggestions(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame([(n,) for n in names], "name string"), 2, 3)
     want = sorted((a, n, k) for a in set(asked) for k, n in sorted((distance(a, n), n) for n in set(names) if n != a and distance(a, n) <= 2)[:3])
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_tables_dealt_alike_take_tasks_by_rows_and_meet_where_they_are(spark, monkeypatch):
+    from yore.plans import registry
+    from yore.sources import shared
+
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    monkeypatch.setattr(shared, "DEALT", 1000)
+    found = registry.QUERIES["encounters_transitive"](spark, d)
+    # one more task for each 1,000 rows, and no shuffle but that of the two tables
+    assert found.rdd.getNumPartitions() == -(-lines // 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(event") <= 2 * (plan.count("Final Plan") + plan.count("Initial Plan") or 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from yore.functions import texts
 from yore.operators import intervals, runs
 from yore.plans.base import ACTIONS_SQL, DAY, actions, ms, query, table
+from yore.sources.shared import dealt
 
 _OBS = f"{ACTIONS_SQL}, obs AS (SELECT agent AS subject, t AS valid_at, t AS observed_at, CASE WHEN type <> 'error' THEN type END AS value, id AS action FROM actions)"
 
@@ -97,7 +98,9 @@ def ingest_gate(spark, d):
 @query("encounters_transitive", "SELECT o_orderkey AS event, o_custkey AS who, (epoch_us(o_orderdate) // 1000) AS at, s_nationkey AS subject, min(l_suppkey) AS through FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")
 def encounters_transitive(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("event"), F.col("o_custkey").alias("who"), intervals.millis("o_orderdate").alias("at"))
-    met = orders.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("subject")), "event")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("subject"))
+    rows = lines.count()  # from the files' footers
+    met = dealt(orders, rows, "event").join(dealt(lines, rows, "event"), "event")
     edges = table(spark, d, "supplier").select(F.col("s_suppkey").alias("subject"), F.col("s_nationkey").alias("target"))
     return runs.spread(met, edges).select("event", "who", "at", "subject", "through")
 

@@ -42,6 +42,16 @@ def written(df: DataFrame) -> DataFrame:
     return session.read.parquet(path)
 
 
+#: Rows that a task of dealt() sorts and adds up.
+DEALT = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt by the hash of `by` over as many tasks as `rows` ask for, DEALT for each, though never fewer than the session's shuffles have, so that a task's memory does not grow with the table. Tables dealt alike meet where they are."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-rows // DEALT)), *by)
+
+
 def names(session: SparkSession, path: str) -> list[str]:
     """What lies in a folder of any storage that Spark reads, sorted; nothing if there is none."""
     at = session._jvm.org.apache.hadoop.fs.Path(path)
