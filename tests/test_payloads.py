@@ -121,3 +121,18 @@ def test_claims_do_not_depend_on_how_a_number_is_written():
         said = {k: v for k, v in json.loads(text).items() if k != "@kind"}
         assert canonical_text(text, ("@kind",)) == canonical(said)
     assert key_of("x") == "fvyrmqvxe2yeialcpsu7xlbs6xefgd5rsa6mjwycewdrpeq2jcaq"
+
+
+def test_a_batch_of_long_payloads_is_not_held_as_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from yore.plans import store
+
+    bodies = pa.array([json.dumps({"@type": "ReadAction", "@id": str(i), "text": "x" * 4000}) for i in range(5000)])
+    tracemalloc.start()
+    keys = store.claim_of.func(bodies)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(keys) == 5000 and peak < 6_000_000 < bodies.nbytes / 3
