@@ -169,3 +169,16 @@ def test_tables_dealt_alike_take_tasks_by_rows_and_meet_where_they_are(spark, mo
     assert found.rdd.getNumPartitions() == -(-lines // 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(event") <= 2 * (plan.count("Final Plan") + plan.count("Initial Plan") or 1)
+
+
+def test_a_record_is_made_once_for_each_field_of_its_label(spark):
+    from pyspark.sql import functions as F
+
+    from yore.functions import texts
+
+    node = F.to_json(F.struct(F.lit("T").alias("@type"), F.col("id").cast("string").alias("title"), F.lit("2024").alias("endTime")))
+    rows = spark.range(2).select(texts.record_label(node).alias("l"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("to_json") == 3
+    assert [tuple(r.l) for r in rows.collect()] == [("T", "0", "2024"), ("T", "1", "2024")]
+    none = spark.createDataFrame([(None,)], "n string").select(texts.record_label(F.col("n")).alias("l")).first().l
+    assert tuple(none) == ("records", None, None)

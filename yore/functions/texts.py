@@ -198,11 +198,11 @@ def node_label(node: Column, depth: int = 4) -> Column:
 
 def record_label(node: Column, kind: Column | None = None) -> Column:
     """struct<type, title, date> of a JSON payload: its type (else `kind`, else records), its label on one line, and when it happened."""
-    of = lambda k: F.nullif(F.get_json_object(node, f"$.{k}"), F.lit(""))
+    of = lambda whole, k: F.nullif(F.get_json_object(whole, f"$.{k}"), F.lit(""))
     title = F.nullif(F.regexp_replace(F.regexp_replace(node_label(node), r"\s+", " "), r"^ | $", ""), F.lit(""))
-    return F.struct(
-        F.coalesce(F.get_json_object(node, "$.@type"), *([kind] if kind is not None else []), F.lit("records")).alias("type"), title.alias("title"), F.coalesce(of("timestamp"), of("startTime"), of("endTime")).alias("date")
-    )
+    # each field makes the payload once; a field alone makes no other
+    date = _let(node, lambda whole: F.coalesce(of(whole, "timestamp"), of(whole, "startTime"), of(whole, "endTime")))
+    return F.struct(F.coalesce(F.get_json_object(node, "$.@type"), *([kind] if kind is not None else []), F.lit("records")).alias("type"), title.alias("title"), date.alias("date"))
 
 
 def suggestions(asked: DataFrame, names: DataFrame, most: int = 3, best: int = 3) -> DataFrame:
