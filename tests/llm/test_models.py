@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -156,6 +157,64 @@ def test_exchange_raises_the_likelihood_and_empty_tables_work(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in brown.score(docs, brown.learn(empty)).collect())
 
 
+def test_any_word_moves_by_the_exact_gain():
+    rng = np.random.default_rng(5)
+    classes, m = 6, 40
+    pairs = rng.poisson(rng.gamma(0.4, 2.0, (m, m))).astype(float)
+    of = np.concatenate(([0], rng.integers(1, classes, m - 1)))
+
+    def likelihood(of):
+        one = np.eye(classes)[of]
+        n = one.T @ pairs @ one
+        return brown._f(n).sum() - brown._f(n.sum(1)).sum() - brown._f(n.sum(0)).sum(), n
+
+    one, n = np.eye(classes)[of], likelihood(of)[1]
+    counts = np.concatenate((pairs.T @ one, pairs @ one), axis=1)
+    got = brown.best(counts, n, of, np.diagonal(pairs))
+    for u in range(1, m):  # against the likelihood of every class that the word could have
+        each = [likelihood(np.where(np.arange(m) == u, c, of))[0] for c in range(1, classes)]
+        assert abs(each[got[u] - 1] - max(each)) < 1e-6
+        # a word of no class yet, whose pairs with itself no one has counted
+        rest = pairs.copy()
+        rest[u] = rest[:, u] = 0
+        q, r = pairs[:, u].copy(), pairs[u].copy()
+        q[u] = r[u] = 0
+        bare = one.T @ rest @ one
+
+        def after(c):
+            n = bare.copy()
+            n[:, c] += q @ one
+            n[c] += r @ one
+            return brown._f(n).sum() - brown._f(n.sum(1)).sum() - brown._f(n.sum(0)).sum()
+
+        new = brown.best(np.concatenate((q @ one, r @ one))[None], bare)[0]
+        assert abs(after(new) - max(map(after, range(1, classes)))) < 1e-6
+    # the exchange ends where no unit of any class gains by another; what is pinned stays
+    start = np.concatenate((of[:-classes], np.arange(classes)))
+    done = brown.exchange(pairs, 0, classes, rounds=50, start=start, pinned=classes)
+    assert (done[-classes:] == np.arange(classes)).all() and likelihood(done)[0] > likelihood(start)[0]
+    for u in range(1, m - classes):
+        assert likelihood(done)[0] + 1e-6 > max(likelihood(np.where(np.arange(m) == u, c, done))[0] for c in range(1, classes))
+
+
+def test_a_round_of_exchange_never_lowers_the_likelihood(spark):
+    rng = random.Random(2)
+    kinds = [[f"{k}{i}" for i in range(12)] for k in "abcd"]
+    texts = [" ".join(rng.choice(kinds[(j + s) % 4 if rng.random() < 0.7 else rng.randrange(4)]) for j in range(12)) for s in (rng.randrange(4) for _ in range(150))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+
+    def likelihood(moves):
+        model, rest, *_ = brown.learn(docs, seeds=4, classes=5, moves=moves)
+        assert rest.count() == 0
+        n = np.zeros((5, 5))
+        for t in texts:
+            path = [int(model.of[model.common[w]]) for w in [brown.END, *brown.words_of(t), brown.END]]
+            np.add.at(n, (path[:-1], path[1:]), 1)
+        return brown._f(n).sum() - brown._f(n.sum(1)).sum() - brown._f(n.sum(0)).sum()
+
+    assert likelihood(1) >= likelihood(0) - 1e-6  # here all 48 words at once would
+
+
 def test_words_that_are_all_as_frequent_have_classes(spark):
     rows = [(i, " ".join(f"w{(i * 7 + j * j) % 150}" for j in range(150))) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -34,11 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in folder(): like cut(), but columnar and compressed, for what is large."""
     session = df.sparkSession
     path = f"{folder(session)}/yore-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return session.read.parquet(path)
 
 
