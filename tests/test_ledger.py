@@ -11,6 +11,7 @@ from yore.operators import encounters as met
 from yore.operators import entities as E
 from yore.plans import store
 from yore.plans.ledger import Ledger
+from yore.sources import buckets
 from yore.sources.buckets import Buckets
 
 
@@ -145,6 +146,19 @@ def test_a_batch_reads_and_writes_only_its_buckets(spark, tmp_path):
     assert {r.value for r in ledger.tables.read("runs", at).filter((F.col("subject") == subject) & (F.col("predicate") == "name")).collect()} == {'"1984"', '"Nineteen Eighty-Four"', '"Renamed"'}
 
 
+def test_a_confirm_writes_no_fact_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "VERSIONS", 2)
+    ledger = Ledger(spark, str(tmp_path), buckets=1)
+    ledger.append(log_of(spark, LOG[:5]))
+    facts, log = ledger.tables.versions["facts"][0], ledger.tables.versions["log"][0]
+    ledger.append(log_of(spark, [act("r3", "2023-05-01", object=thing("Book", "b1", mood="odd", url="https://e.x/b1"))]))  # earlier, so that its facts move
+    assert ledger.tables.versions["facts"][0] == facts and ledger.tables.versions["log"][0][:1] == log and len(ledger.tables.versions["log"][0]) == 2
+    ledger.append(log_of(spark, LOG[5:]))
+    assert len(ledger.tables.versions["log"][0]) == 1  # several versions become one
+    whole = store.fold(log_of(spark, [*LOG, act("r3", "2023-05-01", object=thing("Book", "b1", mood="odd", url="https://e.x/b1"))]))
+    assert tables(Ledger(spark, str(tmp_path)).store()) == tables(whole)
+
+
 def test_a_failed_batch_leaves_nothing_and_writers_collide(spark, tmp_path):
     ledger, other = Ledger(spark, str(tmp_path), buckets=4), Ledger(spark, str(tmp_path), buckets=4)
     ledger.tables.stage("log", spark.createDataFrame([("a", "c", "assert", 1, "{}")], ledger.tables.schemas["log"][0]), [0, 1, 2, 3])

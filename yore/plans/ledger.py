@@ -2,7 +2,8 @@
 
 What a batch touches is found by key, bucket by bucket: its claims; the actions that these are sightings of; the
 subjects that they say something of, or that are anchored at an action whose date has become finer. Only those buckets
-are read and written (see sources.buckets), whatever has gathered before. The result does not depend on how the log is
+are read and written (see sources.buckets), whatever has gathered before. To the log, the facts and the anchors a batch
+only adds: a fact stays as it was first told, and when its claim was seen first and last is what the log says. The result does not depend on how the log is
 cut into batches nor on their order: it equals plans.store.fold of the whole log.
 """
 
@@ -22,7 +23,7 @@ _FACTS = ", ".join(f"`{c}` {t}" for c, t in (COLUMNS | {"claim": "string", "last
 _RUNS = "subject string, predicate string, value string, period_from long, period_to long, first_valid long, last_valid long, last_observed long, n long, grade int"
 SCHEMAS = {
     "log": ("cid string, claim string, kind string, seen_at long, body string", "claim"),
-    "facts": (_FACTS, "claim"),
+    "facts": (_FACTS, "claim"),  # as first told
     "sighted": (_FACTS, "action"),  # the facts on actions
     "anchors": ("action string, subject string", "action"),  # whose observations are placed at an action
     "observed": ("subject string, predicate string, valid_at long, observed_at long, confirmed_at long, value string, action string, grade int, start long, claim string, earliest long", "subject"),
@@ -51,57 +52,58 @@ class Ledger:
     def append(self, batch: DataFrame, **columns) -> DataFrame | None:
         """Take a batch of the log; what the log has already is left out. The difference that it makes to the runs (see runs.changes), or None if nothing is new."""
         t = self.tables
-        seen = written(store.sightings(batch, **columns).dropDuplicates(["claim", "cid"]))
-        of_claims = t.touched(seen, "claim")
-        before = t.read("log", of_claims).select("cid", "claim", "kind", "seen_at", F.when(F.col("body").isNotNull(), "").alias("body"))
-        fresh = written(seen.join(before, ["claim", "cid"], "left_anti"))
-        of_claims = t.touched(fresh, "claim")
+        seen = written(store.sightings(batch, **columns))
+        before = t.read("log", t.touched(seen, "claim")).select("cid", "claim", "kind", "seen_at", F.when(F.col("body").isNotNull(), "").alias("body"))
+        fresh, of_claims = t.add("log", seen.dropDuplicates(["claim", "cid"]).join(before, ["claim", "cid"], "left_anti"))
         if not of_claims:
             return None
-        # the claims of the batch as they were and as they are; a body is read only from the batch
-        old = before.join(fresh.select("claim").distinct(), "claim", "left_semi")
-        was = store.claims(old).select("claim", F.col("body").isNotNull().alias("had"), F.col("first_seen").alias("f__"), F.col("last_seen").alias("l__"))
-        body = fresh.groupBy("claim").agg(F.min("body").alias("new_body"))
-        now = store.claims(old.unionByName(fresh)).drop("body").join(was, "claim", "left").join(body, "claim")
-        now = written(now.withColumn("had", F.coalesce("had", F.lit(False))))
+        # the claims of the batch as they were and as they are, as store.claims() says; a body is read only from the batch
+        rows = before.withColumn("old__", F.lit(True)).unionByName(fresh.withColumn("old__", F.lit(False)))
+        old = F.col("old__")
+
+        def bounds(where, first, last):
+            kind = lambda name: F.max(F.when(where, F.col("kind") == name))
+            a, z = F.min(F.when(where, F.col("seen_at"))), F.max(F.when(where, F.col("seen_at")))
+            return a.alias(first), F.when(kind("restated") & ~kind("assert"), a).otherwise(z).alias(last)
+
+        had = F.max(old & F.col("body").isNotNull()).alias("had")
+        now = rows.groupBy("claim").agg(F.min(old).alias("o__"), had, *bounds(F.lit(True), "first_seen", "last_seen"), *bounds(old, "f__", "l__"), F.min(F.when(~old, F.col("body"))).alias("new_body"))
+        now = written(now.filter("not o__").withColumn("new_body", F.when(~F.col("had"), F.col("new_body"))))
         moved = now.filter("had and (first_seen <> f__ or last_seen <> l__)").select("claim", "first_seen", "last_seen")
-        new = written(store.facts(now.filter("not had").select("claim", F.col("new_body").alias("body"), "first_seen", "last_seen"), self.ontology))
-
-        t.stage("log", t.read("log", of_claims).unionByName(fresh), of_claims)
-        held = t.read("facts", of_claims)
-        shifted = written(_moved(held.join(moved, "claim", "left_semi"), moved, "last_seen"))
-        t.stage("facts", held.join(moved, "claim", "left_anti").unionByName(shifted).unionByName(new), of_claims)
+        claimed = t.dealt(now.filter("not had").select("claim", F.col("new_body").alias("body"), "first_seen", "last_seen"), "claim")
+        told, _ = t.add("facts", store.facts(claimed, self.ontology), dealt=True)  # dealt before they are many
+        new = told.filter("what = 'observation'")
+        # of the facts that were there, what is placed at another time now
+        hit = t.read("facts", of_claims).filter("what in ('action', 'observation')").select("claim", "what", "action", "subject")
+        hit = written(hit.join(moved, "claim", "left_semi").select("what", "action", "subject").distinct())
 
         # actions: their sightings, and where all of them together now say that they happened
-        changed = new.unionByName(shifted)
-        acts = written(changed.filter("what = 'action'"))
+        acts = written(told.filter("what = 'action'").select("action").union(hit.filter("what = 'action'").select("action")).distinct())
         of_actions = t.touched(acts, "action")
         sighted = t.read("sighted", of_actions)
-        at_hand = written(sighted.join(moved, "claim", "left_anti").unionByName(acts))
-        t.stage("sighted", at_hand, of_actions)
+        at_hand = t.stage("sighted", _moved(sighted, moved, "last_seen").unionByName(told.filter("what = 'action'")), of_actions)
         anchors = t.read("anchors", of_actions)
         # an observation's own action is among its claim's, so new anchors fall into the buckets at hand
-        told = changed.filter("what = 'observation'")
-        t.stage("anchors", anchors.unionByName(told.filter("start is not null").select("action", "subject")).distinct(), of_actions)
-        earliest = lambda rows: store.registers(rows.join(acts.select("action").distinct(), "action", "left_semi")).select("action", F.when(~F.col("conflict"), F.col("earliest")).alias("earliest"))
+        t.add("anchors", new.filter("start is not null").select("action", "subject").distinct())
+        earliest = lambda rows: store.registers(rows.join(acts, "action", "left_semi")).select("action", F.when(~F.col("conflict"), F.col("earliest")).alias("earliest"))
         finer = written(earliest(at_hand).join(earliest(sighted).withColumnRenamed("earliest", "w__").withColumn("k__", F.lit(True)), "action", "left"))
         sharper = finer.filter("k__ and not (earliest <=> w__)").select("action", "earliest")
 
         # subjects: what is said of them, and the runs of that
-        subjects = written(told.select("subject").union(anchors.join(sharper, "action", "left_semi").select("subject")).distinct())
+        subjects = written(new.select("subject").union(hit.filter("what = 'observation'").select("subject")).union(anchors.join(sharper, "action", "left_semi").select("subject")).distinct())
         of_subjects = t.touched(subjects, "subject")
         observed = _moved(t.read("observed", of_subjects), moved, "confirmed_at")
-        observed = observed.join(sharper.select("action", F.col("earliest").alias("e__"), F.lit(True).alias("s__")), "action", "left").withColumn("earliest", F.when(F.col("s__"), F.col("e__")).otherwise(F.col("earliest"))).drop("e__", "s__")
-        fresh_observed = store.observations(new).join(finer.select("action", "earliest"), "action", "left")
-        whole = written(observed.unionByName(fresh_observed))
-        t.stage("observed", whole, of_subjects)
+        if not sharper.isEmpty():  # else nothing moves
+            observed = observed.join(sharper.select("action", F.col("earliest").alias("e__"), F.lit(True).alias("s__")), "action", "left").withColumn("earliest", F.when(F.col("s__"), F.col("e__")).otherwise(F.col("earliest"))).drop("e__", "s__")
+        fresh_observed = store.observations(told).join(finer.select("action", "earliest"), "action", "left")
+        whole = t.stage("observed", observed.unionByName(fresh_observed), of_subjects)
         placed = whole.join(subjects, "subject", "left_semi").withColumn("valid_at", F.when(F.col("start").isNotNull(), F.coalesce("earliest", "valid_at")).otherwise(F.col("valid_at"))).drop("earliest")
         folded = written(store.chains(placed, self.ontology))
         stood = t.read("runs", of_subjects)
         t.stage("runs", stood.join(subjects, "subject", "left_anti").unionByName(folded.select(*stood.columns)), of_subjects)
         difference = written(runs.changes(stood.join(subjects, "subject", "left_semi"), folded.select(*stood.columns), ["subject", "predicate"]))
 
-        self._trace(fresh, new, difference)
+        self._trace(fresh, told, difference)
         t.commit()
         return difference
 
@@ -131,7 +133,9 @@ class Ledger:
         """All derived tables as they are now."""
         t = self.tables
         actions = written(store.registers(t.read("sighted")))
-        return store.assembled(t.read("facts"), t.read("runs"), actions, self.ontology)
+        seen = store.claims(t.read("log").withColumn("body", F.when(F.col("body").isNotNull(), "")))
+        facts = written(_moved(t.read("facts"), seen, "last_seen"))
+        return store.assembled(facts, t.read("runs"), actions, self.ontology)
 
     def follow(self, stream: DataFrame, checkpoint: str, **columns) -> StreamingQuery:
         """Take a stream of assertions, a batch at a time, until what is there is read. A micro-batch that is tried again changes nothing."""
