@@ -179,3 +179,11 @@ def test_pages(spark):
         cursor = pages.after_key([("t", True), ("id", True)], [got[3][1], got[3][0]])
     assert first == sorted(rows, key=lambda r: (-r[1], -r[0]))
     assert len(pages.page(df, order, 0).collect()) == 10
+
+
+def test_entities_of_records_that_come_once_are_the_same(spark):
+    rng = random.Random(5)
+    rows = [(f"r{i}", [f"k{rng.randint(0, 60)}" for _ in range(rng.randint(1, 3))]) for i in range(60)] + [(f"own{i}", [f"own{i}"]) for i in range(40)] + [("none", []), ("null", None)]
+    records = spark.createDataFrame(rows, "record string, keys array<string>")
+    told = lambda **how: sorted(map(tuple, components.resolve(records, "record", "keys", **how).collect()))
+    assert told(once=True) == told() and len(told()) == 100

@@ -138,3 +138,21 @@ def test_chains_that_nothing_ends_are_summed_up_as_runs_says(spark):
     assert told(store.chains(observed, Ontology(), apart=True)) == told(store.chains(observed, Ontology()))
     whole, changing = runs.lasting(observed, ["subject", "predicate"], F.col("predicate").isin("genre", "author"))
     assert 0 < changing.count() < observed.select("subject", "predicate").distinct().count() and whole.count() > 0
+
+
+def test_a_fold_moves_little_of_its_log(spark):
+    """Bytes that lifecycle_facet shuffles and writes for a payload, with tables too large to be sent to all tasks: at 6 GB, 972 are 70 GB."""
+    from yore.plans.stored import lifecycle_facet
+
+    def moved():
+        many = spark._jvm.java.util.ArrayList
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(many(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), many())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.outputBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before, kept = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        assert len(lifecycle_facet(spark, "/root/testdata/sf0.01").collect()) == 186
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sum(n for k, n in moved().items() if k not in before) / 20_000 < 700

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yore.sources.shared import cut
+from yore.sources.shared import cut, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,17 +39,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def resolve(records: DataFrame, record: str, keys: str) -> DataFrame:
+def resolve(records: DataFrame, record: str, keys: str, once: bool = False) -> DataFrame:
     """(record, entity): records that share any of their keys, directly or over others, are one entity, whose id is the least key reachable. records: record, keys (array of strings).
 
     Keys are numbered by hash, and a record links its keys to its least one, so that a record with many keys gives a
-    star and no pairs. Records without keys are left out.
+    star and no pairs. Records without keys are left out. A record that shares no key is its own least key: it is only
+    compared with the others' keys, of which few are sent to it. once: each record is one row, so that its keys need not
+    come together first.
     """
-    each = records.select(record, F.explode(keys).alias("k__")).filter("k__ is not null").distinct()
-    least = each.groupBy(record).agg(F.min("k__").alias("m__"))
-    named = each.join(least, record)
-    edges = named.select(F.xxhash64("k__").alias("u"), F.xxhash64("m__").alias("v"))
-    parts = connected_components(edges)
-    ids = least.select(record, "m__", F.xxhash64("m__").alias("node")).join(parts, "node", "left").withColumn("c__", F.coalesce("component", "node"))
-    names = ids.groupBy("c__").agg(F.min("m__").alias("entity"))
-    return ids.join(names, "c__").select(record, "entity")
+    if once:
+        least = records.select(record, F.array_min(keys).alias("m__")).filter("m__ is not null")
+        named = records.select(F.explode(keys).alias("k__"), F.array_min(keys).alias("m__")).filter("k__ is not null")
+    else:
+        each = records.select(record, F.explode(keys).alias("k__")).filter("k__ is not null").distinct()
+        least = each.groupBy(record).agg(F.min("k__").alias("m__"))
+        named = each.join(least, record)
+    edges = named.filter("k__ <> m__").select(F.xxhash64("k__").alias("u"), F.xxhash64("m__").alias("v"))
+    parts = written(connected_components(edges))
+    ids = least.withColumn("node", F.xxhash64("m__"))
+    names = ids.join(parts, "node").groupBy("component").agg(F.min("m__").alias("entity"))
+    heads = written(parts.join(names, "component").select("node", "entity"))
+    return ids.join(heads, "node", "left").select(record, F.coalesce("entity", "m__").alias("entity"))

@@ -86,9 +86,9 @@ def lasting(observed: DataFrame, chain: list[str], many: Column) -> tuple[DataFr
         F.min(F.struct("valid_at", "observed_at", "action", "grade")).alias("f__"), F.max("valid_at").alias("last_valid"),
         F.max(F.greatest("observed_at", "confirmed_at")).alias("last_observed"), F.count("*").alias("n"), F.max("grade").alias("grade"),
     )
-    each = written(each)
+    each = written(each, "zstd")
     ended = F.max(F.col("value").isNull()) | ((F.count("*") > 1) & ~F.first(many))
-    changing = each.groupBy(*chain).agg(ended.alias("e__")).filter("e__").select(*chain)
+    changing = written(each.groupBy(*chain).agg(ended.alias("e__")).filter("e__").select(*chain), "zstd")  # few are sent to the others, and these stay where they are
     known = (F.col("f__.grade") == 1) | (F.col("f__.valid_at") != F.col("f__.observed_at"))
     whole = each.join(changing, chain, "left_anti").select(
         *chain, "value", F.when(known, F.col("f__.valid_at")).alias("period_from"), F.lit(None).cast("long").alias("period_to"), F.col("f__.valid_at").alias("first_valid"), "last_valid", "last_observed", "n", "grade",

@@ -20,7 +20,7 @@ from yore.operators import encounters as met
 from yore.operators import runs
 from yore.operators.components import resolve
 from yore.operators.shred import ME, PAYLOADS, Ontology, shred
-from yore.sources.shared import written
+from yore.sources.shared import release, written
 
 #: What a source record can be renamed in.
 IDENTIFIERS = ("handle", "email")
@@ -69,14 +69,14 @@ def sightings(log: DataFrame, body: str = "body", asserted: str = "asserted_at")
 def claims(seen: DataFrame) -> DataFrame:
     """(claim, body, first_seen, last_seen): a claim holds from its first sighting on, whether that was its assert or a confirm; confirms of what the store only restated do not make it more recent."""
     restated = F.max(F.col("kind") == "restated") & ~F.max(F.col("kind") == "assert")
-    first = F.struct(F.col("body").isNull().alias("none"), (F.col("kind") != "assert").alias("later"), "seen_at", "cid")
+    first = F.struct(F.col("body").isNull().alias("none"), (F.col("kind") != "assert").alias("later"), "seen_at", "cid" if "cid" in seen.columns else "kind")
     found = seen.groupBy("claim").agg(F.min_by("body", first).alias("body"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("z__"), restated.alias("r__"))
     return found.select("claim", "body", "first_seen", F.when(F.col("r__"), F.col("first_seen")).otherwise(F.col("z__")).alias("last_seen"))
 
 
-def facts(told: DataFrame, ontology: Ontology) -> DataFrame:
-    """The shredded rows of claims, with the claim and when it was last seen; of claims without a body none."""
-    return shred(told.filter("body is not null"), asserted="first_seen", ontology=ontology, keep={"claim": "string", "last_seen": "long"}, anchored=True)
+def facts(told: DataFrame, ontology: Ontology, named: bool = True) -> DataFrame:
+    """The shredded rows of claims, with the claim, if `named`, and when it was last seen; of claims without a body none."""
+    return shred(told.filter("body is not null"), asserted="first_seen", ontology=ontology, keep=({"claim": "string"} if named else {}) | {"last_seen": "long"}, anchored=True)
 
 
 def registers(rows: DataFrame) -> DataFrame:
@@ -88,14 +88,15 @@ def registers(rows: DataFrame) -> DataFrame:
 def observations(rows: DataFrame) -> DataFrame:
     """Observations of facts as runs() takes them, still placed where their own claims say; `start` is null where that is a sighting."""
     value = F.coalesce("value", F.concat(F.lit("@"), "target"))
-    return rows.filter("what = 'observation'").select("subject", "predicate", "valid_at", "observed_at", F.col("last_seen").alias("confirmed_at"), value.alias("value"), "action", F.lit(0).alias("grade"), "start", "claim")
+    return rows.filter("what = 'observation'").select("subject", "predicate", "valid_at", "observed_at", F.col("last_seen").alias("confirmed_at"), value.alias("value"), "action", F.lit(0).alias("grade"), "start", *(c for c in ("claim",) if c in rows.columns))
 
 
 def sharpened(observed: DataFrame, actions: DataFrame) -> DataFrame:
     """Observations placed where their action happened move to the start of what all its sightings agree on, so that a finer date sharpens boundaries that a coarser one opened."""
-    known = actions.filter("not conflict and earliest is not null").select("action", F.col("earliest").alias("e__"))
-    at = F.when(F.col("start").isNotNull(), F.coalesce("e__", "valid_at")).otherwise(F.col("valid_at"))
-    return observed.join(known, "action", "left").withColumn("valid_at", at).drop("e__")
+    # an action sighted once happened where its observations are already, and what has no start is not placed by its action
+    known = actions.filter("not conflict and earliest is not null and sightings > 1").select("action", F.col("earliest").alias("e__"))
+    placed = observed.filter("start is not null").join(known, "action", "left").withColumn("valid_at", F.coalesce("e__", "valid_at")).drop("e__")
+    return placed.unionByName(observed.filter("start is null"))
 
 
 def chains(observed: DataFrame, ontology: Ontology, apart: bool = False) -> DataFrame:
@@ -108,9 +109,9 @@ def chains(observed: DataFrame, ontology: Ontology, apart: bool = False) -> Data
     same = ["subject", "predicate", "valid_at", "observed_at", "value", "action", "grade"]
     once = observed.groupBy(*same).agg(F.max("confirmed_at").alias("confirmed_at"))
     if apart:
-        once = written(once)
+        once = written(once, "zstd")
         whole, changing = runs.lasting(once, ["subject", "predicate"], many)
-        once = written(once.join(changing, ["subject", "predicate"], "left_semi"))
+        once = written(once.join(changing, ["subject", "predicate"], "left_semi"), "zstd")
         return whole.unionByName(chains(once, ontology))
     return runs.runs(once.filter(~many), ["subject", "predicate"]).unionByName(runs.runs(once.filter(many), ["subject", "predicate"], many=True))
 
@@ -123,32 +124,39 @@ def _text(value: Column) -> Column:
 def assembled(rows: DataFrame, found: DataFrame, actions: DataFrame, ontology: Ontology) -> Store:
     """The tables of a store from facts, the runs of their chains, and the registers of their actions."""
     of = lambda what: rows.filter(F.col("what") == what)
-    seen = of("entity")
-    keys = seen.select("subject", F.explode("keys").alias("key")).distinct().groupBy("subject").agg(F.collect_list("key").alias("keys"))
-    named = written(resolve(keys, "subject", "keys"))
     first = F.struct("observed_at", "action", "source", "type")
-    sourced = seen.groupBy("subject").agg(F.min_by(F.struct("source", "source_id"), first).alias("s"), F.min_by("type", first).alias("type")).join(named, "subject").select("subject", "entity", "s.*", "type")
-    sourced = sourced.join(runs.identifiers(found, list(IDENTIFIERS)), "subject", "left")
-    types = seen.join(named, "subject").groupBy("entity").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    seen = of("entity").groupBy("subject").agg(
+        F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"), F.collect_set("type").alias("types"), F.min_by(F.struct("source", "source_id"), first).alias("s"), F.min_by("type", first).alias("type"),
+    )
+    seen = written(seen.select("subject", "keys", "types", "s.*", "type"), "zstd")
+    # most subjects are an entity alone, which has their name: only the others are looked up
+    moved = written(resolve(seen, "subject", "keys", once=True).filter("entity <> subject"), "zstd")
 
-    target = named.select(F.col("subject").alias("t__"), F.col("entity").alias("object"))
-    link = F.when(F.col("value").startswith("@"), F.expr("substring(value, 2)"))
-    linked = found.join(named, "subject").withColumn("t__", link).join(target, "t__", "left")
-    properties = written(linked.withColumn("value", F.when(F.col("t__").isNull(), F.col("value"))).drop("t__"))
+    def resolved(df: DataFrame, subject: str, name: str) -> DataFrame:
+        return df.join(moved.select(F.col("subject").alias(subject), F.col("entity").alias("e__")), subject, "left").withColumn(name, F.coalesce("e__", subject)).drop("e__")
 
-    is_name = properties.filter("predicate = 'name' and period_to is null").join(sourced.select("subject", "source"), "subject")
-    best = runs.elect(is_name, ["entity"], [F.asc(F.coalesce(F.col("source") == "url", F.lit(False))), F.desc("last_valid"), F.desc("last_observed"), F.asc("value"), F.asc("subject")])
-    entities = types.join(best.select("entity", _text(F.col("value")).alias("name")), "entity", "left")
-    me = keys.filter(F.array_contains("keys", ME)).join(named, "subject").select("entity", F.lit(True).alias("is_me")).distinct()  # named by any record
-    entities = entities.join(me, "entity", "left").select("entity", "name", "types", F.coalesce("is_me", F.lit(False)).alias("me"))
+    sourced = resolved(seen, "subject", "entity").select("subject", "entity", "source", "source_id", "type").join(runs.identifiers(found, list(IDENTIFIERS)), "subject", "left")
+    mine = F.max(F.array_contains("keys", ME)).alias("me")  # named by any record
+    types = resolved(seen, "subject", "entity").groupBy("entity").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"), mine)
 
-    edges = of("edge").select("action", F.col("predicate").alias("role"), F.col("target").alias("subject")).distinct().join(named, "subject").select("action", "role", "entity").distinct()
-    metrics = of("metric").select("subject", "predicate", "action", "valid_at", "observed_at", "number").distinct().join(named, "subject").drop("subject")
+    link = F.when(F.col("value").startswith("@"), F.expr("substring(value, 2)"))
+    linked = resolved(resolved(found, "subject", "entity").withColumn("t__", link), "t__", "object")
+    properties = written(linked.withColumn("value", F.when(F.col("t__").isNull(), F.col("value"))).drop("t__"), "zstd")
+    release(rows.sparkSession)
+
+    of_urls = written(seen.filter("source = 'url'").select("subject", F.lit(True).alias("u__")), "zstd")
+    is_name = properties.filter("predicate = 'name' and period_to is null").join(of_urls, "subject", "left")
+    best = runs.elect(is_name, ["entity"], [F.asc(F.coalesce("u__", F.lit(False))), F.desc("last_valid"), F.desc("last_observed"), F.asc("value"), F.asc("subject")])
+    entities = types.join(best.select("entity", _text(F.col("value")).alias("name")), "entity", "left").select("entity", "name", "types", "me")
+
+    # dealt by what they are joined by
+    edges = resolved(of("edge").select("action", F.col("predicate").alias("role"), F.col("target").alias("subject")), "subject", "entity").select("action", "role", "entity").repartition("action").distinct()
+    metrics = resolved(of("metric").select("subject", "predicate", "action", "valid_at", "observed_at", "number").distinct(), "subject", "entity").drop("subject")
     literal = properties.filter("value is not null and period_to is null").select("entity", "value").distinct().groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("text"))
     words = literal.select("entity", tokens(F.col("text")).alias("tokens"))
 
     stated = observations(rows).filter("value like '@%'").select("action", "subject", "predicate", F.expr("substring(value, 2)").alias("t__"))
-    stated = stated.join(target, "t__").join(named.withColumnRenamed("entity", "of"), "subject").select("action", "of", "predicate", "object").distinct()
+    stated = resolved(resolved(stated, "t__", "object"), "subject", "of").select("action", "of", "predicate", "object").distinct()
     links = properties.filter("object is not null").select("entity", "predicate", "object").distinct()
     meetings = met.emitted(actions, edges, stated, links, ontology.encounters, ontology.propagating)
     return Store(sourced, entities, actions, edges, properties, metrics, words, meetings, specials(actions, edges, ontology), of("error").select("action", "predicate", "error"))
@@ -167,7 +175,14 @@ def specials(actions: DataFrame, edges: DataFrame, ontology: Ontology) -> DataFr
 
 def fold(log: DataFrame, ontology: Ontology | None = None, **columns) -> Store:
     """All derived tables of a log. columns: the names of its body and asserted columns, if others; a `claim` and a `kind` are used where the log has them."""
-    ontology = ontology or Ontology()
-    rows = written(facts(claims(sightings(log, **columns)), ontology))
-    actions = written(registers(rows))
+    ontology, session = ontology or Ontology(), log.sparkSession
+    seen = sightings(log, **columns)
+    if "cid" not in log.columns:
+        seen = seen.drop("cid")
+    if "claim" not in log.columns:
+        seen = seen.withColumn("claim", F.unhex(F.substring(F.sha2("claim", 256), 1, 32)))  # 128 bits tell claims apart; no table of a store names one
+    rows = written(facts(claims(seen), ontology, named=False), "zstd")
+    release(session)
+    actions = written(registers(rows), "zstd")
+    release(session)
     return assembled(rows, chains(sharpened(observations(rows), actions), ontology, apart=True), actions, ontology)

@@ -88,7 +88,7 @@ def lifecycle_facet(spark, d):
     """Works published in June 1995, as far as one knows."""
     s = fold(_works(spark, d))
     found = entities.dated(s.entities, s.actions, s.edges, "datePublished", ms(1995, 6), ms(1995, 7) - 1)
-    when = entities.occurrences(s.actions, s.edges, ["PublishAction"]).select("entity", "earliest", "latest")
+    when = entities.occurrences(s.actions, s.edges.filter("role = 'object'"), ["PublishAction"]).select("entity", "earliest", "latest")  # the edges that dated() reads
     return found.join(when, "entity").select(F.expr("bigint(substring(name, 6))").alias("id"), "earliest", "latest")
 
 
